@@ -22,39 +22,46 @@ def default_ranges(df: DataFrame) -> int:
     return max(8, min(4096, 2 * parts))
 
 
-def with_range(df: DataFrame, order: list[str], n: int | None = None, name: str = "_range") -> DataFrame:
-    """Add the number of the contiguous range of ``order`` that a row falls in."""
+def bottom_rows(df: DataFrame, k: int) -> DataFrame:
+    """The k rows with the smallest hash: a sample that is a function of the data."""
+    return df.select("*", F.xxhash64(*df.columns).alias("_h")).orderBy("_h", *df.columns).limit(k).drop("_h")
+
+
+def with_range(
+    df: DataFrame, order: list[str], n: int | None = None, name: str = "_range", sample: DataFrame | None = None
+) -> DataFrame:
+    """Add the number of the contiguous range of ``order`` that a row falls in.
+
+    ``sample`` holds rows with the ``order`` columns to take the borders from; by
+    default they are drawn from ``df``. A sample taken further up, before an
+    aggregate, saves running that aggregate twice.
+    """
     n = n or default_ranges(df)
-    step = max(1, int(math.sqrt(n)))
-    point = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
-    borders = (
-        df.select(F.xxhash64(*order).alias("_h"), point.alias("_p"))
-        .orderBy("_h", "_p")
-        .limit(n)
-        .agg(F.array_sort(F.collect_set("_p")).alias("fine"))
-        .select(
-            F.struct(
-                F.col("fine"),
-                F.filter("fine", lambda _x, i: i % step == 0).alias("coarse"),
-            ).alias("b")
-        )
-    ).scalar()
-    fine, coarse = F.col("_borders.fine"), F.col("_borders.coarse")
-    jump = F.coalesce(F.size(F.filter(coarse, lambda x: x <= point)), F.lit(0))
-    start = F.greatest(jump - 1, F.lit(0)) * step
-    inside = F.size(F.filter(F.slice(fine, start + 1, F.lit(step)), lambda x: x <= point))
-    placed = df.withColumn("_borders", borders)
-    return placed.withColumn(name, F.when(jump == 0, F.lit(0)).otherwise(start + inside)).drop("_borders")
+    sample = bottom_rows(df.select(*order), n) if sample is None else sample.select(*order)
+    borders = sample.agg(F.array_sort(F.collect_set(F.struct(*order))).alias("b")).scalar()
+    out = df.withColumns({"_p": F.struct(*order), "_b": borders, name: F.lit(0)})
+    # binary search, one step per projection
+    half = 1 << max(0, math.ceil(math.log2(n + 1)) - 1)
+    while half:
+        at = F.get("_b", F.col(name) + (half - 1))
+        out = out.withColumn(name, F.col(name) + F.when(at <= F.col("_p"), half).otherwise(0))
+        half //= 2
+    return out.drop("_p", "_b")
 
 
 def running_before(
-    df: DataFrame, keys: list[str], order: list[str], weights: dict[str, Column], n: int | None = None
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    weights: dict[str, Column],
+    n: int | None = None,
+    sample: DataFrame | None = None,
 ) -> DataFrame:
     """For rows unique on keys + order: the summed weight of all earlier rows of
     the key as ``<name>_before`` and of the whole key as ``<name>_total``."""
     for name, w in weights.items():
         df = df.withColumn(name, w)
-    b = with_range(df, keys + order, n)
+    b = with_range(df, keys + order, n, sample=sample)
     inside = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     per_range = b.groupBy("_range", *keys).agg(*[F.sum(w).alias(f"_{w}_r") for w in weights])
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -86,12 +93,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     those are ordered. Exact, and no task ever holds a whole key.
     """
     weight = F.sum(n) if n else F.count(F.lit(1))
-    distinct = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(weight.cast("long").alias("_n"))
-    )
-    b = with_range(distinct, keys + ["_v"])
+    rows = df.where(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double"))
+    distinct = rows.groupBy(*keys, "_v").agg(weight.cast("long").alias("_n"))
+    borders = bottom_rows(rows, default_ranges(df))
+    b = with_range(distinct, keys + ["_v"], sample=borders)
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     grid = F.array(*[F.lit(float(p)) for p in probs])
 

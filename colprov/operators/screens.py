@@ -7,13 +7,16 @@ and missingness, the distinct values per (column, value, class) for the AUC.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colprov.functions.joins import join_dim
-from colprov.functions.ranks import exact_median, with_range
+from colprov.functions.ranks import bottom_rows, default_ranges, exact_median, with_range
 from colprov.functions.special import normal_upper, ratio
 from colprov.operators.score import count_if, prf, with_prf
+from colprov.session import cut
 
 KEYS = ["ds", "col"]
 
@@ -97,34 +100,44 @@ def name_pattern(patterns: list[str]) -> str:
 
 def to_long(df: DataFrame, cols: list[str], label: str, ids: list[str]) -> DataFrame:
     """(ids.., y, col, v): one row per cell, values as double."""
-    return df.select(
-        *ids, F.col(label).alias("y"), *[F.col(c).cast("double").alias(c) for c in cols]
-    ).unpivot(ids + ["y"], cols, "col", "v")
+    pairs = [x for c in cols for x in (F.lit(c), F.col(c).cast("double"))]
+    return df.select(*ids, F.col(label).alias("y"), F.stack(F.lit(len(cols)), *pairs).alias("col", "v"))
 
 
 # --------------------------------------------------------------- moments
 
 
-def class_moments(long: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Per (keys, y): rows, nulls, mean and squared deviation of the values."""
-    return long.groupBy(*keys, "y").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count("v").alias("n_val"),
-        F.coalesce(F.avg("v"), F.lit(0.0)).alias("mean"),
-        F.coalesce(F.var_pop("v") * F.count("v"), F.lit(0.0)).alias("m2"),
-        F.min("v").alias("lo"),
-        F.max("v").alias("hi"),
-    )
+def class_moments(df: DataFrame, cols: list[str], label: str, ids: list[str]) -> DataFrame:
+    """Per (ids.., col, y): rows, nulls, mean, squared deviation and span of the values.
 
+    The table is folded as it stands, all columns in one pass; only the few
+    folded rows are turned long.
+    """
+    aggs = []
+    for i, c in enumerate(cols):
+        v = F.col(c).cast("double")
+        aggs.append(
+            F.struct(
+                F.count(v).alias("n_val"),
+                F.coalesce(F.avg(v), F.lit(0.0)).alias("mean"),
+                F.coalesce(F.var_pop(v) * F.count(v), F.lit(0.0)).alias("m2"),
+                F.min(v).alias("lo"),
+                F.max(v).alias("hi"),
+                F.count_if(v != 0).alias("n_nonzero"),
+            ).alias(f"m{i}")
+        )
+    wide = df.groupBy(*ids, F.col(label).alias("y")).agg(F.count(F.lit(1)).alias("n"), *aggs)
+    each = F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"m{i}").alias("m")) for i, c in enumerate(cols)])
+    return wide.select(*ids, "y", "n", F.explode(each).alias("e")).select(*ids, "e.col", "y", "n", "e.m.*")
 
-def filled(moments: DataFrame, medians: DataFrame | None, keys: list[str] = KEYS) -> DataFrame:
-    """The moments as they would be with every null set to the column's median."""
-    m = moments if medians is None else moments.join(medians, keys, "left")
-    med = F.lit(0.0) if medians is None else F.coalesce(F.col("median"), F.lit(0.0))
-    k, gap = F.col("n") - F.col("n_val"), F.col("n") - F.col("n_val")
+
+def filled(moments: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """The moments as they would be with every null set to the column's ``median``."""
+    med = F.coalesce("median", F.lit(0.0))
+    k = F.col("n") - F.col("n_val")
     mean = ratio(F.col("mean") * F.col("n_val") + med * k, F.col("n"))
-    m2 = F.col("m2") + ratio(F.col("n_val") * gap, F.col("n")) * F.pow(F.col("mean") - med, F.lit(2))
-    return m.select(
+    m2 = F.col("m2") + ratio(F.col("n_val") * k, F.col("n")) * F.pow(F.col("mean") - med, F.lit(2))
+    return moments.select(
         *keys,
         "y",
         "n",
@@ -174,73 +187,134 @@ def value_counts(long: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return long.groupBy(*keys, "v", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
-def rank_sums(counts: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+def rank_sums(counts: DataFrame, keys: list[str] = KEYS, sample: DataFrame | None = None) -> DataFrame:
     """Per (keys, y): rows ``n`` and the sum of their average ranks within the key.
 
     ``counts`` holds (keys, v, y, n) without null v. Ranks are taken inside
     contiguous ranges of values and shifted by the rows in earlier ranges.
     """
-    b = with_range(counts, keys + ["v"])
+    b = with_range(counts, keys + ["v"], sample=sample)
     upto = Window.partitionBy("_range", *keys).orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     same = Window.partitionBy("_range", *keys, "v")
     ranked = b.select(
         "_range",
         *keys,
+        "v",
         "y",
         "n",
         (F.sum("n").over(upto) - (F.sum("n").over(same) - 1) / 2.0).alias("_rank"),
     )
     part = ranked.groupBy("_range", *keys, "y").agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("_rank")).alias("_s")
+        F.sum("n").alias("n"),
+        F.sum(F.col("n") * F.col("_rank")).alias("_s"),
+        F.min("v").alias("lo"),
+        F.max("v").alias("hi"),
     )
     earlier = Window.partitionBy(*keys).orderBy("_range").rangeBetween(Window.unboundedPreceding, -1)
     return (
         part.withColumn("_off", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
         .groupBy(*keys, "y")
-        .agg(F.sum("n").alias("n"), F.sum(F.col("_s") + F.col("n") * F.col("_off")).alias("rank_sum"))
+        .agg(
+            F.sum("n").alias("n"),
+            F.sum(F.col("_s") + F.col("n") * F.col("_off")).alias("rank_sum"),
+            F.min("lo").alias("lo"),
+            F.max("hi").alias("hi"),
+        )
     )
 
 
-def class_auc(counts: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+def class_auc(counts: DataFrame, keys: list[str] = KEYS, sample: DataFrame | None = None) -> DataFrame:
     """One-vs-rest AUC per (keys, y) from average ranks; null with one class only."""
     w = Window.partitionBy(*keys)
-    s = rank_sums(counts, keys).withColumn("_rows", F.sum("n").over(w))
+    s = rank_sums(counts, keys, sample).withColumn("_rows", F.sum("n").over(w))
     neg = F.col("_rows") - F.col("n")
     u = F.col("rank_sum") - F.col("n") * (F.col("n") + 1) / 2.0
-    return s.select(*keys, "y", "n", F.try_divide(u, (F.col("n") * neg).cast("double")).alias("auc"))
-
-
-def auc_screen(long: DataFrame, keys: list[str] = KEYS, impute: list[str] | None = None, flat: float = 0.0) -> DataFrame:
-    """max over classes of |auc - .5| + .5, nulls set to the median; ``flat`` for a
-    column that does not vary. ``impute`` names the columns that may hold nulls
-    (default: any), so that medians are only worked out for those."""
-    counts = value_counts(long, keys)
-    if impute is None or impute:
-        may = counts if impute is None else counts.where(F.col("col").isin(impute))
-        med = exact_median(may, keys, "v", "n")
-        counts = counts.join(med, keys, "left").select(
-            *keys, F.coalesce("v", "median").alias("v"), "y", "n"
-        )
-    counts = counts.where(F.col("v").isNotNull())
-    best = class_auc(counts, keys).groupBy(*keys).agg(F.max(F.abs(F.col("auc") - 0.5) + 0.5).alias("a"))
-    span = long.groupBy(*keys).agg((F.min("v") < F.max("v")).alias("live"), F.count("v").alias("nv"))
-    return best.join(span, keys).select(
-        *keys, F.when(F.col("live"), F.coalesce("a", F.lit(flat))).otherwise(F.lit(flat)).alias("auc")
+    return s.select(*keys, "y", "n", "lo", "hi", F.try_divide(u, (F.col("n") * neg).cast("double")).alias("auc"))
+
+
+def medians(df: DataFrame, cols: list[str], ids: list[str]) -> DataFrame:
+    """The exact median of each column; reads no other columns."""
+    pairs = [x for c in cols for x in (F.lit(c), F.col(c).cast("double"))]
+    long = df.select(*ids, F.stack(F.lit(len(cols)), *pairs).alias("col", "v"))
+    return exact_median(long, ids + ["col"], "v")
+
+
+def column_moments(
+    df: DataFrame, cols: list[str], label: str, ids: list[str], impute: list[str] | None = None
+) -> DataFrame:
+    """``class_moments`` with the ``median`` of the columns in ``impute`` (default: all)."""
+    m = class_moments(df, cols, label, ids)
+    impute = cols if impute is None else impute
+    if not impute:
+        return m.withColumn("median", F.lit(None).cast("double"))
+    return m.join(medians(df, impute, ids), ids + ["col"], "left")
+
+
+def filled_counts(df: DataFrame, cols: list[str], label: str, ids: list[str], moments: DataFrame) -> DataFrame:
+    """(keys, v, y, n) with every null counted at its column's median.
+
+    The nulls arrive as a handful of extra rows, so the value counts themselves
+    are never joined to anything.
+    """
+    counts = value_counts(to_long(df, cols, label, ids).where(F.col("v").isNotNull()), ids + ["col"])
+    nulls = moments.where((F.col("n") > F.col("n_val")) & F.col("median").isNotNull())
+    return counts.unionByName(
+        nulls.select(*ids, "col", F.col("median").alias("v"), "y", (F.col("n") - F.col("n_val")).alias("n"))
     )
 
 
+def auc_from(
+    df: DataFrame, cols: list[str], label: str, ids: list[str], moments: DataFrame, flat: float = 0.0
+) -> DataFrame:
+    """max over classes of |auc - .5| + .5 given ``column_moments``; ``flat`` for a
+    column that does not vary."""
+    keys = ids + ["col"]
+    rows = max(1, math.ceil(2 * default_ranges(df) / len(cols)))
+    sample = to_long(bottom_rows(df.select(*ids, label, *cols), rows), cols, label, ids)
+    best = class_auc(filled_counts(df, cols, label, ids, moments), keys, sample)
+    return best.groupBy(*keys).agg(
+        F.when(F.min("lo") < F.max("hi"), F.coalesce(F.max(F.abs(F.col("auc") - 0.5) + 0.5), F.lit(flat)))
+        .otherwise(F.lit(flat))
+        .alias("auc")
+    )
+
+
+def auc_screen(
+    df: DataFrame, cols: list[str], label: str, ids: list[str], impute: list[str] | None = None, flat: float = 0.0
+) -> DataFrame:
+    """The AUC screen on its own. ``impute`` names the columns that may hold nulls
+    (default: all), so that medians are only worked out for those."""
+    may = cols if impute is None else impute
+    moments = cut(column_moments(df, may, label, ids) if may else column_moments(df, cols, label, ids, []))
+    return auc_from(df, cols, label, ids, moments, flat)
+
+
+def association(
+    df: DataFrame, cols: list[str], label: str, ids: list[str], impute: list[str] | None = None
+) -> DataFrame:
+    """|covariance| and |correlation| of every column with every class indicator."""
+    keys = ids + ["col"]
+    return class_association(filled(column_moments(df, cols, label, ids, impute), keys), keys)
+
+
 def column_features(
-    long: DataFrame, truth: DataFrame | None = None, keys: list[str] = KEYS, impute: list[str] | None = None
+    df: DataFrame,
+    cols: list[str],
+    label: str,
+    ids: list[str],
+    truth: DataFrame | None = None,
+    impute: list[str] | None = None,
 ) -> DataFrame:
-    """Every screen of every column in one table: auc, cor, miss, regex (+ truth)."""
-    moments = class_moments(long, keys)
-    med = None
-    if impute is None or impute:
-        may = long if impute is None else long.where(F.col("col").isin(impute))
-        med = exact_median(value_counts(may, keys), keys, "v", "n")
-    cor = class_association(filled(moments, med, keys), keys).groupBy(*keys).agg(F.max("cor").alias("cor"))
+    """Every screen of every column in one table: auc, cor, miss, regex (+ truth).
+
+    The moments, a few rows per column, are kept by a checkpoint: three screens
+    read them and none repeats the scan behind them.
+    """
+    keys = ids + ["col"]
+    moments = cut(column_moments(df, cols, label, ids, impute))
+    cor = class_association(filled(moments, keys), keys).groupBy(*keys).agg(F.max("cor").alias("cor"))
     out = (
-        auc_screen(long, keys, impute)
+        auc_from(df, cols, label, ids, moments)
         .join(cor, keys)
         .join(missing_asymmetry(moments, keys), keys)
         .withColumn("regex", F.regexp_replace("col", "_", " ").rlike(any_of(MARKERS)))
@@ -248,17 +322,20 @@ def column_features(
     return out if truth is None else out.join(truth, keys)
 
 
-def two_way_screen(long: DataFrame, keys: list[str] = KEYS, impute: list[str] | None = None) -> DataFrame:
+def two_way_screen(
+    df: DataFrame, cols: list[str], label: str, ids: list[str], impute: list[str] | None = None
+) -> DataFrame:
     """AUC of the values or of the missingness, whichever is better, and which.
 
     Values need 10 non-nulls and 2 distinct values. The AUC of a 0/1 indicator is
     .5 + half the difference of its rates, so missingness needs no ranking.
     """
-    moments = class_moments(long, keys)
+    keys = ids + ["col"]
     w = Window.partitionBy(*keys)
     null = F.col("n") - F.col("n_val")
     rest = F.sum("n").over(w) - F.col("n")
     gap = F.abs(ratio(null, F.col("n")) - ratio(F.sum(null).over(w) - null, rest))
+    moments = cut(column_moments(df, cols, label, ids, impute))
     miss = (
         moments.withColumn("gap", F.when(rest > 0, gap).otherwise(0.0))
         .groupBy(*keys)
@@ -268,7 +345,7 @@ def two_way_screen(long: DataFrame, keys: list[str] = KEYS, impute: list[str] |
             (F.min("lo") < F.max("hi")).alias("live"),
         )
     )
-    j = auc_screen(long, keys, impute, flat=0.5).join(miss, keys)
+    j = miss.join(auc_from(df, cols, label, ids, moments, flat=0.5), keys, "left")
     a_val = F.when((F.col("nv") >= 10) & F.col("live"), F.greatest("auc", F.lit(0.5))).otherwise(0.5)
     return j.select(
         *keys,
@@ -405,6 +482,13 @@ def association_ranks(assoc: DataFrame, width: int | None = None) -> DataFrame:
     )
 
 
+def n_values(df: DataFrame, cols: list[str], label: str, ids: list[str], impute: list[str] | None = None) -> DataFrame:
+    """Number of distinct values per column; a median that stands in for nulls counts."""
+    keys = ids + ["col"]
+    counts = filled_counts(df, cols, label, ids, column_moments(df, cols, label, ids, impute))
+    return counts.groupBy(*keys, "v").agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.count(F.lit(1)).alias("nun"))
+
+
 def rank_gap(features: DataFrame, distinct: DataFrame) -> DataFrame:
     """AUC rank minus correlation rank per column, with its number of values."""
     w = Window.partitionBy("ds")
@@ -454,17 +538,11 @@ def active(col: str, has_null: Column, levels: list | None = None) -> Column:
     return F.when(has_null, F.col(col).isNotNull()).otherwise(F.coalesce(F.col(col) != 0, F.lit(False)))
 
 
-def activation(long: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Per (keys, y): rows, and rows active under either reading; ``has_null`` is
-    settled per key from the same pass."""
-    per = long.groupBy(*keys, "y").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count("v").alias("n_val"),
-        count_if(F.col("v") != 0).alias("n_nonzero"),
-    )
-    w = Window.partitionBy(*keys)
-    nulls = F.sum(F.col("n") - F.col("n_val")).over(w) > 0
-    return per.select(*keys, "y", "n", F.when(nulls, F.col("n_val")).otherwise(F.col("n_nonzero")).alias("n_active"))
+def activation(moments: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Per (keys, y): rows, and rows where the column is active: non-null if the
+    column has nulls anywhere, else non-zero."""
+    nulls = F.sum(F.col("n") - F.col("n_val")).over(Window.partitionBy(*keys)) > 0
+    return moments.select(*keys, "y", "n", F.when(nulls, F.col("n_val")).otherwise(F.col("n_nonzero")).alias("n_active"))
 
 
 def one_sidedness(act: DataFrame, keys: list[str] = KEYS, floor: float = 0.7) -> DataFrame:

@@ -86,12 +86,9 @@ LONG_SQL = (
 )
 
 
-def audit_long(t: Tables, label: str = "y") -> DataFrame:
-    """(ds, col, v, y), one dataset per order priority."""
-    from colprov.operators.screens import to_long
-
-    a = audit(t).withColumn("ds", F.col("o_orderpriority"))
-    return to_long(a, FEATURES, label, ["ds"])
+def audit_ds(t: Tables) -> DataFrame:
+    """AUDIT with a dataset name: one dataset per order priority."""
+    return audit(t).withColumn("ds", F.col("o_orderpriority"))
 
 
 def truth(t: Tables) -> DataFrame:

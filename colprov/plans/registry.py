@@ -10,6 +10,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+MIN_BYTES = 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a table that landed in fewer files than there are cores.
+
+    A table in many files, as on a cluster, is returned untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < MIN_BYTES or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
+
+
 class Tables:
     """The parquet tables of one data folder, opened on first use."""
 
@@ -18,7 +33,7 @@ class Tables:
         self.folder = folder.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
 
 
 def query(name: str, sql: str | None = None):

@@ -59,12 +59,16 @@ features AS (
   FROM auc JOIN cor USING (ds, col) JOIN miss USING (ds, col) JOIN truth USING (ds, col))"""
 
 
+def AUDIT(t: Tables):
+    return fr.audit_ds(t), fr.FEATURES, "y", ["ds"]
+
+
 def rounded(df, *cols):
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
 
 def features(t: Tables):
-    f = S.column_features(fr.audit_long(t), fr.truth(t), impute=NULLABLE)
+    f = S.column_features(*AUDIT(t), truth=fr.truth(t), impute=NULLABLE)
     return rounded(f, "auc", "cor", "miss")
 
 
@@ -79,7 +83,7 @@ def c1(t: Tables):
     f"WITH {fr.LONG_SQL},\n{MEDIAN_SQL},\n{AUC_SQL} SELECT ds, col, round(auc, 6) AS auc FROM auc",
 )
 def c2(t: Tables):
-    return rounded(S.auc_screen(fr.audit_long(t), impute=NULLABLE), "auc")
+    return rounded(S.auc_screen(*AUDIT(t), impute=NULLABLE), "auc")
 
 
 @query(
@@ -87,9 +91,7 @@ def c2(t: Tables):
     f"WITH {fr.LONG_SQL},\n{MEDIAN_SQL},\n{COR_SQL} SELECT ds, col, y, round(cor, 6) AS cor FROM assoc",
 )
 def c3(t: Tables):
-    long = fr.audit_long(t)
-    med = S.exact_median(S.value_counts(long.where(F.col("col").isin(NULLABLE))), S.KEYS, "v", "n")
-    a = S.class_association(S.filled(S.class_moments(long), med))
+    a = S.association(*AUDIT(t), impute=NULLABLE)
     return rounded(a.select("ds", "col", "y", "cor"), "cor")
 
 
@@ -99,9 +101,9 @@ long AS (SELECT ds, 'quality' AS col, quality AS v, y FROM j UNION ALL SELECT ds
          UNION ALL SELECT ds, 'n_chars', n_chars, y FROM j)"""
 
 
-def labelled_long(t: Tables):
+def LABELLED(t: Tables):
     j = t.documents.join(t.labels, "doc_id", "left").withColumn("ds", F.col("source"))
-    return S.to_long(j, ["quality", "toxic", "n_chars"], "lang", ["ds"])
+    return j, ["quality", "toxic", "n_chars"], "lang", ["ds"]
 
 
 @query(
@@ -109,7 +111,7 @@ def labelled_long(t: Tables):
     f"WITH {LABELLED_LONG_SQL},\n{MISS_SQL} SELECT ds, col, round(miss, 6) AS miss FROM miss",
 )
 def c4(t: Tables):
-    return rounded(S.missing_asymmetry(S.class_moments(labelled_long(t))), "miss")
+    return rounded(S.missing_asymmetry(S.class_moments(*LABELLED(t))), "miss")
 
 
 C5_SQL = f"""WITH {LABELLED_LONG_SQL}, {MEDIAN_SQL}, {AUC_SQL},
@@ -126,7 +128,7 @@ C5_SQL = f"""WITH {LABELLED_LONG_SQL}, {MEDIAN_SQL}, {AUC_SQL},
 
 @query("c5_values_or_missingness", C5_SQL)
 def c5(t: Tables):
-    return rounded(S.two_way_screen(labelled_long(t)), "a_val", "a_miss", "score")
+    return rounded(S.two_way_screen(*LABELLED(t), impute=["quality", "toxic"]), "a_val", "a_miss", "score")
 
 
 @query(
@@ -136,7 +138,7 @@ def c5(t: Tables):
       is_pos AND rank() OVER (PARTITION BY ds ORDER BY auc DESC) <= 3 AS caught FROM features""",
 )
 def c6(t: Tables):
-    a = rounded(S.auc_screen(fr.audit_long(t), impute=NULLABLE), "auc")
+    a = rounded(S.auc_screen(*AUDIT(t), impute=NULLABLE), "auc")
     return S.screen_rank(a, "auc", fr.truth(t)).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -216,9 +218,7 @@ RANKS_SQL = f"""WITH {fr.LONG_SQL}, {MEDIAN_SQL}, {COR_SQL},
 
 @query("c10_association_ranks", RANKS_SQL)
 def c10(t: Tables):
-    long = fr.audit_long(t)
-    med = S.exact_median(S.value_counts(long.where(F.col("col").isin(NULLABLE))), S.KEYS, "v", "n")
-    a = S.class_association(S.filled(S.class_moments(long), med))
+    a = S.association(*AUDIT(t), impute=NULLABLE)
     return rounded(S.association_ranks(a), "s_cov", "s_cor")
 
 
@@ -232,18 +232,9 @@ GAP_SQL = (
 
 
 def gaps(t: Tables):
-    long = fr.audit_long(t)
-    counts = S.value_counts(long)
-    # the median of a column with nulls becomes a value of its own
-    med = S.exact_median(counts.where(F.col("col").isin(NULLABLE)), S.KEYS, "v", "n")
-    has = (
-        counts.join(med, S.KEYS, "left")
-        .groupBy("ds", "col")
-        .agg(
-            F.count_distinct(F.coalesce("v", "median")).alias("nun"),
-        )
-    )
-    return S.rank_gap(features(t), has)
+    df, cols, y, ids = AUDIT(t)
+    nun = S.n_values(df, cols, y, ids, impute=NULLABLE)
+    return S.rank_gap(features(t), nun)
 
 
 @query("c11_rank_gap", GAP_SQL + " SELECT * FROM gap")
@@ -282,7 +273,7 @@ act AS (SELECT ds, col, y, count(*) AS n, count(*) FILTER (WHERE CASE WHEN has_n
          coalesce(k / n_active >= .7, FALSE) AS one_sided FROM tot JOIN top USING (ds, col) WHERE rn = 1""",
 )
 def c12(t: Tables):
-    return rounded(S.one_sidedness(S.activation(fr.audit_long(t))), "share")
+    return rounded(S.one_sidedness(S.activation(S.class_moments(*AUDIT(t)))), "share")
 
 
 @query(
@@ -293,7 +284,7 @@ def c12(t: Tables):
          max(n_active / n) < .1 AS silent FROM act WHERE y IN ('A', 'N') GROUP BY ds, col""",
 )
 def c13(t: Tables):
-    return rounded(S.pair_silence(S.activation(fr.audit_long(t)), ("A", "N")), "rate_a", "rate_b")
+    return rounded(S.pair_silence(S.activation(S.class_moments(*AUDIT(t))), ("A", "N")), "rate_a", "rate_b")
 
 
 C14_COLS = ["l_linenumber", "l_linestatus", "l_returnflag", "y2", "const_col", "o_orderpriority"]
