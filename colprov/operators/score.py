@@ -276,8 +276,9 @@ def rename_decrement(original: DataFrame, aliased: DataFrame) -> DataFrame:
     """F1 on original names less F1 on aliases over identical cells: a cell whose
     join failed in either arm leaves both."""
     key = ["model", "ds", "seed", "cond"]
-    bad = original.where("n_matched = 0").select("ds", "cond").unionByName(aliased.where("n_matched = 0").select("ds", "cond")).distinct()
-    shared = original.select(*key).join(aliased.select(*key), key, "left_semi").join(bad, ["ds", "cond"], "left_anti")
+    lost = ["model", "ds", "cond"]
+    bad = original.where("n_matched = 0").select(*lost).unionByName(aliased.where("n_matched = 0").select(*lost)).distinct()
+    shared = original.select(*key).join(aliased.select(*key), key, "left_semi").join(bad, lost, "left_anti")
     arms = [
         pooled(t.join(shared, key, "left_semi"), ["model", "cond"]).select("model", "cond", F.col("f1").alias(n), F.col("n_ds").alias(f"ds_{n}"))
         for t, n in ((original, "f1_original"), (aliased, "f1_alias"))

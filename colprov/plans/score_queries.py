@@ -217,8 +217,8 @@ sh AS (SELECT DISTINCT paraphrase, model, ds, cond, seed, CASE WHEN NOT paraphra
 acells AS (SELECT DISTINCT paraphrase, model, ds, cond, seed FROM sh),
 ad AS (SELECT c.*, t.col, t.is_pos, coalesce(v.verdict = 'UNAVAILABLE', FALSE) AS flagged, v.col IS NOT NULL AS answered FROM acells c JOIN cell_truth t ON c.ds = t.ds
   LEFT JOIN sh v ON v.paraphrase = c.paraphrase AND v.model = c.model AND v.ds = c.ds AND v.cond = c.cond AND v.seed = c.seed AND v.col = t.col),
-bad AS (SELECT DISTINCT ds, cond FROM (SELECT paraphrase, model, ds, cond, seed FROM ad GROUP BY ALL HAVING count(*) FILTER (WHERE answered) = 0)),
-both_ AS (SELECT model, ds, cond, seed FROM acells ANTI JOIN bad USING (ds, cond) GROUP BY ALL HAVING count(*) = 2),
+bad AS (SELECT DISTINCT model, ds, cond FROM (SELECT paraphrase, model, ds, cond, seed FROM ad GROUP BY ALL HAVING count(*) FILTER (WHERE answered) = 0)),
+both_ AS (SELECT model, ds, cond, seed FROM acells ANTI JOIN bad USING (model, ds, cond) GROUP BY ALL HAVING count(*) = 2),
 c AS (SELECT paraphrase, model, cond, """ + CNT + """, count(DISTINCT ds) AS nd FROM ad JOIN both_ USING (model, ds, cond, seed) GROUP BY ALL),
 f AS (SELECT *, CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f FROM c)"""
 
