@@ -3,10 +3,11 @@ ground truth whole, and say what is out of scope."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colprov.functions.joins import join_dim
+from colprov.functions.ranks import dense_codes
 from colprov.operators.score import count_if
 from colprov.operators.screens import MARKERS, any_of
 
@@ -246,7 +247,8 @@ def coder_sheet(columns: DataFrame, seed_order: Column) -> DataFrame:
     """One row per dataset: its columns in one field, the answer fields empty, and a
     seeded position that every renderer shares."""
     per = columns.groupBy("ds").agg(F.array_join(F.array_sort(F.collect_list("col")), "|").alias("columns"), F.count(F.lit(1)).alias("n_columns"))
-    return per.select("ds", "columns", "n_columns", F.lit("").alias("answer"), F.lit("").alias("note"), F.row_number().over(Window.orderBy(seed_order, "ds")).alias("item"))
+    placed = dense_codes(per.withColumn("_o", seed_order), [], ["_o", "ds"], "item")
+    return placed.select("ds", "columns", "n_columns", F.lit("").alias("answer"), F.lit("").alias("note"), (F.col("item") + 1).alias("item"))
 
 
 def stale(table_time: DataFrame, input_time: DataFrame) -> DataFrame:

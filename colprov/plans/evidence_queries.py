@@ -96,15 +96,15 @@ def i6(t: Tables):
     return I.evidence_summary(pos, fr.evidence(t))
 
 
-CAND_SQL = """cand AS (SELECT lang || source AS ds, CASE WHEN n_chars < 500 THEN 'no licensing phrase' WHEN n_chars < 1500 THEN 'IS_TARGET' END AS reject FROM documents WHERE n_chars < 6000 AND doc_id % 3 = 0)"""
+CAND_SQL = """cand AS (SELECT lang || source AS ds, CASE WHEN n_chars < 500 THEN 'no licensing phrase' WHEN n_chars < 1500 THEN 'IS_TARGET' END AS reject FROM documents WHERE n_chars < 6000)"""
 
 
-@query("i6_attrition_by_reason", "WITH " + CAND_SQL.replace(" AND doc_id % 3 = 0", "") + " SELECT reject, count(*) AS n FROM cand WHERE reject IS NOT NULL GROUP BY reject")
+@query("i6_attrition_by_reason", "WITH " + CAND_SQL + " SELECT reject, count(*) AS n FROM cand WHERE reject IS NOT NULL GROUP BY reject")
 def i6b(t: Tables):
     return I.attrition(candidates(t), docs_ds(t))[0]
 
 
-@query("i6_zero_yield_datasets", "WITH " + CAND_SQL.replace(" AND doc_id % 3 = 0", "") + " SELECT DISTINCT lang || source AS ds FROM documents WHERE lang || source NOT IN (SELECT ds FROM cand WHERE reject IS NULL)")
+@query("i6_zero_yield_datasets", "WITH " + CAND_SQL + " SELECT DISTINCT lang || source AS ds FROM documents WHERE lang || source NOT IN (SELECT ds FROM cand WHERE reject IS NULL)")
 def i6c(t: Tables):
     return I.attrition(candidates(t), docs_ds(t))[1]
 
@@ -246,9 +246,6 @@ def i13(t: Tables):
     return I.positive_priority(cols, fr.evidence(t)).withColumn("n_sources", F.col("n_sources").cast("long"))
 
 
-FOUND_SQL = """f AS (SELECT 'AUDIT' AS ds, 'part_flag' AS col, 'a' AS quote UNION ALL SELECT 'AUDIT', 'late_flag', NULL UNION ALL SELECT 'AUDIT', 'y2', '')"""
-
-
 @query(
     "i14_backfilled_records",
     f"""WITH {fr.AUDIT_SQL}, x AS (SELECT (y = 'A' AND l_tax > 0.04)::INT AS part_flag, (y = 'R')::INT AS late_flag, y2, y <> 'R' AS kept FROM audit),
