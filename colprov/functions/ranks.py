@@ -24,7 +24,7 @@ def default_ranges(df: DataFrame) -> int:
 
 def bottom_rows(df: DataFrame, k: int) -> DataFrame:
     """The k rows with the smallest hash: a sample that is a function of the data."""
-    return df.select("*", F.xxhash64(*df.columns).alias("_h")).orderBy("_h", *df.columns).limit(k).drop("_h")
+    return df.select("*", F.xxhash64(*df.columns).alias("_sample_hash")).orderBy("_sample_hash", *df.columns).limit(k).drop("_sample_hash")
 
 
 def with_range(
@@ -39,14 +39,14 @@ def with_range(
     n = n or default_ranges(df)
     sample = bottom_rows(df.select(*order), n) if sample is None else sample.select(*order)
     borders = sample.agg(F.array_sort(F.collect_set(F.struct(*order))).alias("b")).scalar()
-    out = df.withColumns({"_p": F.struct(*order), "_b": borders, name: F.lit(0)})
+    out = df.withColumns({"_point": F.struct(*order), "_borders": borders, name: F.lit(0)})
     # binary search, one step per projection
     half = 1 << max(0, math.ceil(math.log2(n + 1)) - 1)
     while half:
-        at = F.get("_b", F.col(name) + (half - 1))
-        out = out.withColumn(name, F.col(name) + F.when(at <= F.col("_p"), half).otherwise(0))
+        at = F.get("_borders", F.col(name) + (half - 1))
+        out = out.withColumn(name, F.col(name) + F.when(at <= F.col("_point"), half).otherwise(0))
         half //= 2
-    return out.drop("_p", "_b")
+    return out.drop("_point", "_borders")
 
 
 def running_before(

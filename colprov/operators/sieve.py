@@ -138,6 +138,21 @@ def anchor(hits: DataFrame, columns: DataFrame, key: list[str], min_len: int = 2
     return hits.join(every, key, "left").withColumn("columns", F.coalesce("columns", F.array().cast("array<string>")))
 
 
+def anchor_inline(hits: DataFrame, columns: DataFrame, min_len: int = 2, ignore_case: bool = False, text: str = "sentence") -> DataFrame:
+    """``anchor`` without a shuffle of the hits, for streams: the names of a dataset
+    travel as one array, as long as a table is wide, and are tested in the row."""
+    per = columns.where(F.length("col") >= min_len).groupBy("ds").agg(F.collect_set("col").alias("_names"))
+    low = (lambda c: F.lower(c)) if ignore_case else (lambda c: c)
+    words = tokens(low(F.col(text)))
+    j = join_dim(hits, per, ["ds"], "left")
+    hit = F.filter(
+        F.coalesce("_names", F.array().cast("array<string>")),
+        lambda n: F.when(n.rlike(PLAIN), F.array_contains(words, low(n))).otherwise(F.rlike(F.col(text), whole_token(n, ignore_case))),
+    )
+    order = F.array_sort(F.transform(hit, lambda n: F.struct((-F.length(n)).alias("l"), n.alias("c"))))
+    return j.withColumn("columns", F.transform(order, lambda x: x["c"])).drop("_names")
+
+
 def self_anchor(hits: DataFrame) -> DataFrame:
     """A field variables[x] is about column x even when its text does not repeat the name."""
     own = F.regexp_extract("field", r"^variables\[(.+)\]$", 1)

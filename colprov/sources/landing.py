@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from colprov.functions.text import squeeze
 
-PATH = F.col("_metadata.file_path")
+PATH = "_metadata.file_path"
 
 
 # ------------------------------------------------------------------- tables
@@ -41,11 +41,10 @@ def read_headerless(spark: SparkSession, path: str, schema: T.StructType, sep: s
     """A file without a header, under supplied names. Lines that do not fit the
     schema come back as rejects, whole."""
     wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    raw = spark.read.schema(wide).option("sep", sep).option("mode", "PERMISSIVE").option("nullValue", null_token).option(
-        "columnNameOfCorruptRecord", "_corrupt_record"
-    ).csv(path)
-    good = raw.where("_corrupt_record IS NULL").drop("_corrupt_record")
-    return good, raw.where("_corrupt_record IS NOT NULL").select(*schema.fieldNames(), "_corrupt_record").select(F.col("_corrupt_record").alias("line"))
+    options = {"sep": sep, "mode": "PERMISSIVE", "nullValue": null_token, "columnNameOfCorruptRecord": "_corrupt_record"}
+    raw = spark.read.text(path).where(F.trim("value") != "").select("value", F.from_csv("value", F.lit(wide.toDDL()), options).alias("r"))
+    good = raw.where("r._corrupt_record IS NULL").select(*[f"r.`{c}`" for c in schema.fieldNames()])
+    return good, raw.where("r._corrupt_record IS NOT NULL").select(F.col("value").alias("line"))
 
 
 def read_arff(spark: SparkSession, path: str, null_token: str = "?") -> DataFrame:
@@ -81,12 +80,12 @@ def _unquote(declaration: str) -> list[str]:
 def read_json_files(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """One JSON record per file: (records with their file, rejected files). Fields
     that are text in some files and lists in others are declared STRING."""
-    raw = spark.read.text(path, wholetext=True).select(PATH.alias("file"), F.col("value").alias("text"))
+    raw = spark.read.text(path, wholetext=True).select(F.col(PATH).alias("file"), F.col("value").alias("text"))
     parsed = raw.withColumn("r", F.from_json("text", schema))
     # a record none of whose fields could be read is a file that could not be read
     fields = [f"r.{f.name}" for f in parsed.schema["r"].dataType.fields]
     empty = F.coalesce(*[F.col(f).cast("string") for f in fields]).isNull()
-    return parsed.where(~empty).select("file", "r.*"), parsed.where(empty).select("file", F.length("text").alias("n_chars"))
+    return parsed.where(~empty).select("file", "r.*"), parsed.where(empty).select("file", F.length(F.regexp_replace("text", r"\s+$", "")).alias("n_chars"))
 
 
 def read_json_map(spark: SparkSession, path: str) -> DataFrame:
@@ -143,7 +142,7 @@ def still_to_do(index: DataFrame, cached: DataFrame, dead: DataFrame, key: str)
 def read_headers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(file, col) from the first non-empty line of each CSV or TSV file, and the
     files that gave none, with a reason."""
-    lines = spark.read.text(path).select(PATH.alias("file"), "value", F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    lines = spark.read.text(path).select(F.col(PATH).alias("file"), "value", F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
     first = lines.groupBy("file").agg(F.min_by("value", F.struct("_b", "_i")).alias("line"))
     sep = F.when(F.lower("file").endswith(".tsv"), "\t").otherwise(",")
     cols = F.filter(
