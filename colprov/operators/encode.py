@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from colprov.functions.joins import join_dim
 from colprov.functions.ranks import dense_codes, exact_median
 from colprov.operators.score import count_if
+from colprov.session import cut
 
 NUMERIC = (T.NumericType, T.BooleanType)
 
@@ -71,7 +72,7 @@ def is_numeric(df: DataFrame, c: str) -> bool:
 
 def attach_codes(df: DataFrame, c: str, codes: DataFrame, missing: Column) -> DataFrame:
     """Replace text column ``c`` by the code of its value, ``missing`` where null."""
-    keyed = codes.select(F.col("_value").alias(c), F.col("code").cast("double").alias("_code"))
+    keyed = cut(codes.select(F.col("_value").alias(c), F.col("code").cast("double").alias("_code")))
     out = join_dim(df, keyed, [c], "left").withColumn(c, F.coalesce("_code", missing)).drop("_code")
     return out.select(*df.columns)
 

@@ -120,19 +120,27 @@ def condset_by_target(
 # --------------------------------------------------------------- anchoring
 
 
+def longest_token(name: Column) -> Column:
+    """The longest run of letters, digits and underscores in a name; '' if it has none."""
+    runs = F.transform(tokens(name), lambda x: F.struct(F.length(x).alias("n"), x.alias("t")))
+    return F.coalesce(F.array_max(runs)["t"], F.lit(""))
+
+
 def anchor(hits: DataFrame, columns: DataFrame, key: list[str], min_len: int = 2, ignore_case: bool = False, text: str = "sentence") -> DataFrame:
     """Add ``columns``: the names of the dataset's columns that occur in the text as
-    whole tokens, longest first. ``key`` identifies a hit; both sides carry ``ds``."""
+    whole tokens, longest first. ``key`` identifies a hit; both sides carry ``ds``.
+
+    Names and texts meet by equi-join on a token. A name of several tokens meets on
+    its longest and is then verified in the text.
+    """
     low = (lambda c: F.lower(c)) if ignore_case else (lambda c: c)
-    names = columns.where(F.length("col") >= min_len).select("ds", "col").distinct()
-    words = hits.select(*dict.fromkeys([*key, "ds"]), F.explode(tokens(low(F.col(text)))).alias("tok"))
-    plain = names.where(F.col("col").rlike(PLAIN)).withColumn("tok", low(F.col("col")))
-    found = join_dim(words, plain, ["ds", "tok"]).select(*key, "col")
-    other = names.where(~F.col("col").rlike(PLAIN))
-    odd = join_dim(hits.select(*dict.fromkeys([*key, "ds", text])), other, ["ds"]).where(
-        F.instr(low(F.col(text)), low(F.col("col"))) > 0
-    ).where(F.rlike(F.col(text), whole_token(F.col("col"), ignore_case))).select(*key, "col")
-    every = found.unionByName(odd).groupBy(*key).agg(
+    names = columns.where(F.length("col") >= min_len).select("ds", "col").distinct().withColumn("tok", longest_token(low(F.col("col"))))
+    # a blank text holds the empty token, so that names without any token are still tried
+    words = hits.select(*dict.fromkeys([*key, "ds"]), F.explode(F.array_union(tokens(low(F.col(text))), F.array(F.lit("")))).alias("tok"))
+    near = join_dim(words, names, ["ds", "tok"]).select(*key, "col")
+    plain = F.col("col").rlike(PLAIN)
+    odd = near.where(~plain).join(hits.select(*key, text), key).where(F.rlike(F.col(text), whole_token(F.col("col"), ignore_case)))
+    every = near.where(plain).unionByName(odd.select(*key, "col")).groupBy(*key).agg(
         F.transform(F.array_sort(F.collect_set(F.struct((-F.length("col")).alias("l"), F.col("col").alias("c")))), lambda x: x["c"]).alias("columns")
     )
     return hits.join(every, key, "left").withColumn("columns", F.coalesce("columns", F.array().cast("array<string>")))
@@ -452,23 +460,23 @@ def mirrors(docs: DataFrame, fingerprints: DataFrame, credits: DataFrame, share:
     hay = F.lower(F.concat_ws(" ", "title", "text"))
     d = docs.select("doc_id", hay.alias("_hay"))
     words = d.select("doc_id", F.explode(tokens(F.col("_hay"), "a-z0-9_")).alias("word"))
-    plain = r"^[a-z0-9_]+$"
+    plain = F.col("word").rlike(r"^[a-z0-9_]+$")
     fp = fingerprints.select("name", "rank", F.lower("word").alias("word"), "kind").distinct()
     cr = credits.select("name", "rank", F.lower("phrase").alias("word"), F.lit("credit").alias("kind")).distinct()
-    every = fp.unionByName(cr)
-    hit = join_dim(words, every.where(F.col("word").rlike(plain)), ["word"]).select("doc_id", "name", "rank", "kind")
-    # the few words that are no single token are carried as one short list
-    odd = every.where(~F.col("word").rlike(plain)).agg(F.collect_set(F.struct("name", "rank", "word", "kind"))).scalar()
-    loose = d.withColumn("_odd", odd).select(
-        "doc_id",
-        F.explode(
-            F.filter(
-                "_odd",
-                lambda w: F.contains(F.col("_hay"), w["word"])
-                & ((w["kind"] == "credit") | F.rlike(F.col("_hay"), F.concat(F.lit("(?<![a-z0-9_])"), escaped(w["word"]), F.lit("(?![a-z0-9_])")))),
-            )
-        ).alias("w"),
-    ).select("doc_id", "w.name", "w.rank", "w.kind")
+    every = fp.unionByName(cr.where(plain)).withColumn("tok", longest_token(F.col("word")))
+    near = join_dim(words.withColumnRenamed("word", "tok"), every, ["tok"])
+    hit = near.where(plain).select("doc_id", "name", "rank", "kind")
+    # a name of several tokens met on its longest: verify it in the text
+    odd = near.where(~plain).join(d, "doc_id").where(
+        F.rlike(F.col("_hay"), F.concat(F.lit("(?<![a-z0-9_])"), escaped(F.col("word")), F.lit("(?![a-z0-9_])")))
+    ).select("doc_id", "name", "rank", "kind")
+    # credited phrases are substrings, so they are looked for in the text itself: a
+    # hand-written list, a few per known dataset
+    phrases = cr.where(~plain).agg(F.collect_set(F.struct("name", "rank", "word"))).scalar()
+    credited = d.withColumn("_phrases", phrases).select(
+        "doc_id", F.explode(F.filter("_phrases", lambda w: F.contains(F.col("_hay"), w["word"]))).alias("w")
+    ).select("doc_id", "w.name", "w.rank", F.lit("credit").alias("kind"))
+    loose = odd.unionByName(credited)
     sizes = fp.where("kind = 'long'").groupBy("name").agg(F.count(F.lit(1)).alias("size"))
     per = hit.unionByName(loose).groupBy("doc_id", "name", "rank").agg(
         *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("long", "short", "target", "credit")]

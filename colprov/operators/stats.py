@@ -10,7 +10,7 @@ from collections.abc import Callable
 from itertools import combinations
 from math import comb
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colprov.functions.joins import join_dim
@@ -71,7 +71,8 @@ def cluster_bootstrap(
     per = matched.groupBy("model", "ds").agg(
         *[F.coalesce(F.sum(F.when(F.col("cond") == c, F.col(x))), F.lit(0)).alias(f"{x}_{c}") for c in (a, b) for x in counts]
     )
-    per = dense_codes(per, ["model"], ["ds"], "slot")
+    # one short row per dataset, read four times below
+    per = cut(dense_codes(cut(per), ["model"], ["ds"], "slot"))
     n = per.groupBy("model").agg(F.count(F.lit(1)).alias("n_ds")).where("n_ds > 1")
     slots = per.select("model", "slot").join(n, "model")
     drawn = slots.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select(
@@ -330,7 +331,8 @@ def random_relabel(
 ) -> DataFrame:
     """Gap when a random ``share`` of the boundary labels is flipped: mean and 95%
     range over draws. ``order(draw, slot)`` ranks the labels within a draw."""
-    items = dense_codes(tallies.select("ds", "col").distinct(), [], ["ds", "col"], "slot")
+    tallies = cut(tallies)
+    items = cut(dense_codes(tallies.select("ds", "col").distinct(), [], ["ds", "col"], "slot"))
     n = items.agg(F.count(F.lit(1))).scalar()
     order = order or (lambda d, s: F.xxhash64(d, s, F.lit(seed)))
     k = F.greatest(F.lit(1), F.round(F.lit(share) * F.col("_n")).cast("int"))
@@ -339,8 +341,7 @@ def random_relabel(
         .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
         .withColumn("_o", order(F.col("draw").cast("long"), F.col("slot")))
     )
-    w = Window.partitionBy("draw").orderBy("_o", "slot")
-    flips = ranked.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).select("draw", "ds", "col")
+    flips = dense_codes(ranked, ["draw"], ["_o", "slot"], "_rank").where(F.col("_rank") < k).select("draw", "ds", "col")
     toward = F.when(F.col("subtype") == REASON, -1).otherwise(1)
     moved = flips.join(tallies, ["ds", "col"]).groupBy("draw", "model").agg(
         F.sum(toward * F.col("h")).alias("dh"), F.sum(toward * F.col("n")).alias("dn")

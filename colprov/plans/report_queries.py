@@ -36,17 +36,18 @@ def e30(t: Tables):
 
 
 def event_reports(t: Tables):
-    """One report per user, quoting every event; its sources hold every second one."""
+    """One report per fifty events, quoting each; its sources hold every second one."""
     v = F.format_string("%.2f", "value")
-    line = F.concat(F.lit("The "), "event_type", F.lit(" event of this user had a value of "), v, F.lit(" units in all."))
+    line = F.concat(F.lit("The "), "event_type", F.lit(" event of this batch had a value of "), v, F.lit(" units in all."))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("s")))), lambda x: x["s"]), "\n")
-    reports = t.events.groupBy(F.col("user_id").alias("report_id")).agg(text.alias("text"))
-    return reports, t.events.where("event_id % 2 = 0").select(F.col("user_id").alias("report_id"), v.alias("value"))
+    batch = F.floor(F.col("event_id") / 50).alias("report_id")
+    reports = t.events.groupBy(batch).agg(text.alias("text"))
+    return reports, t.events.where("event_id % 2 = 0").select(batch, v.alias("value"))
 
 
 @query(
     "e31_number_provenance",
-    """WITH v AS (SELECT DISTINCT user_id, event_type, event_id % 2 = 0 AS src, format('{:.2f}', value) AS v FROM events), c AS (SELECT DISTINCT user_id, v FROM v), s AS (SELECT DISTINCT user_id, v FROM v WHERE src),
+    """WITH v AS (SELECT DISTINCT event_id // 50 AS user_id, event_type, event_id % 2 = 0 AS src, format('{:.2f}', value) AS v FROM events), c AS (SELECT DISTINCT user_id, v FROM v), s AS (SELECT DISTINCT user_id, v FROM v WHERE src),
    n AS (SELECT c.user_id, c.v, s.v IS NOT NULL AS direct FROM c LEFT JOIN s ON s.user_id = c.user_id AND s.v = c.v),
    d AS (SELECT n.user_id, n.v, bool_or(b.v IS NOT NULL) AS derived FROM n JOIN s a ON a.user_id = n.user_id LEFT JOIN s b ON b.user_id = n.user_id AND abs((b.v::DOUBLE - a.v::DOUBLE) - n.v::DOUBLE) < 0.0015 AND b.v::DOUBLE > a.v::DOUBLE WHERE NOT direct GROUP BY ALL)
    SELECT n.user_id AS report_id, n.v AS value, CASE WHEN direct THEN 'DIRECT' WHEN coalesce(derived, FALSE) THEN 'DERIVED' ELSE 'UNSOURCED' END AS status FROM n LEFT JOIN d USING (user_id, v)""",

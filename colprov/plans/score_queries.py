@@ -11,6 +11,7 @@ from colprov.plans import frames as fr
 from colprov.plans.cell_queries import alien, tally
 from colprov.plans.registry import Tables, query
 from colprov.plans.screen_queries import COUNTS, MCC_TAIL, PRF_TAIL, rounded
+from colprov.session import cut
 
 # the decisions written out: every truth column of every guarded cell
 DEC_SQL = fr.DECISIONS_SQL.replace("verdicts v ON", "shown v ON").replace("FROM verdicts)", "FROM shown)").replace(
@@ -29,7 +30,9 @@ CNT = """count(*) FILTER (WHERE is_pos AND flagged) AS tp, count(*) FILTER (WHER
 
 
 def scored(t: Tables):
-    return C.guarded(tally(t))
+    """The guarded cell tally, kept by a checkpoint: one short row per cell that every
+    comparison reads several times, while the verdicts behind it are read once."""
+    return cut(C.guarded(tally(t)))
 
 
 def r3(df):
