@@ -35,14 +35,30 @@ def matches(text: Column, pattern) -> Column:
     return F.regexp_extract_all(text, as_column(pattern), F.lit(0))
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once.
+
+    An expression named inside a lambda would otherwise be evaluated for every
+    element; wrapped in a one-element array it becomes a lambda variable.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def occurrences(text: Column, pattern) -> Column:
     """Array of (at, hit): 0-based start and text of every match, left to right."""
-    hits = matches(text, pattern)
-    gaps = F.split(text, as_column(pattern), F.lit(-1))
-    before = lambda arr, n: F.aggregate(F.slice(arr, 1, n), F.lit(0), lambda acc, x: acc + F.length(x))
-    return F.transform(
-        hits, lambda h, i: F.struct((before(gaps, i + 1) + before(hits, i)).alias("at"), h.alias("hit"))
-    )
+    both = F.struct(matches(text, pattern).alias("hits"), F.split(text, as_column(pattern), F.lit(-1)).alias("gaps"))
+
+    def placed(b):
+        lengths = F.transform(b["hits"], lambda h, i: F.length(b["gaps"][i]) + F.when(i > 0, F.length(F.get(b["hits"], i - 1))).otherwise(0))
+        return bind(
+            F.struct(b["hits"].alias("hits"), lengths.alias("steps")),
+            lambda c: F.transform(
+                c["hits"],
+                lambda h, i: F.struct(F.aggregate(F.slice(c["steps"], 1, i + 1), F.lit(0), lambda acc, x: acc + x).alias("at"), h.alias("hit")),
+            ),
+        )
+
+    return bind(both, placed)
 
 
 def first_match(text: Column, pattern, limit: int | None = None) -> Column:

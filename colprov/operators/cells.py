@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colprov.functions.joins import join_dim
+from colprov.functions.text import bind
 
 
 def newest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -38,29 +39,21 @@ def parse_answers(df: DataFrame, raw: str = "raw") -> DataFrame:
     whole = F.from_json(text, ANSWER)["columns"]
     inner = F.from_json(F.regexp_extract(text, r'(?s)\{.*"columns".*\}', 0), ANSWER)["columns"]
     pair = r'(?s)"name"\s*:\s*"([^"]+)".{0,400}?"verdict"\s*:\s*"(AVAILABLE|UNAVAILABLE|ABSTAIN)"'
-    names = F.regexp_extract_all(text, F.lit(pair), 1)
-    said = F.regexp_extract_all(text, F.lit(pair), 2)
-    first = F.filter(
-        F.transform(F.arrays_zip(names.alias("n"), said.alias("v")), lambda x, i: F.struct(x["n"].alias("n"), x["v"].alias("v"), i.alias("i"))),
-        lambda x: F.array_position("_names", x["n"]) == x["i"] + 1,
-    )
-    saved = F.transform(
-        first,
-        lambda x: F.struct(
-            x["n"].alias("name"), x["v"].alias("verdict"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("reason")
-        ),
-    )
-    parsed = df.withColumn("_json", F.coalesce(whole, inner))
-    return (
-        parsed.withColumn("_names", F.when(F.col("_json").isNull(), names))
-        .withColumn("_saved", F.when(F.col("_json").isNull() & (F.size("_names") > 0), saved))
-        .withColumn("columns", F.coalesce("_json", "_saved"))
-        .withColumn(
-            "mode",
-            F.when(F.col("_json").isNotNull(), "json").when(F.col("_saved").isNotNull(), "salvage").otherwise("none"),
-        )
-        .drop("_json", "_names", "_saved")
+
+    def first_wins(b):
+        zipped = F.transform(b["n"], lambda n, i: F.struct(n.alias("name"), b["v"][i].alias("verdict"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("reason")))
+        return F.filter(zipped, lambda x, i: F.array_position(b["n"], x["name"]) == i + 1)
+
+    pairs = F.struct(F.regexp_extract_all(text, F.lit(pair), 1).alias("n"), F.regexp_extract_all(text, F.lit(pair), 2).alias("v"))
+    saved = bind(pairs, lambda b: F.when(F.size(b["n"]) > 0, first_wins(b)))
+    # one struct column: the text is read once, whatever is asked of the result
+    found = F.coalesce(
+        bind(whole, lambda c: F.when(c.isNotNull(), F.struct(c.alias("columns"), F.lit("json").alias("mode")))),
+        bind(inner, lambda c: F.when(c.isNotNull(), F.struct(c.alias("columns"), F.lit("json").alias("mode")))),
+        bind(saved, lambda c: F.when(c.isNotNull(), F.struct(c.alias("columns"), F.lit("salvage").alias("mode")))),
+        F.struct(F.lit(None).cast(COLUMNS).alias("columns"), F.lit("none").alias("mode")),
     )
+    return df.withColumn("_found", found).withColumns({"columns": F.col("_found.columns"), "mode": F.col("_found.mode")}).drop("_found")
 
 
 def explode_verdicts(parsed: DataFrame, keys: list[str]) -> DataFrame:

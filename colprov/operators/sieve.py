@@ -14,7 +14,7 @@ from colprov.functions import vocab as V
 from colprov.functions.joins import join_dim
 from colprov.functions.special import ratio
 from colprov.functions.text import (
-    as_column,
+    bind,
     escaped,
     first_match,
     matches,
@@ -260,9 +260,13 @@ def closed_world(
     d = F.trim(F.coalesce(text, F.lit("")))
 
     def licensed(pattern):
-        ok = F.filter(
-            occurrences(d, pattern),
-            lambda m: ~F.lower(F.substr(d, F.greatest(m["at"] - 7, F.lit(1)), F.least(m["at"], F.lit(8)))).rlike(r"\bat (?:the )?$"),
+        both = F.struct(d.alias("d"), occurrences(d, pattern).alias("m"))
+        ok = bind(
+            both,
+            lambda b: F.filter(
+                b["m"],
+                lambda m: ~F.lower(F.substr(b["d"], F.greatest(m["at"] - 7, F.lit(1)), F.least(m["at"], F.lit(8)))).rlike(r"\bat (?:the )?$"),
+            ),
         )
         return F.lower(F.get(ok, F.lit(0))["hit"])
 

@@ -41,7 +41,7 @@ raws AS (SELECT *, CASE seed % 4 WHEN 0 THEN text WHEN 1 THEN '```json' || chr(1
   SELECT model, ds, cond, seed, col, verdict, CASE WHEN seed % 4 = 3 THEN 'salvage' ELSE 'json' END AS mode FROM v WHERE NOT (seed % 4 = 3 AND last)""",
 )
 def f1(t: Tables):
-    p = C.parse_answers(raw_cells(t)).where("mode <> 'none'")
+    p = C.parse_answers(raw_cells(t))
     return C.explode_verdicts(p, CELL + ["mode"]).select(*CELL, "col", "verdict", "mode")
 
 
