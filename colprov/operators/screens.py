@@ -242,12 +242,19 @@ def medians(df: DataFrame, cols: list[str], ids: list[str]) -> DataFrame:
 def column_moments(
     df: DataFrame, cols: list[str], label: str, ids: list[str], impute: list[str] | None = None
 ) -> DataFrame:
-    """``class_moments`` with the ``median`` of the columns in ``impute`` (default: all)."""
-    m = class_moments(df, cols, label, ids)
-    impute = cols if impute is None else impute
-    if not impute:
+    """``class_moments`` with the ``median`` of the columns that hold nulls (among
+    ``impute``, default all).
+
+    The moments, a few rows per column, are kept by a checkpoint, since several
+    screens read them. They tell which columns need a median at all; their names are
+    what comes back to the driver.
+    """
+    m = cut(class_moments(df, cols, label, ids))
+    holes = {r["col"] for r in m.where("n_val < n").select("col").distinct().collect()}
+    need = [c for c in (cols if impute is None else impute) if c in holes]
+    if not need:
         return m.withColumn("median", F.lit(None).cast("double"))
-    return m.join(medians(df, impute, ids), ids + ["col"], "left")
+    return cut(m.join(medians(df, need, ids), ids + ["col"], "left"))
 
 
 def filled_counts(df: DataFrame, cols: list[str], label: str, ids: list[str], moments: DataFrame) -> DataFrame:
@@ -284,9 +291,7 @@ def auc_screen(
 ) -> DataFrame:
     """The AUC screen on its own. ``impute`` names the columns that may hold nulls
     (default: all), so that medians are only worked out for those."""
-    may = cols if impute is None else impute
-    moments = cut(column_moments(df, may, label, ids) if may else column_moments(df, cols, label, ids, []))
-    return auc_from(df, cols, label, ids, moments, flat)
+    return auc_from(df, cols, label, ids, column_moments(df, cols, label, ids, impute), flat)
 
 
 def association(
@@ -305,13 +310,9 @@ def column_features(
     truth: DataFrame | None = None,
     impute: list[str] | None = None,
 ) -> DataFrame:
-    """Every screen of every column in one table: auc, cor, miss, regex (+ truth).
-
-    The moments, a few rows per column, are kept by a checkpoint: three screens
-    read them and none repeats the scan behind them.
-    """
+    """Every screen of every column in one table: auc, cor, miss, regex (+ truth)."""
     keys = ids + ["col"]
-    moments = cut(column_moments(df, cols, label, ids, impute))
+    moments = column_moments(df, cols, label, ids, impute)
     cor = class_association(filled(moments, keys), keys).groupBy(*keys).agg(F.max("cor").alias("cor"))
     out = (
         auc_from(df, cols, label, ids, moments)
@@ -335,7 +336,7 @@ def two_way_screen(
     null = F.col("n") - F.col("n_val")
     rest = F.sum("n").over(w) - F.col("n")
     gap = F.abs(ratio(null, F.col("n")) - ratio(F.sum(null).over(w) - null, rest))
-    moments = cut(column_moments(df, cols, label, ids, impute))
+    moments = column_moments(df, cols, label, ids, impute)
     miss = (
         moments.withColumn("gap", F.when(rest > 0, gap).otherwise(0.0))
         .groupBy(*keys)

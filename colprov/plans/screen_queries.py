@@ -9,8 +9,6 @@ from colprov.operators import screens as S
 from colprov.plans import frames as fr
 from colprov.plans.registry import Tables, query
 
-NULLABLE = ["refund_amt"]
-
 # ---------------------------------------------------------------- oracle text
 
 MEDIAN_SQL = """med AS (SELECT ds, col, median(v) AS m FROM long GROUP BY ds, col),
@@ -68,7 +66,7 @@ def rounded(df, *cols):
 
 
 def features(t: Tables):
-    f = S.column_features(*AUDIT(t), truth=fr.truth(t), impute=NULLABLE)
+    f = S.column_features(*AUDIT(t), truth=fr.truth(t))
     return rounded(f, "auc", "cor", "miss")
 
 
@@ -83,7 +81,7 @@ def c1(t: Tables):
     f"WITH {fr.LONG_SQL},\n{MEDIAN_SQL},\n{AUC_SQL} SELECT ds, col, round(auc, 6) AS auc FROM auc",
 )
 def c2(t: Tables):
-    return rounded(S.auc_screen(*AUDIT(t), impute=NULLABLE), "auc")
+    return rounded(S.auc_screen(*AUDIT(t)), "auc")
 
 
 @query(
@@ -91,7 +89,7 @@ def c2(t: Tables):
     f"WITH {fr.LONG_SQL},\n{MEDIAN_SQL},\n{COR_SQL} SELECT ds, col, y, round(cor, 6) AS cor FROM assoc",
 )
 def c3(t: Tables):
-    a = S.association(*AUDIT(t), impute=NULLABLE)
+    a = S.association(*AUDIT(t))
     return rounded(a.select("ds", "col", "y", "cor"), "cor")
 
 
@@ -128,7 +126,7 @@ C5_SQL = f"""WITH {LABELLED_LONG_SQL}, {MEDIAN_SQL}, {AUC_SQL},
 
 @query("c5_values_or_missingness", C5_SQL)
 def c5(t: Tables):
-    return rounded(S.two_way_screen(*LABELLED(t), impute=["quality", "toxic"]), "a_val", "a_miss", "score")
+    return rounded(S.two_way_screen(*LABELLED(t)), "a_val", "a_miss", "score")
 
 
 @query(
@@ -138,7 +136,7 @@ def c5(t: Tables):
       is_pos AND rank() OVER (PARTITION BY ds ORDER BY auc DESC) <= 3 AS caught FROM features""",
 )
 def c6(t: Tables):
-    a = rounded(S.auc_screen(*AUDIT(t), impute=NULLABLE), "auc")
+    a = rounded(S.auc_screen(*AUDIT(t)), "auc")
     return S.screen_rank(a, "auc", fr.truth(t)).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -218,7 +216,7 @@ RANKS_SQL = f"""WITH {fr.LONG_SQL}, {MEDIAN_SQL}, {COR_SQL},
 
 @query("c10_association_ranks", RANKS_SQL)
 def c10(t: Tables):
-    a = S.association(*AUDIT(t), impute=NULLABLE)
+    a = S.association(*AUDIT(t))
     return rounded(S.association_ranks(a), "s_cov", "s_cor")
 
 
@@ -233,7 +231,7 @@ GAP_SQL = (
 
 def gaps(t: Tables):
     df, cols, y, ids = AUDIT(t)
-    nun = S.n_values(df, cols, y, ids, impute=NULLABLE)
+    nun = S.n_values(df, cols, y, ids)
     return S.rank_gap(features(t), nun)
 
 
