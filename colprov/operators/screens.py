@@ -309,10 +309,12 @@ def column_features(
     ids: list[str],
     truth: DataFrame | None = None,
     impute: list[str] | None = None,
+    moments: DataFrame | None = None,
 ) -> DataFrame:
-    """Every screen of every column in one table: auc, cor, miss, regex (+ truth)."""
+    """Every screen of every column in one table: auc, cor, miss, regex (+ truth).
+    ``moments`` from an earlier ``column_moments`` saves its scan."""
     keys = ids + ["col"]
-    moments = column_moments(df, cols, label, ids, impute)
+    moments = column_moments(df, cols, label, ids, impute) if moments is None else moments
     cor = class_association(filled(moments, keys), keys).groupBy(*keys).agg(F.max("cor").alias("cor"))
     out = (
         auc_from(df, cols, label, ids, moments)
@@ -483,10 +485,10 @@ def association_ranks(assoc: DataFrame, width: int | None = None) -> DataFrame:
     )
 
 
-def n_values(df: DataFrame, cols: list[str], label: str, ids: list[str], impute: list[str] | None = None) -> DataFrame:
+def n_values(df: DataFrame, cols: list[str], label: str, ids: list[str], moments: DataFrame) -> DataFrame:
     """Number of distinct values per column; a median that stands in for nulls counts."""
     keys = ids + ["col"]
-    counts = filled_counts(df, cols, label, ids, column_moments(df, cols, label, ids, impute))
+    counts = filled_counts(df, cols, label, ids, moments)
     return counts.groupBy(*keys, "v").agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.count(F.lit(1)).alias("nun"))
 
 

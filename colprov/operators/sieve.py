@@ -137,10 +137,14 @@ def anchor(hits: DataFrame, columns: DataFrame, key: list[str], min_len: int = 2
     names = columns.where(F.length("col") >= min_len).select("ds", "col").distinct().withColumn("tok", longest_token(low(F.col("col"))))
     # a blank text holds the empty token, so that names without any token are still tried
     words = hits.select(*dict.fromkeys([*key, "ds"]), F.explode(F.array_union(tokens(low(F.col(text))), F.array(F.lit("")))).alias("tok"))
-    near = join_dim(words, names, ["ds", "tok"]).select(*key, "col")
     plain = F.col("col").rlike(PLAIN)
-    odd = near.where(~plain).join(hits.select(*key, text), key).where(F.rlike(F.col(text), whole_token(F.col("col"), ignore_case)))
-    every = near.where(plain).unionByName(odd.select(*key, "col")).groupBy(*key).agg(
+    found = join_dim(words, names.where(plain), ["ds", "tok"]).select(*key, "col")
+    other = names.where(~plain)
+    if not other.isEmpty():
+        near = join_dim(words, other, ["ds", "tok"]).select(*key, "col")
+        odd = near.join(hits.select(*key, text), key).where(F.rlike(F.col(text), whole_token(F.col("col"), ignore_case)))
+        found = found.unionByName(odd.select(*key, "col"))
+    every = found.groupBy(*key).agg(
         F.transform(F.array_sort(F.collect_set(F.struct((-F.length("col")).alias("l"), F.col("col").alias("c")))), lambda x: x["c"]).alias("columns")
     )
     return hits.join(every, key, "left").withColumn("columns", F.coalesce("columns", F.array().cast("array<string>")))
@@ -468,21 +472,22 @@ def mirrors(docs: DataFrame, fingerprints: DataFrame, credits: DataFrame, share:
     fp = fingerprints.select("name", "rank", F.lower("word").alias("word"), "kind").distinct()
     cr = credits.select("name", "rank", F.lower("phrase").alias("word"), F.lit("credit").alias("kind")).distinct()
     every = fp.unionByName(cr.where(plain)).withColumn("tok", longest_token(F.col("word")))
-    near = join_dim(words.withColumnRenamed("word", "tok"), every, ["tok"])
-    hit = near.where(plain).select("doc_id", "name", "rank", "kind")
-    # a name of several tokens met on its longest: verify it in the text
-    odd = near.where(~plain).join(d, "doc_id").where(
-        F.rlike(F.col("_hay"), F.concat(F.lit("(?<![a-z0-9_])"), escaped(F.col("word")), F.lit("(?![a-z0-9_])")))
-    ).select("doc_id", "name", "rank", "kind")
+    words = words.withColumnRenamed("word", "tok")
+    hit = join_dim(words, every.where(plain), ["tok"]).select("doc_id", "name", "rank", "kind")
+    other = every.where(~plain)
+    if not other.isEmpty():
+        # a name of several tokens meets on its longest and is verified in the text
+        near = join_dim(words, other, ["tok"]).join(d, "doc_id")
+        whole = F.concat(F.lit("(?<![a-z0-9_])"), escaped(F.col("word")), F.lit("(?![a-z0-9_])"))
+        hit = hit.unionByName(near.where(F.rlike(F.col("_hay"), whole)).select("doc_id", "name", "rank", "kind"))
     # credited phrases are substrings, so they are looked for in the text itself: a
     # hand-written list, a few per known dataset
     phrases = cr.where(~plain).agg(F.collect_set(F.struct("name", "rank", "word"))).scalar()
     credited = d.withColumn("_phrases", phrases).select(
         "doc_id", F.explode(F.filter("_phrases", lambda w: F.contains(F.col("_hay"), w["word"]))).alias("w")
     ).select("doc_id", "w.name", "w.rank", F.lit("credit").alias("kind"))
-    loose = odd.unionByName(credited)
     sizes = fp.where("kind = 'long'").groupBy("name").agg(F.count(F.lit(1)).alias("size"))
-    per = hit.unionByName(loose).groupBy("doc_id", "name", "rank").agg(
+    per = hit.unionByName(credited).groupBy("doc_id", "name", "rank").agg(
         *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("long", "short", "target", "credit")]
     )
     per = join_dim(per, sizes, ["name"], "left")

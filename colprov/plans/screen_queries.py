@@ -230,9 +230,9 @@ GAP_SQL = (
 
 
 def gaps(t: Tables):
-    df, cols, y, ids = AUDIT(t)
-    nun = S.n_values(df, cols, y, ids)
-    return S.rank_gap(features(t), nun)
+    moments = S.column_moments(*AUDIT(t))
+    f = rounded(S.column_features(*AUDIT(t), moments=moments), "auc", "cor")
+    return S.rank_gap(f, S.n_values(*AUDIT(t), moments))
 
 
 @query("c11_rank_gap", GAP_SQL + " SELECT * FROM gap")
