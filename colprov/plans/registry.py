@@ -31,6 +31,13 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._kept: dict[str, DataFrame] = {}
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A frame that several parts of one query read, built once."""
+        if name not in self._kept:
+            self._kept[name] = make()
+        return self._kept[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         return spread(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))

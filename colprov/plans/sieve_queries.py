@@ -51,12 +51,21 @@ WORDS_SQL = r"""wd AS (SELECT DISTINCT source AS ds, doc_id, unnest(string_split
           UNION ALL SELECT ds, 'Apache License' FROM nd UNION ALL SELECT ds, 'MIT License' FROM nd)"""
 
 
+def kept_hits(t: Tables) -> DataFrame:
+    """The surviving sentences, few next to the texts, kept by a checkpoint."""
+    return t.once("hits", lambda: cut(hits(t)))
+
+
 def word_freq(t: Tables) -> DataFrame:
+    """Kept by a checkpoint: the names are read many times, the texts once."""
+    return t.once("word_freq", lambda: cut(count_words(t)))
+
+
+def count_words(t: Tables) -> DataFrame:
     d = t.documents
     w = d.select(F.col("source").alias("ds"), F.explode(tokens(F.col("text"))).alias("w")).groupBy("ds", "w").agg(F.count(F.lit(1)).alias("k"))
     n = d.groupBy(F.col("source").alias("ds")).agg(F.count(F.lit(1)).alias("n"))
-    # kept by a checkpoint: the names are read many times, the texts once
-    return cut(w.join(n, "ds").where("k * 10 >= n * 2 AND k * 10 < n * 4"))
+    return w.join(n, "ds").where("k * 10 >= n * 2 AND k * 10 < n * 4")
 
 
 def columns(t: Tables) -> DataFrame:
@@ -118,7 +127,7 @@ def e5(t: Tables):
    SELECT h.doc_id, h.pos, coalesce(columns, '') AS columns FROM hits h LEFT JOIN g USING (doc_id, pos)""",
 )
 def e6(t: Tables):
-    a = E.anchor(hits(t), columns(t), ["doc_id", "pos"], 2)
+    a = E.anchor(kept_hits(t), columns(t), ["doc_id", "pos"], 2)
     return a.select("doc_id", F.col("pos").cast("long").alias("pos"), F.array_join("columns", "|").alias("columns"))
 
 
@@ -128,7 +137,7 @@ def e6(t: Tables):
    SELECT doc_id, count(*) AS n FROM a GROUP BY doc_id""",
 )
 def e6b(t: Tables):
-    a = E.anchor(hits(t), columns(t), ["doc_id", "pos"], 3, True)
+    a = E.anchor(kept_hits(t), columns(t), ["doc_id", "pos"], 3, True)
     return a.groupBy("doc_id").agg(F.sum(F.size("columns")).alias("n")).where("n > 0")
 
 
@@ -368,7 +377,7 @@ def e22(t: Tables):
    UNION ALL SELECT 5, 'anchored', count(*) FILTER (WHERE trig AND real_ AND new_ AND readable AND anch) FROM fl""",
 )
 def e23(t: Tables):
-    h = hits(t)
+    h = kept_hits(t)
     a = E.anchor(h.select("doc_id", "pos", "ds", "sentence"), columns(t), ["doc_id", "pos"], 3)
     per = a.groupBy("doc_id").agg(F.bool_or(F.size("columns") > 0).alias("anch"))
     mir = E.mirrors(*mirror_inputs(t)).select("doc_id", F.lit(False).alias("new"))
