@@ -88,7 +88,7 @@ def runs(docs: DataFrame, units: Callable, length: int, gram: int) -> DataFrame:
 def shared_runs(docs: DataFrame, units: Callable, length: int, gram: int) -> DataFrame:
     """The runs whose anchor occurs at least twice, cut."""
     every = runs(docs, units, length, gram)
-    often = every.groupBy("h").count().where("count > 1").select("h")
+    often = cut(every.groupBy("h").count().where("count > 1").select("h"))  # a plain table, so that the join can split
     return cut(every.join(often, "h"))
 
 
