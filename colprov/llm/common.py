@@ -166,6 +166,28 @@ def sliding_min(key: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
+def bitmap(df: DataFrame, column: str, bits: int = 1 << 23) -> np.ndarray:
+    """A fixed-size bitmap of the values of a long column, as bytes; ``bits`` bounds what is sent.
+
+    A test against it may say yes to other values, never no to one of ``df``.
+    """
+    slot = F.pmod(F.col(column), F.lit(bits))
+    rows = (
+        df.select((slot / 32).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod({column}, 32) as int))").alias("b"))
+        .groupBy("w")
+        .agg(F.bit_or("b").alias("b"))
+        .toPandas()
+    )
+    words = np.zeros(bits // 32, "<u4")
+    words[rows["w"].to_numpy()] = rows["b"].to_numpy()
+    return words
+
+
+def in_bitmap(words: np.ndarray, value: np.ndarray) -> np.ndarray:
+    slot = (value & U(len(words) * 32 - 1)).astype(np.int64)
+    return (words[slot >> 5] >> (slot & 31).astype(np.uint32)) & np.uint32(1) > 0
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (node, component), the smallest node.
 

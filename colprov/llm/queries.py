@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colprov.llm import fm_dedup, suffix_dedup
+from colprov.llm import bpe, fm_dedup, jaccard_join, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +36,15 @@ def op6(spark, folder):
 def op9(spark, folder):
     """50-word windows that a document with a smaller id has go."""
     return fm_dedup.kept_digests(table(spark, folder, "documents"))
+
+
+@query("op3_jaccard_join")
+def op3(spark, folder):
+    """Documents linked by 4-word shingles at a Jaccard similarity of 0.85, as components."""
+    return jaccard_join.join(table(spark, folder, "documents"), 4, 85, 100)
+
+
+@query("op4_bpe")
+def op4(spark, folder):
+    """Token ids of every text, and their decoding, as digests."""
+    return bpe.digests(table(spark, folder, "documents"), *bpe.public_vocabulary())
