@@ -32,6 +32,7 @@ from colprov.llm.common import prepare, slices
 
 REMEMBERED = 150_000
 AT_ONCE = 50_000
+ROWS_HELD = 1_000_000
 
 SHORT = 63  # bytes; a longer word may need many rounds
 
@@ -54,12 +55,13 @@ WITH RECURSIVE step(it, s, id) AS (
         WHERE left_s IS NULL OR left_s <> w * 64 + k % 64
     )
 )
-SELECT step.s // 64 AS w, step.s % 64 AS p, id
+SELECT step.s // 64 AS w, step.s % 64 AS p, id, step.it AS it
 FROM step JOIN (SELECT s // 64 AS w, max(it) AS it FROM step GROUP BY 1) q ON step.s // 64 = q.w AND step.it = q.it
 ORDER BY step.s
 """
 
-#: All occurrences of a word's best pair in one round.
+#: All occurrences of a word's best pair in one round, and at most so many rounds: what a
+#: recursive query has made stays in memory until it ends.
 ENCODE = """
 WITH RECURSIVE step(it, w, p, id) AS (
     SELECT 0, w, p, id FROM symbols
@@ -80,13 +82,13 @@ WITH RECURSIVE step(it, w, p, id) AS (
                         FROM step
                     ) t LEFT JOIN merges x ON t.id = x.l AND t.r = x.r
                 )
-                WHERE best IS NOT NULL
+                WHERE best IS NOT NULL AND it < {rounds}
             )
         )
     )
     WHERE NOT gone
 )
-SELECT w, p, id FROM step JOIN (SELECT w, max(it) AS it FROM step GROUP BY w) USING (w, it) ORDER BY w, p
+SELECT w, p, id, it FROM step JOIN (SELECT w, max(it) AS it FROM step GROUP BY w) USING (w, it) ORDER BY w, p
 """
 
 DECODE = """
@@ -140,14 +142,27 @@ class Codec:
             self.con.unregister(name)
         return out
 
-    def contract(self, words: list[bytes], sql: str = ENCODE) -> tuple[np.ndarray, np.ndarray]:
+    def contract(self, words: list[bytes], short: bool) -> tuple[np.ndarray, np.ndarray]:
         """(word number, id) rows in order, for words that are not empty."""
         data = np.frombuffer(b"".join(words), np.uint8)
         size = np.array([len(x) for x in words])
-        w = np.repeat(np.arange(len(words), dtype=np.int64), size)
+        w, ids = np.repeat(np.arange(len(words), dtype=np.int64), size), self.byte[data]
         p = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size) + 1
-        out = self.query(sql, symbols=pa.table({"w": w, "p": p.astype(np.int64), "id": self.byte[data]}))
-        return out.column("w").to_numpy(), out.column("id").to_numpy()
+        if short:
+            out = self.query(ENCODE_SHORT, symbols=pa.table({"w": w, "p": p, "id": ids}))
+            return out.column("w").to_numpy(), out.column("id").to_numpy()
+        done_w, done_ids = [], []
+        while len(w):
+            rounds = max(1, ROWS_HELD // len(w))
+            out = self.query(ENCODE.format(rounds=rounds), symbols=pa.table({"w": w, "p": np.arange(len(w)), "id": ids}))
+            w, ids = out.column("w").to_numpy(), out.column("id").to_numpy().astype(np.int32)
+            more = out.column("it").to_numpy() == rounds
+            done_w.append(w[~more])
+            done_ids.append(ids[~more])
+            w, ids = w[more], ids[more]
+        w, ids = np.concatenate(done_w), np.concatenate(done_ids)
+        by = np.argsort(w, kind="stable")
+        return w[by], ids[by]
 
     def decode(self, w: np.ndarray, ids: np.ndarray) -> list[bytes]:
         """The bytes of each word's ids, in order of word number (every number from 0 occurs)."""
@@ -160,12 +175,12 @@ class Codec:
         whole = [self.ranks.get(x) for x in raw]
         w = [np.array([i for i, r in enumerate(whole) if r is not None], np.int64)]
         ids = [np.array([r for r in whole if r is not None], np.int32)]
-        for sql, some in (
-            (ENCODE_SHORT, [i for i, r in enumerate(whole) if r is None and len(raw[i]) <= SHORT]),
-            (ENCODE, [i for i, r in enumerate(whole) if r is None and len(raw[i]) > SHORT]),
+        for short, some in (
+            (True, [i for i, r in enumerate(whole) if r is None and len(raw[i]) <= SHORT]),
+            (False, [i for i, r in enumerate(whole) if r is None and len(raw[i]) > SHORT]),
         ):
             if some:
-                number, found = self.contract([raw[i] for i in some], sql)
+                number, found = self.contract([raw[i] for i in some], short)
                 w.append(np.array(some)[number])
                 ids.append(found.astype(np.int32))
         w, ids = np.concatenate(w), np.concatenate(ids)
