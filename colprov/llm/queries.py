@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from colprov.llm import bpe, fm_dedup, jaccard_join, suffix_dedup
+from colprov.llm import bpe, decontaminate, fm_dedup, jaccard_join, sharding, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +49,18 @@ def op3(spark, folder):
 def op4(spark, folder):
     """Token ids of every text, and their decoding, as digests."""
     return bpe.digests(table(spark, folder, "documents"), *bpe.public_vocabulary())
+
+
+@query("op5_sharding")
+def op5(spark, folder):
+    """All documents in 40 shards of near equal bytes."""
+    return sharding.assign(table(spark, folder, "documents"), 40).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens"
+    )
+
+
+@query("op7_decontamination")
+def op7(spark, folder):
+    """Documents that hold passages of the benchmark, substitutions allowed."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return decontaminate.verdicts(docs, table(spark, folder, "benchmark")).select("doc_id", "contaminated", "n_items", "item_id", "matched")
