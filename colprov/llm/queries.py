@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colprov.llm import bpe, decontaminate, fm_dedup, jaccard_join, sharding, suffix_dedup
+from colprov.llm import bpe, decontaminate, fm_dedup, jaccard_join, sharding, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,9 @@ def op7(spark, folder):
     """Documents that hold passages of the benchmark, substitutions allowed."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return decontaminate.verdicts(docs, table(spark, folder, "benchmark")).select("doc_id", "contaminated", "n_items", "item_id", "matched")
+
+
+@query("op10_warc")
+def op10(spark, folder):
+    """A WARC record for every page, written and read back."""
+    return warc.round_trip(table(spark, folder, "pages"))
