@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colprov.llm import bpe, decontaminate, fm_dedup, jaccard_join, sharding, suffix_dedup, warc
+from colprov.llm import ann, bpe, decontaminate, fm_dedup, jaccard_join, sharding, suffix_dedup, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +70,15 @@ def op7(spark, folder):
 def op10(spark, folder):
     """A WARC record for every page, written and read back."""
     return warc.round_trip(table(spark, folder, "pages"))
+
+
+@query("op8_ann")
+def op8(spark, folder):
+    """The 20 nearest vectors of every row whose id is divisible by 20."""
+    return ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+@query("op2_toxicity")
+def op2(spark, folder):
+    """Severity of every document, learnt from the labels."""
+    return toxicity.assess(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"))
