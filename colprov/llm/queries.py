@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colprov.llm import ann, bpe, decontaminate, fm_dedup, jaccard_join, sharding, suffix_dedup, toxicity, warc
+from colprov.llm import ann, bpe, decontaminate, fm_dedup, jaccard_join, sharding, suffix_dedup, toxicity, training_order, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,10 @@ def op8(spark, folder):
 def op2(spark, folder):
     """Severity of every document, learnt from the labels."""
     return toxicity.assess(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"))
+
+
+@query("op1_training_order")
+def op1(spark, folder):
+    """Every token sequence at its slot of a keyed order, in shards of fixed stride."""
+    docs = table(spark, folder, "documents")
+    return training_order.write(docs, *bpe.public_vocabulary()).select("doc_id", "part", "n_tokens", "slot", "shard", "position")
