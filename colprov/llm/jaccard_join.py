@@ -33,7 +33,8 @@ from colprov.llm.common import FOLDED, P, U, Words, bitmap, components, in_bitma
 from colprov.session import cut
 
 FRAGMENTS = 8
-SKETCH = 8  # longs in a bitmap
+SKETCH = 8  # longs in the short bitmap
+WIDE = 900  # members from which a set has wide bitmaps too
 LOCAL, OFTEN = 4, 48
 
 
@@ -68,11 +69,10 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray
     return value, np.searchsorted(row, np.arange(len(offs)))
 
 
-def signature(value: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit sums over each set."""
-    total = lambda v: np.diff(np.concatenate([np.zeros(1, U), np.cumsum(v, dtype=U)])[begin])
-    size = np.diff(begin).astype(U)
-    return mix(total(mix(value ^ U(0x5851F42D4C957F2D))) + size), mix(total(mix(value ^ U(0x14057B7EF767814F))) + size)
+def signature(value: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """A 64-bit sum over each set."""
+    total = np.diff(np.concatenate([np.zeros(1, U), np.cumsum(mix(value ^ U(0x5851F42D4C957F2D)), dtype=U)])[begin])
+    return mix(total + np.diff(begin).astype(U))
 
 
 def sketch(value: np.ndarray, begin: np.ndarray, longs: int = SKETCH) -> np.ndarray:
@@ -91,20 +91,36 @@ def set_parts(batches: Iterator[pa.RecordBatch], n: int):
             yield part, value, begin
 
 
+def level(size: np.ndarray) -> np.ndarray:
+    """Sketch level of a set: level l has ``1024 << l`` bits, at least about as many as members."""
+    return np.maximum(np.ceil(np.log2(np.maximum(size, 1) / 1024)), 0).astype(np.int64)
+
+
 def summaries(docs: DataFrame, n: int) -> DataFrame:
-    """Per row: doc_id, the two halves of the set's signature (null for empty sets), the set's size."""
+    """Per row: doc_id, the set's signature s (null for empty sets), its size and its bitmap ``k0 ...``.
+
+    ``wide`` has bitmaps of sets too large for the short one, at their level and the one below.
+    """
+    names = [f"k{i}" for i in range(SKETCH)]
 
     def work(batches):
         for part, value, begin in set_parts(batches, n):
-            a, b = signature(value, begin)
+            s = signature(value, begin)
             size = np.diff(begin)
-            empty = size == 0
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(a.view(np.int64), mask=empty), pa.array(b.view(np.int64), mask=empty), pa.array(size)],
-                names=["doc_id", "s1", "s2", "n_shingles"],
-            )
+            bits = sketch(value, begin)
+            wide = [[] for _ in size]
+            for row in np.flatnonzero(size > WIDE):
+                own, top = value[begin[row] : begin[row + 1]], int(level(size[row : row + 1])[0])
+                wide[row] = [
+                    {"level": at, "bits": sketch(own, np.array([0, len(own)]), 16 << at)[0].tobytes()} for at in {top, max(0, top - 1)}
+                ]
+            columns = [part.column("doc_id"), pa.array(s.view(np.int64), mask=size == 0), pa.array(size)]
+            columns += [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(SKETCH)]
+            kind = pa.list_(pa.struct([("level", pa.int32()), ("bits", pa.binary())]))
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(wide, kind)], names=["doc_id", "s", "n_shingles", *names, "wide"])
 
-    return prepare(docs).mapInArrow(work, "doc_id long, s1 long, s2 long, n_shingles long")
+    schema = "doc_id long, s long, n_shingles long, " + ", ".join(f"{k} long" for k in names)
+    return prepare(docs).mapInArrow(work, schema + ", wide array<struct<level: int, bits: binary>>")
 
 
 def frequent(docs: DataFrame, n: int, local: int = LOCAL, often: int = OFTEN) -> DataFrame:
@@ -147,7 +163,7 @@ def prefix_rows(docs: DataFrame, n: int, num: int, den: int, late: np.ndarray) -
     def work(batches):
         for _, value, begin in set_parts(batches, n):
             size = np.diff(begin)
-            s, _ = signature(value, begin)
+            s = signature(value, begin)
             row = np.repeat(np.arange(len(size)), size)
             key = (value >> U(1)) | (in_bitmap(shared.value, value).astype(U) << U(63))
             by = np.lexsort((key, row))
@@ -161,25 +177,6 @@ def prefix_rows(docs: DataFrame, n: int, num: int, den: int, late: np.ndarray) -
     return prepare(docs).mapInArrow(work, "g long, s long, size int")
 
 
-def class_sketches(docs: DataFrame, n: int) -> DataFrame:
-    """Per row: s, doc_id, the set's size and its parity bitmap as longs."""
-    names = [f"k{i}" for i in range(SKETCH)]
-
-    def work(batches):
-        for part, value, begin in set_parts(batches, n):
-            s, _ = signature(value, begin)
-            size = np.diff(begin)
-            some = np.flatnonzero(size)
-            bits = sketch(value, begin)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").take(pa.array(some)), pa.array(s.view(np.int64)[some]), pa.array(size[some].astype(np.int32))]
-                + [pa.array(np.ascontiguousarray(bits[some, i])) for i in range(SKETCH)],
-                names=["doc_id", "s", "size", *names],
-            )
-
-    return prepare(docs).mapInArrow(work, "doc_id long, s long, size int, " + ", ".join(f"{k} long" for k in names))
-
-
 def may_link(a: str, b: str, num: int, den: int) -> Column:
     """Size and bitmap bounds of a pair: false only where the pair cannot link.
 
@@ -192,17 +189,43 @@ def may_link(a: str, b: str, num: int, den: int) -> Column:
     return sizes & (differ * (num + den) <= (na + nb) * (den - num))
 
 
+def wide_pairs(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose wide bitmaps allow a link; pairs of sets without wide bitmaps pass."""
+    wide = cut(classes.select("s", "size", F.explode("wide").alias("w")).select("s", "size", "w.*"))
+    sizes = classes.where(F.size("wide") > 0).select("s", F.array_max("wide.level").alias("top"))
+    named = pairs.join(sizes.toDF("a", "ta"), "a", "left").join(sizes.toDF("b", "tb"), "b", "left")
+    level_of = F.least("ta", "tb")
+    named = cut(named.select("a", "b", F.when(F.col("ta").isNotNull() & F.col("tb").isNotNull(), level_of).alias("level")))
+
+    def far(batches):
+        for batch in batches:
+            x = [np.frombuffer(v, np.uint8) for v in batch.column("x").to_pylist()]
+            y = [np.frombuffer(v, np.uint8) for v in batch.column("y").to_pylist()]
+            differ = np.array([int(np.bitwise_count(p ^ q).sum()) for p, q in zip(x, y)], np.int64)
+            both = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
+            keep = differ * (num + den) <= both * (den - num)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    both = (
+        named.where("level is not null")
+        .join(wide.toDF("a", "na", "level", "x"), ["a", "level"])
+        .join(wide.toDF("b", "nb", "level", "y"), ["b", "level"])
+        .select("a", "b", "na", "nb", "x", "y")
+    )
+    return named.where("level is null").select("a", "b").unionByName(prepare(both).mapInArrow(far, "a long, b long"))
+
+
 def overlaps(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, fragments: int) -> DataFrame:
     """Common members of each pair (a, b): counted in every fragment of the order, summed per pair."""
     nodes = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
-    wanted = cut(classes.join(nodes, "s").select("s", "doc_id"))
+    wanted = cut(classes.join(nodes, "s").select("s", F.coalesce("doc_id", F.lit(0)).alias("doc_id")))
     sc = docs.sparkSession.sparkContext
     held = sc.broadcast((bitmap(wanted, "s"), bitmap(wanted, "doc_id")))
 
     def work(batches):
         step = np.iinfo(np.uint64).max // fragments + 1
         for part, value, begin in set_parts(batches, n):
-            s, _ = signature(value, begin)
+            s = signature(value, begin)
             ids = part.column("doc_id").fill_null(0).to_numpy().view(U)
             rows = np.flatnonzero(in_bitmap(held.value[0], s) & in_bitmap(held.value[1], ids) & (np.diff(begin) > 0))
             if not len(rows):
@@ -216,23 +239,24 @@ def overlaps(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, frag
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.repeat(s[rows].view(np.int64), fragments)),
-                    pa.array(np.repeat(ids[rows].view(np.int64), fragments)),
                     pa.array(np.tile(np.arange(fragments, dtype=np.int32), len(rows))),
                     pa.ListArray.from_arrays(pa.array(bounds), pa.array(value.view(np.int64))),
                 ],
-                names=["s", "doc_id", "fragment", "members"],
+                names=["s", "fragment", "members"],
             )
 
-    sets = prepare(docs).mapInArrow(work, "s long, doc_id long, fragment int, members array<long>")
-    sets = cut(sets.join(wanted, ["s", "doc_id"]).dropDuplicates(["s", "fragment"]).drop("doc_id"))
-    left = sets.select(F.col("s").alias("a"), "fragment", F.col("members").alias("x"))
-    right = sets.select(F.col("s").alias("b"), "fragment", F.col("members").alias("y"))
+    sets = prepare(docs).mapInArrow(work, "s long, fragment int, members array<long>")
+    # each set goes once to the pairs that it is part of: to every b that it meets, or to itself
+    roles = pairs.select(F.col("a").alias("s"), "b").unionByName(pairs.select(F.col("b").alias("s"), "b").distinct())
+    sent = sets.join(roles, "s")
+    left = sent.where("s <> b").select(F.col("s").alias("a"), "b", "fragment", F.col("members").alias("x"))
+    right = sent.where("s = b").select("b", "fragment", F.col("members").alias("y"))
     return (
-        pairs.select("a", "b")
-        .join(left, "a")
-        .join(right, ["b", "fragment"])
+        left.join(right, ["b", "fragment"])
+        .groupBy("a", "b", "fragment")
+        .agg(F.max(F.size(F.array_intersect("x", "y"))).alias("common"))  # a set may have come twice
         .groupBy("a", "b")
-        .agg(F.sum(F.size(F.array_intersect("x", "y"))).alias("common"))
+        .agg(F.sum("common").alias("common"))
     )
 
 
@@ -241,17 +265,21 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, fragments:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = cut(summaries(docs, n))
     classes = cut(
-        class_sketches(docs, n)
+        rows.where("s is not null")
         .groupBy("s")
-        .agg(F.min_by(F.struct("size", *[f"k{i}" for i in range(SKETCH)]), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("x"), F.min("doc_id").alias("doc_id"))
-        .select("s", "doc_id", "x.*")
+        .agg(
+            F.min(F.col("n_shingles").cast("int")).alias("size"),
+            *[F.min(f"k{i}").alias(f"k{i}") for i in range(SKETCH)],
+            F.first("wide").alias("wide"),
+            F.min("doc_id").alias("doc_id"),
+        )
     )
     every = prefix_rows(docs, n, num, den, bitmap(frequent(docs, n), "g"))
     met = cut(every.groupBy("g").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low <> high").select("g"))
     buckets = cut(every.join(met, "g").distinct())
 
     def links(pairs: DataFrame) -> DataFrame:
-        found = cut(pairs)
+        found = cut(wide_pairs(pairs, classes, num, den))
         common = overlaps(docs, found, classes, n, fragments)
         sizes = classes.select("s", "size")
         return cut(
@@ -266,7 +294,7 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, fragments:
     banded = buckets.withColumn("band", band)
     hubs = banded.groupBy("g", "band").agg(F.min("s").alias("b"))
     star = banded.join(hubs, ["g", "band"]).where("s <> b").select(F.col("s").alias("a"), "b").distinct()
-    c, d = classes.alias("c"), classes.alias("d")
+    c, d = classes.drop("wide").alias("c"), classes.drop("wide").alias("d")
     star = (
         star.join(c, F.col("a") == F.col("c.s")).join(d, F.col("b") == F.col("d.s")).where(may_link("c", "d", num, den)).select("a", "b")
     )
@@ -274,7 +302,7 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, fragments:
     label = components(first).toDF("s", "component")
 
     # what is still apart meets all of its buckets
-    known = classes.join(label, "s", "left").withColumn("component", F.coalesce("component", "s"))
+    known = classes.drop("wide").join(label, "s", "left").withColumn("component", F.coalesce("component", "s"))
     open_rows = buckets.join(known.select("s", "component"), "s")
     mixed = open_rows.groupBy("g", "component").count().groupBy("g").agg(F.max_by("component", "count").alias("main"), F.count("*").alias("parts")).where("parts > 1")
     mixed = cut(mixed.select("g", "main"))
@@ -288,9 +316,9 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, fragments:
         .distinct()
     )
     second = links(rest)
-    label = components(first.unionByName(second)).toDF("s1", "component")
-    node = rows.where("s1 is not null").groupBy("s1").agg(F.min("doc_id").alias("low")).join(label, "s1", "left").withColumn("component", F.coalesce("component", "s1"))
+    label = components(first.unionByName(second)).toDF("s", "component")
+    node = classes.select("s", F.col("doc_id").alias("low")).join(label, "s", "left").withColumn("component", F.coalesce("component", "s"))
     node = cut(node)
     lowest = node.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = node.join(lowest, "component").select("s1", "component_id")
-    return rows.join(named, "s1", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = node.join(lowest, "component").select("s", "component_id")
+    return rows.select("doc_id", "s", "n_shingles").join(named, "s", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
