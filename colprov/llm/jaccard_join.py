@@ -6,8 +6,8 @@ found often (``frequent``, counted over all documents) last, hash order within;
 order only steers cost, any order gives the same links. A pair that links must share
 an n-gram among the first ``prefix`` of both sets.
 
-* Candidates. In each bucket (prefix n-gram) every class meets one hub. Components of
-  the links found so far then leave few classes open; those meet all classes of their
+* Candidates. In each bucket (prefix n-gram) every class meets one hub, ``STARS`` times
+  over. Components of the links found so far then leave few classes open; those meet all classes of their
   buckets that are not yet in the same component. Size bounds and a bitmap bound (the
   parity sketches of two sets differ in at most as many bits as the sets differ in
   members) discard pairs before they leave the join; both are exact.
@@ -36,6 +36,7 @@ FRAGMENTS = 8
 SKETCH = 8  # longs in the short bitmap
 WIDE = 900  # members from which a set has wide bitmaps too
 LOCAL, OFTEN = 4, 48
+STARS = 2
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,13 +61,15 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray
             x = mix(x * P + v)
         rolled[w.first[row]] = x[0]
         valid[w.first[row]] = True
-    value, row = rolled[valid], w.row_of[valid]
-    by = np.lexsort((value, row))
-    value, row = value[by], row[by]
+    value = rolled[valid]
+    count = np.maximum(words - n + 1, (words > 0).astype(np.int64))
+    begin = np.concatenate([[0], np.cumsum(count)])
+    for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
+        value[a:b].sort()
     new = np.ones(len(value), bool)
-    new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
-    value, row = value[new], row[new]
-    return value, np.searchsorted(row, np.arange(len(offs)))
+    new[1:] = value[1:] != value[:-1]
+    new[begin[:-1][count > 0]] = True
+    return value[new], np.concatenate([[0], np.cumsum(new)])[begin]
 
 
 def signature(value: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -165,10 +168,11 @@ def prefix_rows(docs: DataFrame, n: int, num: int, den: int, late: np.ndarray) -
             size = np.diff(begin)
             s = signature(value, begin)
             row = np.repeat(np.arange(len(size)), size)
-            key = (value >> U(1)) | (in_bitmap(shared.value, value).astype(U) << U(63))
-            by = np.lexsort((key, row))
+            value = (value >> U(1)) | (in_bitmap(shared.value, value).astype(U) << U(63))
+            for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
+                value[a:b].sort()
             take = np.arange(len(value)) - np.repeat(begin[:-1], size) < np.repeat(prefix_size(size, num, den), size)
-            value, row = value[by][take], row[take]
+            value, row = value[take], row[take]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(value.view(np.int64)), pa.array(s[row].view(np.int64)), pa.array(size[row].astype(np.int32))],
                 names=["g", "s", "size"],
@@ -224,10 +228,11 @@ def overlaps(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, frag
 
     def work(batches):
         step = np.iinfo(np.uint64).max // fragments + 1
-        for part, value, begin in set_parts(batches, n):
+        names = held.value[1]
+        chosen = lambda b: b.take(pa.array(np.flatnonzero(in_bitmap(names, b.column("doc_id").fill_null(0).to_numpy().view(U)))))
+        for _, value, begin in set_parts(map(chosen, batches), n):
             s = signature(value, begin)
-            ids = part.column("doc_id").fill_null(0).to_numpy().view(U)
-            rows = np.flatnonzero(in_bitmap(held.value[0], s) & in_bitmap(held.value[1], ids) & (np.diff(begin) > 0))
+            rows = np.flatnonzero(in_bitmap(held.value[0], s) & (np.diff(begin) > 0))
             if not len(rows):
                 continue
             size = np.diff(begin)[rows]
@@ -289,17 +294,23 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, fragments:
             .select("a", "b")
         )
 
-    # every class of a bucket meets the hub of its size band
+    # in each round every class of a bucket meets one hub of its size band that it is not yet connected to
     band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(den / num))).cast("int")
-    banded = buckets.withColumn("band", band)
-    hubs = banded.groupBy("g", "band").agg(F.min("s").alias("b"))
-    star = banded.join(hubs, ["g", "band"]).where("s <> b").select(F.col("s").alias("a"), "b").distinct()
-    c, d = classes.drop("wide").alias("c"), classes.drop("wide").alias("d")
-    star = (
-        star.join(c, F.col("a") == F.col("c.s")).join(d, F.col("b") == F.col("d.s")).where(may_link("c", "d", num, den)).select("a", "b")
-    )
-    first = links(star)
-    label = components(first).toDF("s", "component")
+    banded = cut(buckets.withColumn("band", band))
+    label, found = None, None
+    for turn in range(STARS):
+        part = banded.withColumn("component", F.col("s")) if label is None else banded.join(label, "s", "left").withColumn("component", F.coalesce("component", "s"))
+        hubs = part.groupBy("g", "band").agg(
+            F.min(F.struct(F.xxhash64("s", F.lit(turn)).alias("by"), F.col("s").alias("b"), F.col("component").alias("hub"))).alias("h"),
+            F.min("component").alias("low"), F.max("component").alias("high"),
+        )
+        hubs = hubs.where("low <> high").select("g", "band", "h.b", "h.hub")
+        star = part.join(hubs, ["g", "band"]).where("component <> hub").select(F.col("s").alias("a"), "b").distinct()
+        c, d = classes.drop("wide").alias("c"), classes.drop("wide").alias("d")
+        star = star.join(c, F.col("a") == F.col("c.s")).join(d, F.col("b") == F.col("d.s")).where(may_link("c", "d", num, den)).select("a", "b")
+        new = links(star)
+        found = new if found is None else cut(found.unionByName(new))
+        label = cut(components(found).toDF("s", "component"))
 
     # what is still apart meets all of its buckets
     known = classes.drop("wide").join(label, "s", "left").withColumn("component", F.coalesce("component", "s"))
@@ -316,7 +327,7 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, fragments:
         .distinct()
     )
     second = links(rest)
-    label = components(first.unionByName(second)).toDF("s", "component")
+    label = components(found.unionByName(second)).toDF("s", "component")
     node = classes.select("s", F.col("doc_id").alias("low")).join(label, "s", "left").withColumn("component", F.coalesce("component", "s"))
     node = cut(node)
     lowest = node.groupBy("component").agg(F.min("low").alias("component_id"))
