@@ -33,8 +33,8 @@ from colprov.llm.common import FOLDED, P, U, Words, bitmap, components, in_bitma
 from colprov.session import cut
 
 FRAGMENTS = 8
-SKETCH = 8  # longs in the short bitmap
-WIDE = 900  # members from which a set has wide bitmaps too
+SKETCH = 32  # longs in the short bitmap
+WIDE = 2500  # members from which a set has wide bitmaps too
 LOCAL, OFTEN = 4, 48
 STARS = 2
 
@@ -315,14 +315,19 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, fragments:
     # what is still apart meets all of its buckets
     known = classes.drop("wide").join(label, "s", "left").withColumn("component", F.coalesce("component", "s"))
     open_rows = buckets.join(known.select("s", "component"), "s")
-    mixed = open_rows.groupBy("g", "component").count().groupBy("g").agg(F.max_by("component", "count").alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = cut(mixed.select("g", "main"))
-    full = cut(buckets.select("g", "s").join(mixed, "g").join(known.drop("doc_id"), "s"))
+    mixed = open_rows.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("g")
+    inner = cut(buckets.select("g", "s").join(mixed, "g"))
+    # buckets with one head are worked on as one, so that a pair seldom meets twice
+    heads = inner.groupBy("g").agg(F.min(F.struct(F.xxhash64("s").alias("by"), F.col("s").alias("head"))).alias("h")).select("g", "h.head")
+    met = cut(inner.join(heads, "g").select("head", "s").distinct())
+    parts = met.join(known.select("s", "component"), "s").groupBy("head", "component").count()
+    parts = parts.groupBy("head").agg(F.max_by("component", "count").alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    full = cut(met.join(parts.select("head", "main"), "head").join(known.drop("doc_id"), "s"))
     x, y = full.where("component <> main").alias("x"), full.alias("y")
     apart = F.col("x.component") != F.col("y.component")
     once = (F.col("y.component") == F.col("y.main")) | (F.col("x.s") < F.col("y.s"))
     rest = (
-        x.join(y, (F.col("x.g") == F.col("y.g")) & apart & once & may_link("x", "y", num, den))
+        x.join(y, (F.col("x.head") == F.col("y.head")) & apart & once & may_link("x", "y", num, den))
         .select(F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b"))
         .distinct()
     )
