@@ -95,7 +95,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     weight = F.sum(n) if n else F.count(F.lit(1))
     rows = df.where(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double"))
     distinct = rows.groupBy(*keys, "_v").agg(weight.cast("long").alias("_n"))
-    borders = bottom_rows(rows, default_ranges(df))
+    borders = bottom_rows(distinct, default_ranges(df))
     b = with_range(distinct, keys + ["_v"], sample=borders)
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     grid = F.array(*[F.lit(float(p)) for p in probs])

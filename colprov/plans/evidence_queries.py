@@ -253,7 +253,7 @@ def i13(t: Tables):
      UNION ALL SELECT 'late_flag', count(*) FILTER (WHERE late_flag = 1), count(*) FILTER (WHERE late_flag = 1 AND kept) FROM x
      UNION ALL SELECT 'y2', count(*) FILTER (WHERE y2 = 1), count(*) FILTER (WHERE y2 = 1 AND kept) FROM x),
    q AS (SELECT o_orderpriority AS ds, unnest(['part_flag', 'late_flag', 'y2']) AS col, CASE WHEN o_orderpriority < '3' THEN 'named by the source' END AS quote FROM (SELECT DISTINCT o_orderpriority FROM orders))
-   SELECT ds, col, quote, 'SM' AS coder, 'LABEL_DERIVED' AS label, format('every row with {{}}=1 has the target ({{}} of {{}}, {{}})', col, h, n, CASE WHEN n > 0 AND n = h THEN 'CONFIRMED' ELSE 'CONTRADICTED' END) AS data_check
+   SELECT ds, col, quote, 'rule' AS coder, 'LABEL_DERIVED' AS label, format('every row with {{}}=1 has the target ({{}} of {{}}, {{}})', col, h, n, CASE WHEN n > 0 AND n = h THEN 'CONFIRMED' ELSE 'CONTRADICTED' END) AS data_check
    FROM q JOIN c USING (col)""",
 )
 def i14(t: Tables):
@@ -266,7 +266,7 @@ def i14(t: Tables):
     each = F.explode(F.array(F.lit("part_flag"), F.lit("late_flag"), F.lit("y2")))
     rows = ds.select("ds", each.alias("col"), F.when(F.col("ds") < "3", "named by the source").alias("quote"))
     checked = rows.select("ds", "col").join(checks.withColumnRenamed("flag", "col"), "col")
-    return I.backfill(rows, checked, {"coder": "SM", "label": "LABEL_DERIVED"})
+    return I.backfill(rows, checked, {"coder": "rule", "label": "LABEL_DERIVED"})
 
 
 @query(

@@ -232,7 +232,7 @@ def j13b(t: Tables):
 def h13(t: Tables):
     """The two leaky columns against every pair of clean ones, per-class z."""
     clean = ["l_quantity", "l_discount", "l_tax"]
-    subsets, _, _ = H.null_subsets(clean, 2, 3)
+    subsets = H.reference_subsets(clean, 2, 120)
     every = [("leak", True, ["reason_flag", "refund_amt"])] + [(f"null{i}", False, s) for i, s in enumerate(subsets)]
     df, f1s = ml_frame(t), None
     for name, leak, cols in every:

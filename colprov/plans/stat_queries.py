@@ -50,7 +50,7 @@ DRAWS = 2000
      count(*) FILTER (WHERE cond = 1 AND is_pos AND NOT flagged) AS fn1, count(*) FILTER (WHERE cond = 6 AND is_pos AND flagged) AS tp6,
      count(*) FILTER (WHERE cond = 6 AND NOT is_pos AND flagged) AS fp6, count(*) FILTER (WHERE cond = 6 AND is_pos AND NOT flagged) AS fn6 FROM mat GROUP BY ALL),
   ix AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY ds) - 1 AS slot, count(*) OVER (PARTITION BY model) AS n FROM per),
-  dr AS (SELECT model, n, d AS draw, (d * 7919 + slot * 104729 + d * slot * 31) % n AS pick FROM ix, range({DRAWS}) r(d)),
+  dr AS (SELECT model, n, d AS draw, ('0x' || substr(md5(d || '|' || slot), 1, 8))::BIGINT % n AS pick FROM ix, range({DRAWS}) r(d)),
   s AS (SELECT dr.model, dr.n, draw, sum(tp1) AS tp1, sum(fp1) AS fp1, sum(fn1) AS fn1, sum(tp6) AS tp6, sum(fp6) AS fp6, sum(fn6) AS fn6
         FROM dr JOIN ix ON ix.model = dr.model AND ix.slot = dr.pick GROUP BY ALL),
   f AS (SELECT model, n, CASE WHEN tp6 > 0 THEN 2 * tp6 / (2 * tp6 + fp6 + fn6) ELSE 0 END - CASE WHEN tp1 > 0 THEN 2 * tp1 / (2 * tp1 + fp1 + fn1) ELSE 0 END AS d
@@ -59,7 +59,7 @@ DRAWS = 2000
   SELECT model, round(l[floor(0.025 * len(l))::INT + 1], 6)::DOUBLE AS lo, round(l[least(len(l), floor(0.975 * len(l))::INT + 1)], 6)::DOUBLE AS hi, n AS n_ds, len(l)::BIGINT AS n_draws FROM g""",
 )
 def h2(t: Tables):
-    b = H.cluster_bootstrap(G.match_cells(scored(t), [1, 6]), 1, 6, DRAWS, H.arithmetic_pick)
+    b = H.cluster_bootstrap(G.match_cells(scored(t), [1, 6]), 1, 6, DRAWS, H.digest_pick)
     return rounded(b, "lo", "hi")
 
 
@@ -225,7 +225,7 @@ RELABEL_DRAWS = 200
 @query(
     "h11_random_relabelling",
     f"""WITH {TALLIES_SQL}, it AS (SELECT ds, col, row_number() OVER (ORDER BY ds, col) - 1 AS slot, count(*) OVER () AS m FROM (SELECT DISTINCT ds, col FROM tl)),
-   fl AS (SELECT draw, ds, col FROM (SELECT d AS draw, ds, col, m, row_number() OVER (PARTITION BY d ORDER BY (d * 7919 + slot * 104729 + d * slot * 31) % 1000003, slot) AS rn FROM it, range({RELABEL_DRAWS}) r(d))
+   fl AS (SELECT draw, ds, col FROM (SELECT d AS draw, ds, col, m, row_number() OVER (PARTITION BY d ORDER BY ('0x' || substr(md5(d || '|' || slot), 1, 8))::BIGINT, slot) AS rn FROM it, range({RELABEL_DRAWS}) r(d))
           WHERE rn <= greatest(1, round(0.1 * m))),
    x AS (SELECT d AS draw, model, h, n, CASE WHEN (f.col IS NOT NULL) <> (subtype = 'REASON') THEN 'R' ELSE 'C' END AS lab
          FROM tl CROSS JOIN range({RELABEL_DRAWS}) r(d) LEFT JOIN fl f ON f.draw = d AND f.ds = tl.ds AND f.col = tl.col),
@@ -234,7 +234,7 @@ RELABEL_DRAWS = 200
    SELECT 0.1::DOUBLE AS share, round(m, 6)::DOUBLE AS mean_gap, round(g[{int(0.025 * RELABEL_DRAWS) + 1}], 6)::DOUBLE AS lo, round(g[{int(0.975 * RELABEL_DRAWS) + 1}], 6)::DOUBLE AS hi FROM l""",
 )
 def h11(t: Tables):
-    order = lambda d, s: (d * 7919 + s * 104729 + d * s * 31) % 1000003
+    order = H.digest_order
     return rounded(H.random_relabel(tallies(t), 0.1, RELABEL_DRAWS, order), "mean_gap", "lo", "hi")
 
 
