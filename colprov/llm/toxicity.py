@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from colprov.llm.common import BYTE, P, U, mix, prepare, slices
 from colprov.llm.decontaminate import read_words
+from colprov.session import cut
 
 SAMPLE = 12_000
 LEAST_TEXTS = 5
@@ -87,7 +88,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def features(rows: DataFrame) -> DataFrame:
-    """Rows (grade, words): the distinct word hashes of each text, packed."""
+    """Rows (grade, words): the distinct feature hashes of each text."""
 
     def work(batches):
         for batch in batches:
@@ -95,25 +96,19 @@ def features(rows: DataFrame) -> DataFrame:
                 row, h = marks(part)
                 by = np.argsort(row, kind="stable")
                 at = np.searchsorted(row[by], np.arange(part.num_rows + 1))
-                packed = [np.unique(h[by[a:b]]).tobytes() for a, b in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("grade"), pa.array(packed, pa.binary())], names=["grade", "words"])
+                lists = [np.unique(h[by[a:b]]).view(np.int64) for a, b in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays([part.column("grade"), pa.array(lists, pa.list_(pa.int64()))], names=["grade", "words"])
 
-    return prepare(rows).mapInArrow(work, "grade int, words binary")
+    return prepare(rows).mapInArrow(work, "grade int, words array<long>")
 
 
-def screen(grade: np.ndarray, row: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words that go with grades above 0, and the column of each occurrence (-1: none)."""
-    known, column = np.unique(word, return_inverse=True)
-    texts = np.bincount(column)
-    hits = np.bincount(column, weights=(grade[row] > 0))
-    base = (grade > 0).mean()
-    z = (hits - texts * base) / np.sqrt(np.maximum(texts * base * (1 - base), 1e-12))
-    z[texts < LEAST_TEXTS] = 0
-    keep = np.zeros(len(known), bool)
-    keep[np.argsort(-z, kind="stable")[:MOST]] = True
-    keep &= z >= Z
-    number = np.where(keep, np.cumsum(keep) - 1, -1)
-    return known[keep], number[column]
+def screen(rows: DataFrame, n: int, base: float) -> np.ndarray:
+    """The features that go most with grades above 0, counted in Spark; at most ``MOST``, sorted."""
+    texts, z = F.col("texts"), (F.col("hits") - F.col("texts") * base) / F.sqrt(F.col("texts") * max(base * (1 - base), 1e-12))
+    counts = rows.select((F.col("grade") > 0).cast("int").alias("hit"), F.explode("words").alias("word")).groupBy("word")
+    counts = counts.agg(F.count("*").alias("texts"), F.sum("hit").alias("hits")).where(texts >= LEAST_TEXTS).withColumn("z", z)
+    best = counts.where(F.col("z") >= Z).orderBy(F.desc("z"), "word").limit(MOST).select("word").collect()
+    return np.sort(np.array([r.word for r in best], np.int64).view(U))
 
 
 def fit(grade: np.ndarray, x: np.ndarray, grades: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,17 +142,20 @@ def fit(grade: np.ndarray, x: np.ndarray, grades: int) -> tuple[np.ndarray, np.n
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on the bounded sample; the driver sees at most ``sample`` rows of packed word hashes."""
-    got = features(labelled(docs, labels, sample)).toPandas()
-    grade = got["grade"].to_numpy(np.int64) if len(got) else np.zeros(0, np.int64)
-    levels = np.unique(grade)
-    if len(levels) < 2:
+    """Fit on the bounded sample; the driver sees at most ``sample`` rows of the chosen features."""
+    rows = cut(features(labelled(docs, labels, sample)))
+    n, base, levels = rows.agg(F.count("*"), F.avg((F.col("grade") > 0).cast("double")), F.count_distinct("grade")).first()
+    if levels < 2:
         return Model(np.zeros(0, U), np.zeros(0), np.array([np.inf]))
-    lists = [np.frombuffer(x, U) for x in got["words"]]
+    known = screen(rows, n, base)
+    wanted = F.array(*[F.lit(x) for x in known.view(np.int64).tolist()]).cast("array<long>")
+    got = rows.select("grade", F.array_intersect("words", wanted).alias("words")).toPandas()
+    grade = got["grade"].to_numpy(np.int64)
+    lists = [np.asarray(x, np.int64).view(U) for x in got["words"]]
     row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    known, column = screen(grade, row, np.concatenate(lists))
+    column = np.searchsorted(known, np.concatenate(lists))
     x = np.zeros((len(grade), len(known)), np.float64)
-    x[row[column >= 0], column[column >= 0]] = 1
+    x[row, column] = 1
     if grade.max() == 1 and len(known):  # labels say only whether: the heavier half is severe
         marked = x.sum(axis=1)
         grade[(grade == 1) & (marked > np.median(marked[grade == 1]))] = 2
