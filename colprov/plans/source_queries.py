@@ -64,17 +64,32 @@ def a4b(t: Tables):
     return headerless(t)[1]
 
 
-@query("a5_arff", "SELECT p_partkey::DOUBLE AS id, p_brand AS brand, CASE WHEN p_size % 6 > 0 THEN p_size END::DOUBLE AS \"the size\" FROM part")
-def a5(t: Tables):
-    """Declarations and comments in one file, the rows in the others of a folder."""
+def arff_files(t: Tables):
+    """Declarations and comments in one file, the rows in the others of a folder, some of them short."""
     head = ["% parts", "@relation parts", "@attribute id numeric", "@attribute brand {a, b}", "@attribute 'the size' numeric", "@data"]
     path = scratch(t.spark, "arff")
     t.spark.createDataFrame([(h,) for h in head], "value string").coalesce(1).write.text(path)
-    row = F.concat_ws(",", F.col("p_partkey").cast("string"), F.concat(F.lit("'"), "p_brand", F.lit("'")), F.when(F.col("p_size") % 6 == 0, F.lit("?")).otherwise(F.col("p_size").cast("string")))
-    t.part.select(row.alias("value")).write.mode("append").text(path)
+    k = F.col("p_partkey")
+    brand = F.concat(F.lit("'"), "p_brand", F.when(k % 7 == 2, ", old").otherwise(""), F.lit("'"))
+    row = F.concat_ws(",", k.cast("string"), brand, F.when(F.col("p_size") % 6 == 0, F.lit("?")).otherwise(F.col("p_size").cast("string")))
+    t.part.select(F.when(k % 10 == 3, k.cast("string")).otherwise(row).alias("value")).write.mode("append").text(path)
     return L.read_arff(t.spark, path)
 
 
+@query(
+    "a5_arff",
+    """SELECT p_partkey::DOUBLE AS id, p_brand || CASE WHEN p_partkey % 7 = 2 THEN ', old' ELSE '' END AS brand,
+   CASE WHEN p_size % 6 > 0 THEN p_size END::DOUBLE AS "the size" FROM part WHERE p_partkey % 10 <> 3""",
+)
+def a5(t: Tables):
+    return arff_files(t)[0]
+
+
+@query("a5_arff_rejects", "SELECT p_partkey::VARCHAR AS line FROM part WHERE p_partkey % 10 = 3")
+def a5b(t: Tables):
+    return arff_files(t)[1]
+
+
 def record_files(t: Tables):
     """One JSON file per nation-sized batch of suppliers, some of them damaged."""
     path = scratch(t.spark, "records")
@@ -97,10 +112,24 @@ def a6b(t: Tables):
     return record_files(t)[1].groupBy("n_chars").agg(F.count(F.lit(1)).alias("n"))
 
 
+def map_files(t: Tables):
+    """One object per region, and a damaged file beside each."""
+    path = scratch(t.spark, "map")
+    entries = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), F.col("n_name"))))
+    maps = t.nation.groupBy(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("part")).agg(F.to_json(entries).alias("value"))
+    damaged = t.region.select(F.concat(F.lit("d"), F.col("r_regionkey").cast("string")).alias("part"), F.lit("NOT FOUND").alias("value"))
+    maps.unionByName(damaged).write.partitionBy("part").text(path)
+    return L.read_json_map(t.spark, f"{path}/part=*")
+
+
 @query("a7_keyed_json_map", "SELECT 'n' || n_nationkey AS id, n_name AS text FROM nation")
 def a7(t: Tables):
-    entries = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), F.col("n_name"))))
-    return L.read_json_map(t.spark, text_lines(t, t.nation.groupBy("n_regionkey").agg(F.to_json(entries).alias("value")).select("value").repartition(5, "value"), "map"))
+    return map_files(t)[0]
+
+
+@query("a7_unreadable_maps", "SELECT 9 AS n_chars, count(*) AS n FROM region")
+def a7b(t: Tables):
+    return map_files(t)[1].groupBy("n_chars").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("a8_json_lines", "SELECT doc_id, text FROM documents")
@@ -268,10 +297,10 @@ def a18(t: Tables):
     return L.still_to_do(t.orders.select("o_orderkey"), cached, t.orders.where("o_orderstatus = 'P'").select("o_orderkey"), "o_orderkey")
 
 
-@query("a19_input_inventory", "SELECT DISTINCT lang AS ds, source || '.csv' AS file, 'archive ' || lang AS provenance, source IN (SELECT source FROM documents WHERE n_chars > 20000) AS present FROM documents")
+@query("a19_input_inventory", "SELECT DISTINCT lang AS ds, source || '.csv' AS file, 'archive ' || lang AS provenance, substr(md5(source), 1, 1) < '8' AS present FROM documents")
 def a19(t: Tables):
     declared = t.documents.select(F.col("lang").alias("ds"), F.concat("source", F.lit(".csv")).alias("file"), F.concat(F.lit("archive "), "lang").alias("provenance")).distinct()
-    return M.input_inventory(declared, t.documents.where("n_chars > 20000").select(F.concat("source", F.lit(".csv")).alias("file")))
+    return M.input_inventory(declared, t.documents.where("substr(md5(source), 1, 1) < '8'").select(F.concat("source", F.lit(".csv")).alias("file")).distinct())
 
 
 @query(

@@ -47,9 +47,10 @@ def read_headerless(spark: SparkSession, path: str, schema: T.StructType, sep: s
     return good, raw.where("r._corrupt_record IS NOT NULL").select(F.col("value").alias("line"))
 
 
-def read_arff(spark: SparkSession, path: str, null_token: str = "?") -> DataFrame:
+def read_arff(spark: SparkSession, path: str, null_token: str = "?") -> tuple[DataFrame, DataFrame]:
     """An attribute-relation file: names from @attribute, rows after @data, comments
-    dropped; a column becomes numeric only if no value is lost by it.
+    dropped; a column becomes numeric only if no value is lost by it. Values may stand
+    in single quotes. Lines with more or fewer values come back as rejects, whole.
 
     The declarations, a few short lines at the head, are the only thing the driver sees.
     """
@@ -62,11 +63,13 @@ def read_arff(spark: SparkSession, path: str, null_token: str = "?") -> DataFram
         next(g for g in _unquote(r["d"]) if g)
         for r in declared.orderBy("i").collect()
     ]
-    rows = lines.where(~F.trim("value").startswith("@")).select(F.split("value", ",").alias("v")).where(F.size("v") == len(names))
-    cells = rows.select(*[F.trim(F.regexp_replace(F.trim(F.col("v")[i]), r"^'|'$", "")).alias(n) for i, n in enumerate(names)])
-    cells = null_tokens(cells, null_token)
+    ddl = ", ".join([*[f"c{i} string" for i in range(len(names))], "_corrupt_record string"])
+    options = {"quote": "'", "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "columnNameOfCorruptRecord": "_corrupt_record"}
+    raw = lines.where(~F.trim("value").startswith("@")).select("value", F.from_csv("value", F.lit(ddl), options).alias("r"))
+    rejects = raw.where("r._corrupt_record IS NOT NULL").select(F.col("value").alias("line"))
+    cells = null_tokens(raw.where("r._corrupt_record IS NULL").select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)]), null_token)
     fit = cells.agg(*[(F.count(F.col(f"`{n}`").try_cast("double")) == F.count(f"`{n}`")).alias(f"k{i}") for i, n in enumerate(names)]).first()
-    return cells.select(*[F.col(f"`{n}`").cast("double").alias(n) if fit[f"k{i}"] else F.col(f"`{n}`") for i, n in enumerate(names)])
+    return cells.select(*[F.col(f"`{n}`").cast("double").alias(n) if fit[f"k{i}"] else F.col(f"`{n}`") for i, n in enumerate(names)]), rejects
 
 
 def _unquote(declaration: str) -> list[str]:
@@ -88,10 +91,12 @@ def read_json_files(spark: SparkSession, path: str, schema: str) -> tuple[DataFr
     return parsed.where(~empty).select("file", "r.*"), parsed.where(empty).select("file", F.length(F.regexp_replace("text", r"\s+$", "")).alias("n_chars"))
 
 
-def read_json_map(spark: SparkSession, path: str) -> DataFrame:
-    """A file holding one object {id: text} as rows."""
-    raw = spark.read.text(path, wholetext=True)
-    return raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("id", "text"))
+def read_json_map(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Files that each hold one object {id: text}: (rows, rejected files)."""
+    raw = spark.read.text(path, wholetext=True).select(F.col(PATH).alias("file"), F.col("value").alias("text"))
+    parsed = raw.withColumn("m", F.from_json("text", "map<string,string>"))
+    rows = parsed.select(F.explode("m").alias("id", "text"))
+    return rows, parsed.where("m IS NULL").select("file", F.length(F.regexp_replace("text", r"\s+$", "")).alias("n_chars"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
