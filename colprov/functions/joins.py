@@ -6,12 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 SALTS = 32
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` holds at most ``max_rows`` rows; reads no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when ``df`` holds at most ``max_rows`` rows that take at most ``max_bytes``
+    bytes as JSON, so rows with long arrays or texts count as what they are; reads no
+    further than that many rows."""
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
+    n, taken = df.limit(max_rows + 1).agg(F.count(F.lit(1)), size).first()
+    return n <= max_rows and taken <= max_bytes
 
 
 def join_dim(
@@ -24,7 +29,7 @@ def join_dim(
 ) -> DataFrame:
     """Join a large frame to a dimension.
 
-    A dimension of at most ``max_rows`` rows is broadcast. A larger one is joined
+    A dimension that ``is_small`` is broadcast. A larger one is joined
     on the keys plus a salt, so that a key holding a third of the large side is
     spread over ``salts`` tasks; each large row meets exactly one salted copy, so
     the result is that of the plain join for inner, left, left_semi and left_anti.

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 def default_ranges(df: DataFrame) -> int:
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(8, min(4096, 2 * parts))
+    return max(8, 2 * parts)
 
 
 def bottom_rows(df: DataFrame, k: int) -> DataFrame:
