@@ -127,13 +127,14 @@ def out_of_fold(rows: DataFrame, k: int, kind: str, fold: str = "fold", **opts)
     return out
 
 
-def nested_threshold(rows: DataFrame, k: int, inner: int, kind: str, **opts) -> DataFrame:
+def nested_threshold(rows: DataFrame, k: int, inner: int, kind: str, unit: str, **opts) -> DataFrame:
     """Predictions per outer fold with a threshold chosen on the training part only,
-    from out-of-fold scores of ``inner`` inner folds."""
+    from out-of-fold scores of ``inner`` inner folds. ``unit`` is the row id or group
+    whose rows stay together in an inner fold."""
     out = None
     grid = [i / 100 for i in range(1, 100)]
     for i in range(k):
-        train = rows.where(F.col("fold") != i).withColumn("_inner", F.pmod(F.xxhash64("_x", F.lit(i)), F.lit(inner)).cast("int"))
+        train = rows.where(F.col("fold") != i).withColumn("_inner", F.pmod(F.xxhash64(unit, F.lit(i)), F.lit(inner)).cast("int"))
         oof = cut(out_of_fold(train, inner, kind, "_inner", **opts).select("score", (F.col("_label") == 1).alias("y")))
         best = grid_threshold(oof, "score", "y", exact_quantiles(oof, [], "score", grid)).first()
         test = fit_predict(train.drop("_inner"), rows.where(F.col("fold") == i), kind, **opts)
@@ -143,11 +144,14 @@ def nested_threshold(rows: DataFrame, k: int, inner: int, kind: str, **opts) ->
 
 
 def run_arms(
-    df: DataFrame, features: list[str], y: str, arms: dict[str, list[str]], k: int, kind: str = "rf", inner: int = 0, keep: list[str] | None = None, **opts
+    df: DataFrame, features: list[str], y: str, arms: dict[str, list[str]], k: int, kind: str = "rf", inner: int = 0, unit: str | None = None, keep: list[str] | None = None, **opts
 ) -> DataFrame:
     """Predictions of every arm, each distinct column set fitted once. ``df`` has
-    ``fold``; columns (arm, fold, _label, score, pred[, threshold])."""
-    keep = ["fold", *(keep or [])]
+    ``fold``; columns (arm, fold, _label, score, pred[, threshold]). ``inner`` folds
+    for the threshold need the ``unit`` they are dealt by."""
+    if inner and not unit:
+        raise ValueError("inner folds need the unit they are dealt by")
+    keep = ["fold", *(keep or []), *([unit] if inner else [])]
     by_set: dict[tuple, list[str]] = {}
     for arm, dropped in arms.items():
         by_set.setdefault(tuple(c for c in features if c not in dropped), []).append(arm)
@@ -156,7 +160,7 @@ def run_arms(
         if not cols:
             continue
         rows = cut(assemble(df, list(cols), y, keep))
-        pred = nested_threshold(rows, k, inner, kind, **opts) if inner else out_of_fold(rows, k, kind, **opts)
+        pred = nested_threshold(rows, k, inner, kind, unit, **opts) if inner else out_of_fold(rows, k, kind, **opts)
         # written once, so an action on the result never fits again
         pred = cut(pred).withColumn("arm", F.explode(F.array(*[F.lit(n) for n in names])))
         out = pred if out is None else out.unionByName(pred)

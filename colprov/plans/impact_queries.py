@@ -88,7 +88,7 @@ def j4b(t: Tables):
 
 @query("j5_nested_threshold")
 def j5(t: Tables):
-    pred = J.run_arms(ml_frame(t), ML_FEATURES, "target", {"ALL": [], "GT": fr.LEAKS}, 2, "rf", inner=2, trees=3, depth=3)
+    pred = J.run_arms(ml_frame(t), ML_FEATURES, "target", {"ALL": [], "GT": fr.LEAKS}, 2, "rf", inner=2, unit="l_orderkey", trees=3, depth=3)
     return rounded(by_arm(pred), "auc", "f1", "p", "r")
 
 
