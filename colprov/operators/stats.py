@@ -330,37 +330,41 @@ def base_sums(tallies: DataFrame) -> DataFrame:
 
 
 def random_relabel(
-    tallies: DataFrame, share: float, draws: int = 2000, order: Callable[[Column, Column], Column] | None = None, seed: int = 0
+    tallies: DataFrame, shares: list[float], draws: int = 2000, order: Callable[[Column, Column], Column] | None = None, seed: int = 0
 ) -> DataFrame:
-    """Gap when a random ``share`` of the boundary labels is flipped: mean and 95%
-    range over draws. ``order(draw, slot)`` ranks the labels within a draw."""
+    """Gap when a random share of the boundary labels is flipped: mean and 95% range
+    over draws, one row per share. ``order(draw, slot)`` ranks the labels within a
+    draw; every share flips the head of the same ranking. Draws that leave a side
+    without labels have no gap and are left out of the range."""
     tallies = cut(tallies)
     items = cut(dense_codes(tallies.select("ds", "col").distinct(), [], ["ds", "col"], "slot"))
     n = items.agg(F.count(F.lit(1))).scalar()
     order = order or (lambda d, s: F.xxhash64(d, s, F.lit(seed)))
-    k = F.greatest(F.lit(1), F.round(F.lit(share) * F.col("_n")).cast("int"))
-    ranked = (
-        items.withColumn("_n", n)
-        .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-        .withColumn("_o", order(F.col("draw").cast("long"), F.col("slot")))
-    )
-    flips = dense_codes(ranked, ["draw"], ["_o", "slot"], "_rank").where(F.col("_rank") < k).select("draw", "ds", "col")
+    each_share = F.explode(F.array(*[F.lit(float(s)) for s in shares]))
+    each_draw = F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))
+    k = F.greatest(F.lit(1), F.round(F.col("share") * F.col("_n")).cast("int"))
+    ranked = items.withColumn("_n", n).withColumn("draw", each_draw).withColumn("_o", order(F.col("draw").cast("long"), F.col("slot")))
+    places = dense_codes(ranked, ["draw"], ["_o", "slot"], "_rank").withColumn("share", each_share)
+    flips = places.where(F.col("_rank") < k).select("share", "draw", "ds", "col")
     toward = F.when(F.col("subtype") == REASON, -1).otherwise(1)
-    moved = flips.join(tallies, ["ds", "col"]).groupBy("draw", "model").agg(
+    moved = flips.join(tallies, ["ds", "col"]).groupBy("share", "draw", "model").agg(
         F.sum(toward * F.col("h")).alias("dh"), F.sum(toward * F.col("n")).alias("dn")
     )
-    models = base_sums(tallies)
-    every = models.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).join(moved, ["draw", "model"], "left")
+    models = base_sums(tallies).withColumn("draw", each_draw).withColumn("share", each_share)
+    every = models.join(moved, ["share", "draw", "model"], "left")
     dh, dn = F.coalesce("dh", F.lit(0)), F.coalesce("dn", F.lit(0))
     sums = every.select(
-        "draw", "model", (F.col("rh") + dh).alias("rh"), (F.col("rn") + dn).alias("rn"), (F.col("ch") - dh).alias("ch"), (F.col("cn") - dn).alias("cn")
+        "share", "draw", "model",
+        (F.col("rh") + dh).alias("rh"), (F.col("rn") + dn).alias("rn"), (F.col("ch") - dh).alias("ch"), (F.col("cn") - dn).alias("cn"),
     )
-    d = gap_of(sums, ["draw"]).agg(F.avg("gap").alias("mean_gap"), F.sort_array(F.collect_list("gap")).alias("g"))
+    gaps = gap_of(sums, ["share", "draw"]).groupBy("share")
+    d = gaps.agg(F.avg("gap").alias("mean_gap"), F.sort_array(F.collect_list("gap")).alias("g"))
+    m = F.size("g")
     return d.select(
-        F.lit(share).alias("share"),
+        "share",
         "mean_gap",
-        F.element_at("g", int(0.025 * draws) + 1).alias("lo"),
-        F.element_at("g", int(0.975 * draws) + 1).alias("hi"),
+        F.get("g", F.floor(0.025 * m).cast("int")).alias("lo"),
+        F.get("g", F.least(m - 1, F.floor(0.975 * m).cast("int"))).alias("hi"),
     )
 
 

@@ -50,11 +50,11 @@ def i3(t: Tables):
 
 @query(
     "i3_unknown_columns",
-    f"""WITH {SETTLED_SQL}, cols AS (SELECT DISTINCT lang AS dataset_id, source AS "column" FROM documents WHERE n_chars > 4000)
+    f"""WITH {SETTLED_SQL}, cols AS (SELECT DISTINCT lang AS dataset_id, source AS "column" FROM documents WHERE substr(md5(lang || source), 1, 1) < '8')
    SELECT dataset_id, "column", label FROM settled ANTI JOIN cols USING (dataset_id, "column")""",
 )
 def i3b(t: Tables):
-    cols = t.documents.where("n_chars > 4000").select(F.col("lang").alias("dataset_id"), F.col("source").alias("column")).distinct()
+    cols = t.documents.where("substr(md5(lang || source), 1, 1) < '8'").select(F.col("lang").alias("dataset_id"), F.col("source").alias("column")).distinct()
     _, unknown = I.materialise(cols, I.adjudicate(fr.evidence(t)))
     return unknown.select("dataset_id", "column", "label")
 
@@ -96,7 +96,7 @@ def i6(t: Tables):
     return I.evidence_summary(pos, fr.evidence(t))
 
 
-CAND_SQL = """cand AS (SELECT lang || source AS ds, CASE WHEN n_chars < 500 THEN 'no licensing phrase' WHEN n_chars < 1500 THEN 'IS_TARGET' END AS reject FROM documents WHERE n_chars < 6000)"""
+CAND_SQL = """cand AS (SELECT lang || source AS ds, CASE WHEN n_chars < 500 THEN 'no licensing phrase' WHEN n_chars < 1500 THEN 'IS_TARGET' END AS reject FROM documents)"""
 
 
 @query("i6_attrition_by_reason", "WITH " + CAND_SQL + " SELECT reject, count(*) AS n FROM cand WHERE reject IS NOT NULL GROUP BY reject")
@@ -115,7 +115,7 @@ def docs_ds(t):
 
 def candidates(t):
     n = F.col("n_chars")
-    return t.documents.where("n_chars < 6000").select(
+    return t.documents.select(
         F.concat("lang", "source").alias("ds"), F.when(n < 500, "no licensing phrase").when(n < 1500, "IS_TARGET").alias("reject")
     )
 

@@ -262,12 +262,12 @@ def e13b(t: Tables):
 
 @query(
     "e14_documentation_coverage",
-    rf"""WITH {WORDS_SQL}, c AS (SELECT ds, col, CASE WHEN length(col) % 2 = 0 THEN col END AS description FROM cols), lw AS (SELECT DISTINCT source AS ds, unnest(string_split_regex(lower(text), '[^A-Za-z0-9_]+')) AS w FROM documents WHERE n_chars < 3000)
+    rf"""WITH {WORDS_SQL}, c AS (SELECT ds, col, CASE WHEN length(col) % 2 = 0 THEN col END AS description FROM cols), lw AS (SELECT DISTINCT source AS ds, unnest(string_split_regex(lower(text), '[^A-Za-z0-9_]+')) AS w FROM documents)
    SELECT c.ds, count(*) AS n_cols, round(avg((description IS NOT NULL)::INT), 6)::DOUBLE AS described, round(avg((lw.w IS NOT NULL)::INT), 6)::DOUBLE AS in_prose FROM c LEFT JOIN lw ON lw.ds = c.ds AND lw.w = lower(c.col) GROUP BY c.ds""",
 )
 def e14(t: Tables):
     c = columns(t).withColumn("description", F.when(F.length("col") % 2 == 0, F.col("col")))
-    prose = t.documents.where("n_chars < 3000").select(F.col("source").alias("ds"), "text")
+    prose = t.documents.select(F.col("source").alias("ds"), "text")
     return rounded(E.documentation_coverage(c, prose), "described", "in_prose")
 
 

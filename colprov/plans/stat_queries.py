@@ -219,23 +219,21 @@ def tallies(t: Tables):
     return H.recall_tallies(alien(fr.verdicts(t)), fr.cell_truth(t), cells, 1)
 
 
-RELABEL_DRAWS = 200
+RELABEL_SHARES = [0.05, 0.1, 0.2, 0.3, 0.5]
 
 
 @query(
     "h11_random_relabelling",
     f"""WITH {TALLIES_SQL}, it AS (SELECT ds, col, row_number() OVER (ORDER BY ds, col) - 1 AS slot, count(*) OVER () AS m FROM (SELECT DISTINCT ds, col FROM tl)),
-   fl AS (SELECT draw, ds, col FROM (SELECT d AS draw, ds, col, m, row_number() OVER (PARTITION BY d ORDER BY ('0x' || substr(md5(d || '|' || slot), 1, 8))::BIGINT, slot) AS rn FROM it, range({RELABEL_DRAWS}) r(d))
-          WHERE rn <= greatest(1, round(0.1 * m))),
-   x AS (SELECT d AS draw, model, h, n, CASE WHEN (f.col IS NOT NULL) <> (subtype = 'REASON') THEN 'R' ELSE 'C' END AS lab
-         FROM tl CROSS JOIN range({RELABEL_DRAWS}) r(d) LEFT JOIN fl f ON f.draw = d AND f.ds = tl.ds AND f.col = tl.col),
-   g AS (SELECT draw, model, sum(h) FILTER (WHERE lab = 'C') / sum(n) FILTER (WHERE lab = 'C') AS c, sum(h) FILTER (WHERE lab = 'R') / sum(n) FILTER (WHERE lab = 'R') AS r FROM x GROUP BY ALL),
-   q AS (SELECT draw, avg(c) - avg(r) AS gap FROM g GROUP BY draw), l AS (SELECT avg(gap) AS m, list_sort(list(gap)) AS g FROM q)
-   SELECT 0.1::DOUBLE AS share, round(m, 6)::DOUBLE AS mean_gap, round(g[{int(0.025 * RELABEL_DRAWS) + 1}], 6)::DOUBLE AS lo, round(g[{int(0.975 * RELABEL_DRAWS) + 1}], 6)::DOUBLE AS hi FROM l""",
+   sh AS (SELECT unnest({RELABEL_SHARES}::DOUBLE[]) AS share),
+   rk AS (SELECT d AS draw, ds, col, m, row_number() OVER (PARTITION BY d ORDER BY ('0x' || substr(md5(d || '|' || slot), 1, 8))::BIGINT, slot) AS rn FROM it, range({DRAWS}) r(d)),
+   x AS (SELECT share, draw, model, h, n, CASE WHEN (rn <= greatest(1, round(share * m))) <> (subtype = 'REASON') THEN 'R' ELSE 'C' END AS lab FROM tl JOIN rk USING (ds, col), sh),
+   g AS (SELECT share, draw, model, sum(h) FILTER (WHERE lab = 'C') / sum(n) FILTER (WHERE lab = 'C') AS c, sum(h) FILTER (WHERE lab = 'R') / sum(n) FILTER (WHERE lab = 'R') AS r FROM x GROUP BY share, draw, model),
+   q AS (SELECT share, draw, avg(c) - avg(r) AS gap FROM g GROUP BY share, draw), l AS (SELECT share, avg(gap) AS m, list_sort(list(gap) FILTER (WHERE gap IS NOT NULL)) AS g FROM q GROUP BY share)
+   SELECT share, round(m, 6)::DOUBLE AS mean_gap, round(g[floor(0.025 * len(g))::INT + 1], 6)::DOUBLE AS lo, round(g[least(len(g), floor(0.975 * len(g))::INT + 1)], 6)::DOUBLE AS hi FROM l""",
 )
 def h11(t: Tables):
-    order = H.digest_order
-    return rounded(H.random_relabel(tallies(t), 0.1, RELABEL_DRAWS, order), "mean_gap", "lo", "hi")
+    return rounded(H.random_relabel(tallies(t), RELABEL_SHARES, DRAWS, H.digest_order), "mean_gap", "lo", "hi")
 
 
 @query("h12_greedy_adversary")
