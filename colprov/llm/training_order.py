@@ -90,7 +90,7 @@ def write(docs: DataFrame, content: bytes, pattern: str, folder: str | None = No
                 n += sum(len(x) for x in sequences(piece, *vocabulary.value, length))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["partition", "n"])
 
-    counts = stored(docs).mapInArrow(count, "partition int, n long").orderBy("partition").collect()  # one row per partition
+    counts = stored(docs).mapInArrow(count, "partition int, n long").collect()  # one row per partition
     sizes = {r.partition: r.n for r in counts}
     total = sum(sizes.values())
     base, at = {}, 0
