@@ -134,7 +134,7 @@ def nested_threshold(rows: DataFrame, k: int, inner: int, kind: str, unit: str,
     out = None
     grid = [i / 100 for i in range(1, 100)]
     for i in range(k):
-        train = rows.where(F.col("fold") != i).withColumn("_inner", F.pmod(F.xxhash64(unit, F.lit(i)), F.lit(inner)).cast("int"))
+        train = rows.where(F.col("fold") != i).withColumn("_inner", F.pmod(F.xxhash64(unit, F.lit("inner"), F.lit(i)), F.lit(inner)).cast("int"))
         oof = cut(out_of_fold(train, inner, kind, "_inner", **opts).select("score", (F.col("_label") == 1).alias("y")))
         best = grid_threshold(oof, "score", "y", exact_quantiles(oof, [], "score", grid)).first()
         test = fit_predict(train.drop("_inner"), rows.where(F.col("fold") == i), kind, **opts)
