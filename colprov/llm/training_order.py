@@ -84,10 +84,10 @@ def write(docs: DataFrame, content: bytes, pattern: str, folder: str | None = No
     vocabulary = spark.sparkContext.broadcast((content, pattern))  # a rank file, about 1 MB
 
     def count(batches):
-        n = 0
+        n, (encode, _) = 0, encoder(*vocabulary.value)
         for batch in batches:
             for piece in slices(batch, "text"):
-                n += sum(len(x) for x in sequences(piece, *vocabulary.value, length))
+                n += sum(len(encode.encode_ordinary(x.as_py() or "")) // length + 1 for x in piece.column("text"))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["partition", "n"])
 
     counts = stored(docs).mapInArrow(count, "partition int, n long").collect()  # one row per partition
