@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colprov.llm.common import prepare, slices
+from colprov.llm.common import kept, prepare, slices
 
 REMEMBERED = 150_000
 AT_ONCE = 50_000
@@ -215,16 +215,9 @@ class Codec:
         return b"".join([x[0] for x in got]), b"".join([x[1] for x in got])
 
 
-_codecs: dict[bytes, Codec] = {}
-
-
 def codec_of(content: bytes) -> Codec:
     """One codec for each rank file in a worker process; it outlives the task."""
-    key = hashlib.sha256(content).digest()
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(read_ranks(content))
-    return _codecs[key]
+    return kept(("codec", hashlib.sha256(content).digest()), lambda: Codec(read_ranks(content)))
 
 
 def texts_of(part: pa.RecordBatch) -> Iterator[str]:

@@ -7,7 +7,8 @@ one longer text is a slice of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -83,6 +84,24 @@ def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
+_kept: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """``make()``, kept in this Python worker for later tasks in place of what was kept before."""
+    if key not in _kept:
+        let_go()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def let_go() -> None:
+    """Free what another operator has kept: workers serve the tasks of all operators of a session."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+
+
 _powers = np.zeros(0, U)
 
 

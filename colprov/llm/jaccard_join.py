@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colprov.llm.common import FOLDED, P, U, Words, bitmap, components, in_bitmap, mix, prepare, slices, text_bytes
+from colprov.llm.common import FOLDED, P, U, Words, bitmap, components, in_bitmap, let_go, mix, prepare, slices, text_bytes
 from colprov.session import cut
 
 FRAGMENTS = 8
@@ -88,6 +88,7 @@ def sketch(value: np.ndarray, begin: np.ndarray, longs: int = SKETCH) -> np.ndar
 
 
 def set_parts(batches: Iterator[pa.RecordBatch], n: int):
+    let_go()
     for batch in batches:
         for part in slices(batch, "text"):
             value, begin = shingle_sets(*text_bytes(part.column("text")), n)
@@ -136,16 +137,23 @@ def frequent(docs: DataFrame, n: int, local: int = LOCAL, often: int = OFTEN) ->
         held, size = [], 0
 
         def flush():
-            value, count = np.unique(np.concatenate(held), return_counts=True)
-            keep = count >= local
-            return pa.RecordBatch.from_arrays([pa.array(value[keep].view(np.int64)), pa.array(count[keep])], names=["g", "count"])
+            value = np.concatenate(held)
+            held.clear()
+            value.sort()  # in place: a run of ``local`` equal values starts where the value as far on is the same
+            run = np.zeros(len(value), bool)
+            run[: max(0, len(value) - local + 1)] = value[local - 1 :] == value[: max(0, len(value) - local + 1)]
+            run[1:] &= value[1:] != value[:-1]
+            first = np.flatnonzero(run)
+            found = value[first]
+            count = np.searchsorted(value, found, side="right") - first
+            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(count)], names=["g", "count"])
 
         for _, value, _ in set_parts(batches, n):
             held.append(value)
             size += len(value)
             if size > 4_000_000:
                 yield flush()
-                held, size = [], 0
+                size = 0
         if held:
             yield flush()
 
