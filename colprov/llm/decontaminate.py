@@ -4,9 +4,10 @@ Each mask looks at ``SPAN`` consecutive words and ignores fixed positions, so a
 substituted word does not hide a passage. The masked hashes of the benchmark are joined
 with those of the documents; a fixed-size bitmap of the benchmark's hashes first drops
 document positions that cannot meet any. A hit gives a document, an item and an
-alignment. Each distinct alignment is then verified on the words themselves: the best
-run on it, matches counted up and substitutions counted down, must hold at least
-``min(item words, least)`` matching words at a similarity of ``num / den`` or more.
+alignment. Each distinct alignment is then verified on the words themselves: any run on
+it that holds at least ``min(item words, least)`` matching words at a similarity of
+``num / den`` or more counts, and the run with most matches is reported. Items of up to
+``least`` words must therefore match in every word.
 
 Words are runs of ASCII letters and digits and of all non-ASCII characters, in lower case.
 Items shorter than a span hash as a whole (exactly); items of fewer than five words and
@@ -33,7 +34,6 @@ MASKS = ("1101101011", "1011010111", "1110011011")
 SHORTEST = 5
 LEAST = 13
 BITS = 1 << 26
-PENALTY = 3
 
 
 def other_table() -> np.ndarray:
@@ -137,13 +137,18 @@ def alignments(docs: DataFrame, items: DataFrame, bits: int = BITS) -> DataFrame
     return hits.join(tests, "g").select("doc_id", "tid", "item_id", "version", (F.col("at") - F.col("place")).alias("shift")).distinct()
 
 
-def best_run(same: np.ndarray) -> tuple[int, int]:
-    """Matching words and length of the run with the highest score, matches +1 and others -PENALTY."""
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -PENALTY))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    begin = int(np.flatnonzero(total[: end + 1] == low[end])[0]) if end else 0
-    return int(same[begin:end].sum()), end - begin
+def best_run(same: np.ndarray, num: int = 4, den: int = 5) -> tuple[int, int]:
+    """Matching words and length of the run with most matches, then the shortest, of all at a similarity of ``num / den`` or more."""
+    matches = np.concatenate([[0], np.cumsum(same)])
+    spare = den * matches - num * np.arange(len(same) + 1)
+    # for each end, the first begin that leaves the run at the similarity; matches only grow with the length
+    begin = np.searchsorted(-np.minimum.accumulate(spare), -spare)
+    held = matches - matches[begin]
+    most = int(held.max())
+    if not most:
+        return 0, 0
+    end, at = np.flatnonzero(held == most), np.flatnonzero(same)
+    return most, int((at[matches[end] - 1] - at[matches[begin[end]]]).min()) + 1
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, num: int = 4, den: int = 5) -> DataFrame:
@@ -169,8 +174,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, num: int
                     for item, shift, words in zip(ids.tolist(), shifts.tolist(), hits.values.field("words")):
                         q = words.values.to_numpy().view(U)
                         lo, hi = max(0, -shift), min(len(q), len(own) - shift)
-                        matched, length = best_run(own[lo + shift : hi + shift] == q[lo:hi])
-                        if matched >= min(len(q), least) and matched * den >= length * num:
+                        matched, length = best_run(own[lo + shift : hi + shift] == q[lo:hi], num, den)
+                        if matched >= min(len(q), least):
                             out.append((row, item, matched, length))
                 row, item, matched, length = (np.array(x, np.int64) for x in (zip(*out) if out else ([], [], [], [])))
                 yield pa.RecordBatch.from_arrays(

@@ -162,6 +162,22 @@ def test_decontamination(spark):
     assert decontaminate.verdicts(empty, items).count() == 0
 
 
+def test_decontamination_tries_every_run(spark):
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        same = rng.random(int(rng.integers(0, 40))) < rng.choice([0.5, 0.8, 0.9])
+        runs = [(int(same[a:b].sum()), b - a) for a in range(len(same)) for b in range(a + 1, len(same) + 1)]
+        good = [(m, -n) for m, n in runs if m and 5 * m >= 4 * n]
+        matched, length = decontaminate.best_run(same)
+        assert (matched, -length) == max(good, default=(0, 0))
+    item = [f"w{i}" for i in range(15)]
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    rows = [(k, " ".join(["before", *item[:k], "other", *item[k + 1 :], "after"])) for k in range(15)]
+    got = decontaminate.verdicts(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    hit = {r.doc_id for r in got if r.contaminated}
+    assert {2, 11, 12} <= hit and all(r.matched == 14 for r in got if r.contaminated)
+
+
 def test_toxicity(spark):
     rows = [(i, f"plain words number {i} here" + (" grunk vile" if i % 5 == 0 else "")) for i in range(200)] + [(900, None), (901, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
