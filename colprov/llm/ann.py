@@ -8,15 +8,18 @@ one matrix product each, never more than ``BLOCK`` of either, so a bucket with a
 of all rows is many tasks. Blocks give their best vectors per query, which are
 reranked by the exact inner product in double precision, summed in one fixed order.
 
-Nearness is the inner product of the original vectors. Vectors shorter than the longest
-are extended by one more coordinate before rotation, which makes unit vectors whose
-angles follow inner products. Equal vectors are indexed once, with their smallest ids:
+Nearness is the inner product of the original vectors. Rows are dealt into norm bands, whose
+longest norm is at most ``BAND`` times the shortest, and every query looks into all bands of
+its length. Each band has its own tables; vectors shorter than the band's longest are
+extended by one more coordinate before rotation, which makes unit vectors whose angles
+follow inner products. Bands of at most ``block`` vectors have no tables: all queries are
+compared with all of their vectors. Equal vectors are indexed once, with their smallest ids:
 only the ``k + 1`` smallest ids of equal vectors can be among anyone's ``k`` nearest.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do
 null ids; vectors of different length never meet. Rows repeated under an id count once.
-A query with fewer candidates than ``k`` returns what its probes hold; with ``tables``
-and ``probes`` at all axes the search is exact. Extra columns are ignored.
+A query with fewer candidates than ``k`` returns what its probes hold. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from colprov.session import cut
 
 TABLES, PROBES = 20, 6
 BLOCK = 4096
+BAND = 1.1
 SEED = 20240229
 
 
@@ -54,10 +58,11 @@ def axes(v: np.ndarray, longest: float, even: bool, signs: np.ndarray, query: bo
     n, d = v.shape
     width = signs.shape[1]
     x = np.zeros((n, width))
-    norm = np.linalg.norm(v, axis=1)
     if query or even:
-        x[:, :d] = v / norm[:, None]
+        v = v / np.abs(v).max(axis=1)[:, None]  # squares stay finite
+        x[:, :d] = v / np.linalg.norm(v, axis=1)[:, None]
     else:
+        norm = np.linalg.norm(v, axis=1)
         x[:, :d] = v / longest
         x[:, d] = np.sqrt(np.maximum(1 - (norm / longest) ** 2, 0))
     for s in signs:
@@ -83,35 +88,75 @@ def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
     return rows.groupBy("key").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
+class Bands:
+    """Norm bands of one vector length, shortest first, from (count, low, high) of narrow cells of norms."""
+
+    def __init__(self, d: int, cells: list[tuple[int, float, float]], full: float):
+        bands = []
+        for n, low, high in sorted(cells, key=lambda c: -c[1]):
+            if bands and low * BAND >= bands[-1][2]:
+                bands[-1] = (bands[-1][0] + n, low, bands[-1][2])
+            else:
+                bands.append((n, low, high))
+        n, self.low, self.high = (np.array(x, float) for x in zip(*reversed(bands)))
+        self.even = self.low >= 0.999 * self.high
+        self.width = np.array([1 << max(1, (d - 1 if even else d).bit_length()) for even in self.even])
+        # norms that left the range of doubles cannot be scaled
+        self.hashed = (n > full) & (self.low > 0) & (self.high < np.inf)
+
+
 class Plan:
-    """Rotations and scale for each vector length; small and fixed by the parameters and the norms."""
+    """Norm bands and rotations for each vector length; small and fixed by the parameters and the norms.
 
-    def __init__(self, rows: DataFrame, tables: int, seed: int):
-        norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-        stats = rows.groupBy(F.size("v").alias("d")).agg(F.min(norm).alias("low"), F.max(norm).alias("high")).collect()
-        self.of = {}
-        for d, low, high in stats:
-            even = low >= 0.999 * high
-            width = 1 << max(1, (d - 1 if even else d).bit_length())
-            self.of[d] = (high, even, rotations(width, tables, seed))
+    Table t of band b is number ``b * tables + t``; -1 is the list of all vectors in bands
+    of at most ``full``, a single bucket.
+    """
+
+    def __init__(self, rows: DataFrame, tables: int, full: float, seed: int):
+        cell = F.floor(F.log("norm") * 100)
+        stats = rows.groupBy(F.size("v").alias("d"), cell.alias("cell")).agg(F.count("*").alias("n"), F.min("norm").alias("low"), F.max("norm").alias("high")).collect()
+        cells: dict[int, list] = {}
+        for d, _, n, low, high in stats:
+            cells.setdefault(d, []).append((n, low, high))
+        self.tables = tables
+        self.of = {d: Bands(d, c, full) for d, c in cells.items()}
+        widths = {int(w) for b in self.of.values() for w in b.width[b.hashed]}
+        self.signs = {w: rotations(w, tables, seed) for w in widths}
 
     def buckets(self, batch: pa.RecordBatch, probes: int, query: bool):
-        """(row, table, axis) for the nearest ``probes`` axes of every row."""
+        """(row, table, axis) for the nearest ``probes`` axes of every row, in its own band or, for a query, in all."""
         lists = batch.column("v")
-        flat, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+        flat, size, norm = lists.flatten().to_numpy(), lists.value_lengths().to_numpy(), batch.column("norm").to_numpy()
         begin = np.cumsum(size) - size
         rows, tables, found = [], [], []
-        for d in np.unique(size):
-            at = np.flatnonzero(size == d)
-            v = flat[begin[at][:, None] + np.arange(d)]
-            longest, even, signs = self.of[int(d)]
+
+        def look(at: np.ndarray, v: np.ndarray, bands: Bands, like: int, into: list[int]):
+            signs = self.signs[int(bands.width[like])]
             for t in range(len(signs)):
-                x = axes(v, longest, even, signs[t], query)
+                x = axes(v, bands.high[like], bands.even[like], signs[t], query)
                 k = min(probes, x.shape[1])
                 best = np.argpartition(-x, k - 1, axis=1)[:, :k] if k > 1 else np.argmax(x, axis=1)[:, None]
-                rows.append(np.repeat(at, k))
-                tables.append(np.full(len(at) * k, t, np.int32))
-                found.append(best.reshape(-1))
+                for band in into:
+                    rows.append(np.repeat(at, k))
+                    tables.append(np.full(len(at) * k, band * self.tables + t, np.int32))
+                    found.append(best.reshape(-1))
+
+        for d in np.unique(size):
+            at = np.flatnonzero(size == d)
+            v = flat[begin[at][:, None] + np.arange(d)]
+            bands = self.of[int(d)]
+            band = np.searchsorted(bands.low, norm[at], side="right") - 1
+            listed = np.full(len(at), not bands.hashed.all()) if query else ~bands.hashed[band]
+            rows.append(at[listed])
+            tables.append(np.full(int(listed.sum()), -1, np.int32))
+            found.append(np.zeros(int(listed.sum()), np.int64))
+            if query:
+                for width in np.unique(bands.width[bands.hashed]):
+                    into = np.flatnonzero(bands.hashed & (bands.width == width)).tolist()
+                    look(at, v, bands, into[0], into)
+            else:
+                for b in np.unique(band[~listed]).tolist():
+                    look(at[band == b], v[band == b], bands, b, [b])
         none = np.zeros(0, np.int64)
         return tuple(np.concatenate(x) if x else none for x in (rows, tables, found))
 
@@ -141,14 +186,17 @@ def bucketed(rows: DataFrame, plan: Plan, probes: int, query: bool, split: dict
                 take = np.repeat(np.arange(len(row)), times)
                 copy = (np.arange(len(take)) - np.repeat(np.cumsum(times) - times, times)).astype(np.int32)
                 block = (own[take], copy) if not query else (copy, own[take])
-                row, d, t, b = row[take], d[take], t[take], b[take]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.astype(np.int32)) for x in (d, t, b, *block)] + [batch.column("key").take(pa.array(row)), batch.column("low").take(pa.array(row)), batch.column("v").take(pa.array(row))],
-                    names=["d", "t", "bucket", "row_block", "query_block", "key", "low", "v"],
-                )
+                for start in range(0, len(take), 16384):
+                    part = slice(start, start + 16384)
+                    at = take[part]
+                    source = pa.array(row[at])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x.astype(np.int32)) for x in (d[at], t[at], b[at], block[0][part], block[1][part])] + [batch.column(c).take(source) for c in ("key", "low", "v")],
+                        names=["d", "t", "bucket", "row_block", "query_block", "key", "low", "v"],
+                    )
 
     schema = "d int, t int, bucket int" + (", row_block int, query_block int, key long, low long, v array<double>" if split is not None else "")
-    columns = ["v"] if split is None else ["key", "low", "v"]
+    columns = ["v", "norm"] if split is None else ["key", "low", "v", "norm"]
     return prepare(rows.select(*columns)).mapInArrow(work, schema)
 
 
@@ -158,13 +206,8 @@ def matrix(column) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
-def nearest(embeddings: DataFrame, queries: Column, k: int = 20, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """Rows (query_id, rank, vec_id, score): the ``k`` nearest found of every row for which ``queries`` holds."""
-    rows = cut(usable(embeddings).select("vec_id", "v", F.xxhash64("v").alias("key")).dropDuplicates(["vec_id", "key"]))
-    vectors = cut(distinct_vectors(rows, k + 1).withColumn("low", F.element_at("ids", 1)))
-    asked = cut(rows.where(queries).select(F.col("vec_id").alias("query_id"), "key"))
-    searched = vectors.join(asked.select("key").distinct(), "key", "left_semi")
-    plan = Plan(vectors, tables, seed)
+def candidates(vectors: DataFrame, searched: DataFrame, plan: Plan, k: int, probes: int, block: int) -> DataFrame:
+    """Rows (query, score, vec_id): the ``k + 1`` nearest found of every searched vector, itself among them."""
     counts = (
         bucketed(vectors, plan, 1, False, None).groupBy("d", "t", "bucket").agg(F.count("*").alias("rows"))
         .join(bucketed(searched, plan, probes, True, None).groupBy("d", "t", "bucket").agg(F.count("*").alias("queries")), ["d", "t", "bucket"])
@@ -203,7 +246,17 @@ def nearest(embeddings: DataFrame, queries: Column, k: int = 20, tables: int = T
     found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
     lists = found.join(vectors.select("key", "ids"), "key").select("query", "score", F.explode("ids").alias("vec_id"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    lists = lists.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
+    return lists.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
+
+
+def nearest(embeddings: DataFrame, queries: Column, k: int = 20, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """Rows (query_id, rank, vec_id, score): the ``k`` nearest found of every row for which ``queries`` holds."""
+    rows = cut(usable(embeddings).select("vec_id", "v", F.xxhash64("v").alias("key")).dropDuplicates(["vec_id", "key"]))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    vectors = cut(distinct_vectors(rows, k + 1).withColumns({"low": F.element_at("ids", 1), "norm": norm}))
+    asked = cut(rows.where(queries).select(F.col("vec_id").alias("query_id"), "key"))
+    searched = vectors.join(asked.select("key").distinct(), "key", "left_semi")
+    lists = candidates(vectors, searched, Plan(vectors, tables, block, seed), k, probes, block)
     own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         asked.join(lists, F.col("key") == F.col("query"))

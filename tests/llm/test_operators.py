@@ -208,6 +208,29 @@ def test_ann(spark):
     assert found >= 0.9 * 5 * 30 and {r.query_id for r in got} == set(range(0, 600, 20))
 
 
+def ann_recall(spark, v, k=5, **options):
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), ann.F.col("vec_id") % 20 == 0, k, **options).collect()
+    found, queries = 0, range(0, len(v), 20)
+    for q in queries:
+        s = v @ v[q]
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(len(v)), -s))[: min(k, len(v) - 1)]
+        found += len({r.vec_id for r in got if r.query_id == q} & set(want.tolist()))
+    return found / (min(k, len(v) - 1) * len(queries))
+
+
+def test_ann_norms(spark):
+    """Recall does not depend on the norms: one long vector, skewed norms."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(40, 24))[rng.integers(0, 40, 1200)] + 0.5 * rng.normal(size=(1200, 24))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    outlier = v.copy()
+    outlier[7] *= 100
+    assert ann_recall(spark, outlier, block=64) >= 0.9
+    assert ann_recall(spark, v * np.exp(rng.normal(size=1200))[:, None], block=64) >= 0.9
+
+
 def test_warc(spark):
     rows = [(1, "a", "x" * 200_000), (2, None, "x" * 200_000), (3, "c\nd", None), (4, "c", ""), (5, "q", "é"), (6, "q", "z" * 65536)]
     got = {r.page_id: r for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
