@@ -18,8 +18,8 @@ only the ``k + 1`` smallest ids of equal vectors can be among anyone's ``k`` nea
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do
 null ids; vectors of different length never meet. Rows repeated under an id count once.
-A query with fewer candidates than ``k`` returns what its probes hold. Extra columns are
-ignored.
+A query whose probes hold fewer than ``k`` is compared with all vectors of its length, so
+it misses none where there are fewer. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -255,8 +255,18 @@ def nearest(embeddings: DataFrame, queries: Column, k: int = 20, tables: int = T
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     vectors = cut(distinct_vectors(rows, k + 1).withColumns({"low": F.element_at("ids", 1), "norm": norm}))
     asked = cut(rows.where(queries).select(F.col("vec_id").alias("query_id"), "key"))
-    searched = vectors.join(asked.select("key").distinct(), "key", "left_semi")
-    lists = candidates(vectors, searched, Plan(vectors, tables, block, seed), k, probes, block)
+    searched = cut(vectors.join(asked.select("key").distinct(), "key", "left_semi"))
+    lists = cut(candidates(vectors, searched, Plan(vectors, tables, block, seed), k, probes, block))
+    size = F.size("v").alias("d")
+    totals = rows.groupBy(size).agg(F.count("*").alias("total"))
+    held = lists.groupBy(F.col("query").alias("key")).agg(F.count("*").alias("held"))
+    short = searched.withColumn("d", size).join(held, "key", "left").join(F.broadcast(totals), "d")
+    short = cut(short.where(F.coalesce("held", F.lit(0)) < F.least(F.lit(k + 1), "total")).select(*searched.columns))
+    if not short.isEmpty():
+        lengths = short.select(size).distinct()
+        every = vectors.withColumn("d", size).join(F.broadcast(lengths), "d", "left_semi").select(*vectors.columns)
+        exact = candidates(every, short, Plan(every, tables, np.inf, seed), k, probes, block)
+        lists = lists.join(short.select(F.col("key").alias("query")), "query", "left_anti").unionByName(exact)
     own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         asked.join(lists, F.col("key") == F.col("query"))

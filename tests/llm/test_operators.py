@@ -231,6 +231,19 @@ def test_ann_norms(spark):
     assert ann_recall(spark, v * np.exp(rng.normal(size=1200))[:, None], block=64) >= 0.9
 
 
+def test_ann_small_tables(spark):
+    """All candidates where there are fewer than k, hashed or not, and k otherwise."""
+    rng = np.random.default_rng(4)
+    for n in (2, 15, 30):
+        v = rng.normal(size=(n, 16))
+        v /= np.linalg.norm(v, axis=1)[:, None]
+        assert ann_recall(spark, v, 20) == 1
+        # a single table and probe: nearly every query has to be compared with all
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+        got = ann.nearest(df, ann.F.lit(True), 20, tables=1, probes=1, block=1).groupBy("query_id").count().collect()
+        assert {r.query_id: r["count"] for r in got} == dict.fromkeys(range(n), min(20, n - 1))
+
+
 def test_warc(spark):
     rows = [(1, "a", "x" * 200_000), (2, None, "x" * 200_000), (3, "c\nd", None), (4, "c", ""), (5, "q", "é"), (6, "q", "z" * 65536)]
     got = {r.page_id: r for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
