@@ -10,6 +10,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from colprov.operators.score import count_if
 
@@ -173,9 +174,51 @@ def mine_rules(df: DataFrame, cols: list[str], target: str, flags: list[str] | N
     return out
 
 
-def mine_or(df: DataFrame, flags: list[str], target: str) -> DataFrame:
-    """The OR of all flags that imply the target, if it equals the target everywhere."""
-    one = F.col(target) == 1
+def functional_maps(df: DataFrame, cols: list[str], targets: list[str], unique: float = 0.5) -> DataFrame:
+    """(rule, columns, target, n, levels) for every column whose each value has a single target level.
+
+    relabel where the levels also map back, map where several share one, and near-unique
+    map where more than ``unique`` of the rows have a value of their own. Rows with a null
+    on either side are left out, n counts the others; both sides need two levels. Each
+    (column, value) is grouped once for all targets.
+    """
+    each = F.array(*[F.struct(F.lit(c).alias("columns"), F.col(c).cast("string").alias("u")) for c in cols])
+    to = F.struct(*[F.col(t).cast("string").alias(f"y{i}") for i, t in enumerate(targets)]).alias("to")
+    seen = df.select(F.explode(each).alias("e"), to).select("e.*", "to.*").where("u IS NOT NULL")
+    aggs = [f(f"y{i}").alias(f"{k}{i}") for i in range(len(targets)) for f, k in ((F.min, "lo"), (F.max, "hi"), (F.count, "n"))]
+    per = seen.groupBy("columns", "u").agg(*aggs)
+    one = F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"), F.col(f"n{i}").alias("n")) for i, t in enumerate(targets)])
+    maps = per.select("columns", F.explode(one).alias("e")).select("columns", "e.*").where("n > 0 AND columns <> target")
+    # one row for each target level, so that the number of levels needs no distinct count
+    maps = maps.groupBy("columns", "target", "lo").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("levels"), F.bool_and(F.col("lo") == F.col("hi")).alias("single"))
+    maps = maps.groupBy("columns", "target").agg(F.sum("n").alias("n"), F.sum("levels").alias("levels"), F.count(F.lit(1)).alias("levels_y"), F.bool_and("single").alias("single"))
+    rule = F.when(F.col("levels") == F.col("levels_y"), "relabel").when(F.col("levels") > unique * F.col("n"), "near-unique map").otherwise("map")
+    return maps.where("single AND levels_y > 1").select(rule.alias("rule"), "columns", "target", "n", "levels")
+
+
+def sweep_rules(df: DataFrame, cols: list[str], targets: list[str], flags: list[str] | None = None) -> DataFrame:
+    """(rule, columns, target, k) of every known shape over all (column, target) pairs.
+
+    Maps and relabels are looked for under every target; the shapes of ``mine_rules`` and
+    the negated OR (no flag is set exactly where y = 1) need a 0/1 target and numeric columns.
+    """
+    binary = df.agg(*[F.min(F.col(t).isNull() | F.coalesce(F.col(t).try_cast("double").isin(0.0, 1.0), F.lit(False))).alias(t) for t in targets]).first()
+    binary = [t for t in targets if binary[t] and dict(df.dtypes)[t] not in ("string", "boolean")]
+    kinds = {f.name: f.dataType for f in df.schema}
+    numeric = [c for c in cols if isinstance(kinds[c], NumericType)]
+    k = F.lit(None).cast("double").alias("k")
+    out = functional_maps(df, cols, targets).select("rule", "columns", "target", k)
+    for t in binary:
+        use, on = [c for c in numeric if c != t], [f for f in flags or [] if f != t]
+        out = out.unionByName(mine_rules(df, use, t, on).where("rule <> 'relabel'"))
+        if on:
+            out = out.unionByName(mine_or(df, on, t, True))
+    return out.where("columns <> ''")
+
+
+def mine_or(df: DataFrame, flags: list[str], target: str, negated: bool = False) -> DataFrame:
+    """The OR of all flags that imply the target, if it equals the target everywhere; ``negated`` takes target = 0 instead."""
+    one = F.col(target) == (0 if negated else 1)
     ok = [count_if(F.coalesce((F.col(f) == 1) & ~one, F.lit(False))) for f in flags]
     row = df.agg(*[k.alias(f"b{i}") for i, k in enumerate(ok)]).select(
         F.array(*[F.col(f"b{i}") == 0 for i in range(len(flags))]).alias("use")
@@ -189,7 +232,7 @@ def mine_or(df: DataFrame, flags: list[str], target: str) -> DataFrame:
         F.filter(F.array(*[F.when(F.col("_use")[i], F.lit(f)) for i, f in enumerate(flags)]), lambda x: x.isNotNull()), "|"
     )
     return agreed.where("n = k AND n > 0").select(
-        F.lit("or").alias("rule"), names.alias("columns"), F.lit(target).alias("target"), F.lit(None).cast("double").alias("k")
+        F.lit("not or" if negated else "or").alias("rule"), names.alias("columns"), F.lit(target).alias("target"), F.lit(None).cast("double").alias("k")
     )
 
 

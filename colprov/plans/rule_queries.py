@@ -160,6 +160,18 @@ def d9(t: Tables):
     return R.mine_rules(flagged(t), MINE_COLS, "kept", flags=["a_flag", "n_flag", "r"])
 
 
+@query(
+    "d9_functional_maps",
+    f"""WITH {FLAGS_SQL}, p AS ({" UNION ALL ".join(f"SELECT '{c}' AS columns, '{t}' AS target, {c}::VARCHAR AS u, {t}::VARCHAR AS v FROM fl WHERE {c} IS NOT NULL AND {t} IS NOT NULL" for c in MINE_COLS for t in ("kept", "y") if c != t)}),
+  l AS (SELECT columns, target, u, count(*) AS n, count(DISTINCT v) AS k FROM p GROUP BY ALL),
+  m AS (SELECT columns, target, sum(n)::BIGINT AS n, count(*) AS levels, max(k) AS k FROM l GROUP BY ALL), v AS (SELECT columns, target, count(DISTINCT v) AS levels_y FROM p GROUP BY ALL)
+  SELECT CASE WHEN levels = levels_y THEN 'relabel' WHEN levels > 0.5 * n THEN 'near-unique map' ELSE 'map' END AS rule, columns, target, n, levels
+  FROM m JOIN v USING (columns, target) WHERE k = 1 AND levels_y > 1""",
+)
+def d9c(t: Tables):
+    return R.functional_maps(flagged(t), MINE_COLS, ["kept", "y"])
+
+
 @query(
     "d9_length_rule_of_documents",
     "SELECT 'identity' AS rule, count(*) AS n, count(*) FILTER (WHERE n_chars = length(text)) AS n_held, "

@@ -93,6 +93,14 @@ def test_screen_of_a_constant_and_of_missingness(spark):
     assert two["m"] == (1.0, "missingness") and two["k"] == (0.5, "values")
 
 
+def test_rules_of_many_targets(spark):
+    rows = [(11, "p", 1, "a", 0, 0, i) for i in range(4)] + [(12, "q", 1, "b", 0, 0, i) for i in range(4, 8)] + [(13, "q", 0, "c", 1, 0, i) for i in range(8, 12)] + [(14, None, 0, "c", 0, 1, 12), (None, "p", 0, "c", 0, 1, 13)]
+    df = spark.createDataFrame(rows, "code int, mixed string, y int, z string, f int, g int, id int")
+    got = {(r["rule"], r["columns"], r["target"]) for r in R.sweep_rules(df, ["code", "mixed", "id"], ["y", "z"], ["f", "g"]).collect()}
+    assert {("map", "code", "y"), ("map", "code", "z"), ("near-unique map", "id", "y"), ("near-unique map", "id", "z"), ("not or", "f|g", "y")} <= got
+    assert not any(c == "mixed" for _, c, _ in got)
+
+
 def test_rules(spark):
     df = spark.createDataFrame([(1, 0, 1, 5.0), (0, 1, 1, 7.0), (0, 0, 0, 1.0)], "a int, b int, y int, x double")
     got = {(r["rule"], r["columns"]) for r in R.mine_rules(df, ["a", "b", "x"], "y", ["a", "b"]).collect()}
