@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colprov.llm import ann, bpe, decontaminate, fm_dedup, jaccard_join, sharding, suffix_dedup, toxicity, training_order, warc
+from colprov.llm import ann, bpe, decontaminate, fm_dedup, jaccard_join, periodic_runs, sharding, suffix_dedup, toxicity, training_order, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,10 @@ def op1(spark, folder):
     """Every token sequence at its slot of a keyed order, in shards of fixed stride."""
     docs = table(spark, folder, "documents")
     return training_order.write(docs, *bpe.public_vocabulary()).select("doc_id", "part", "n_tokens", "slot", "shard", "position")
+
+
+@query("op13_periodic_runs")
+def op13(spark, folder):
+    """Runs of repeated words in every text, and the texts without the repetitions."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return periodic_runs.digests(periodic_runs.collapse(periodic_runs.rewound(docs)))
