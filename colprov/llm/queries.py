@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colprov.llm import ann, bpe, decontaminate, fm_dedup, jaccard_join, periodic_runs, sharding, suffix_dedup, toxicity, training_order, warc
+from colprov.llm import ann, bpe, decontaminate, fm_dedup, jaccard_join, periodic_runs, prefix_trie, sharding, suffix_dedup, toxicity, training_order, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,28 @@ def op13(spark, folder):
     """Runs of repeated words in every text, and the texts without the repetitions."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return periodic_runs.digests(periodic_runs.collapse(periodic_runs.rewound(docs)))
+
+
+#: The trie over prefixes as strings of turn hashes. ``step`` is the table of the checksum, ``h`` the turns taken from the base.
+TRIE_SQL = r"""WITH step AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce([b] || [0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS c
+   FROM (SELECT unnest(range(256)) AS b))),
+ ids AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce([4294967295] || [ascii(x) FOR x IN string_split(conv_id::VARCHAR, '')], lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1])), 4294967295) % 4 AS h
+   FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), step),
+ raw AS (SELECT conv_id, turn, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+ own AS (SELECT conv_id, k, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k, words) AS p FROM raw),
+ turns AS (SELECT i.conv_id, p, k, words FROM ids i JOIN own o ON o.conv_id = i.conv_id WHERE p > h UNION ALL SELECT i.conv_id, p, k, words FROM ids i JOIN own o ON o.conv_id = i.base WHERE p <= h),
+ chain AS (SELECT conv_id, row_number() OVER w AS depth, string_agg(k, '') OVER w AS seq, words FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY p ROWS UNBOUNDED PRECEDING)),
+ member AS (SELECT conv_id, depth, seq, words FROM chain UNION ALL SELECT conv_id, 0, '', 0 FROM ids),
+ ends AS (SELECT conv_id, arg_max(seq, depth) AS seq FROM member GROUP BY conv_id), enders AS (SELECT seq, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS e FROM ends GROUP BY seq),
+ node AS (SELECT seq, min(conv_id) AS conv_id, max(depth) AS depth, count(*) AS n_convs, max(words) AS words, CASE WHEN max(depth) > 0 THEN left(seq, len(seq) - 32) END AS over FROM member GROUP BY seq),
+ kids AS (SELECT over AS seq, count(*) AS n_children FROM node WHERE over IS NOT NULL GROUP BY over),
+ full_node AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM node n LEFT JOIN kids USING (seq)),
+ sums AS (SELECT left(seq, 32 * d) AS seq, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS d FROM full_node) GROUP BY 1)
+ SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(e, '')) AS ends_sha256
+ FROM full_node n JOIN sums s USING (seq) LEFT JOIN enders USING (seq) LEFT JOIN node u ON u.seq = n.over"""
+
+
+@query("op12_prefix_trie", TRIE_SQL)
+def op12(spark, folder):
+    """Every common beginning of the rebuilt conversations, with what sharing it would save."""
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.sequences(table(spark, folder, "conversations"))))
