@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colprov.session import cut
+from colprov.session import scratch
 
 SLICE = 1 << 20
 ROWS = 2000
@@ -207,14 +207,37 @@ def in_bitmap(words: np.ndarray, value: np.ndarray) -> np.ndarray:
     return (words[slot >> 5] >> (slot & 31).astype(np.uint32)) & np.uint32(1) > 0
 
 
+def stored(df: DataFrame, name: str = "part") -> DataFrame:
+    """``df`` as a table in the shared folder, for what a loop carries on.
+
+    A checkpoint keeps the estimated size of the plan it cuts, which a join in every round
+    raises to a power; a table has its real size.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop(df: DataFrame | None) -> None:
+    """Remove a stored table that no later step reads."""
+    path = getattr(df, "stored_at", None)
+    if path:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (node, component), the smallest node.
 
     Large-star and small-star rounds; each node's smallest neighbour is a partial
     aggregate, and a hub's edges are split by the join, so no task holds a
-    component. Each round is cut, and ends when the edges no longer change.
+    component. Each round is stored, and ends when the edges no longer change.
     """
-    edges = cut(
+    edges = stored(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
     seen = None
@@ -230,7 +253,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        edges = cut(small)
+        before, edges = edges, stored(small)
+        drop(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colprov.llm import ann, bpe, decontaminate, fm_dedup, jaccard_join, periodic_runs, prefix_trie, sharding, suffix_dedup, toxicity, training_order, warc
+from colprov.llm import ann, bpe, chosen_path, decontaminate, fm_dedup, jaccard_join, periodic_runs, prefix_trie, sharding, suffix_dedup, toxicity, training_order, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,7 +39,18 @@ def op9(spark, folder):
     return fm_dedup.kept_digests(table(spark, folder, "documents"))
 
 
-@query("op3_jaccard_join")
+def groups_sql(share: int, kept: str = "") -> str:
+    """Components of documents whose sets of four-word shingles share so many hundredths of their union."""
+    return rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ g AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, least(len(w) + 1, 2)))) AS i FROM w)),
+ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+ link AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {share} * (x.n + y.n - c)),
+ reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+ low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low.b, d.doc_id)) AS component_id{kept} FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.a = d.doc_id"""
+
+
+@query("op3_jaccard_join", groups_sql(85))
 def op3(spark, folder):
     """Documents linked by 4-word shingles at a Jaccard similarity of 0.85, as components."""
     return jaccard_join.join(table(spark, folder, "documents"), 4, 85, 100)
@@ -121,3 +132,9 @@ TRIE_SQL = r"""WITH step AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list
 def op12(spark, folder):
     """Every common beginning of the rebuilt conversations, with what sharing it would save."""
     return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.sequences(table(spark, folder, "conversations"))))
+
+
+@query("op11_chosen_path", groups_sql(80, ", d.doc_id <= coalesce(low.b, d.doc_id) AS kept"))
+def op11(spark, folder):
+    """Near copies by 4-word shingles at a Jaccard similarity of 0.8, as groups that keep one document."""
+    return chosen_path.groups(table(spark, folder, "documents"), 4, 80, 100)
