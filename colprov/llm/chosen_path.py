@@ -8,19 +8,20 @@ functions; each member goes to one child per chosen function, named by the node,
 function and the member's token. Two sets of similarity 0.8 so share about one child per
 node at any depth. Trees are independent; a pair is found if any tree brings it to the end.
 
-* Large nodes. Every member meets one hub of its node, and the components of the links so
-  found are kept. A node whose members outside its main component are ``SMALL`` or fewer is
+* Large nodes. Every member meets ``HUBS`` hubs of its node, and the components of the links
+  so found are kept. A node whose members outside its main component are ``SMALL`` or fewer is
   small; others branch on (by two tokens a round), until their tokens are used up.
 * Small nodes are compared exhaustively: every member outside the main component with every
   member of another component. A node that has no tokens left is compared in the same way,
   whatever its size, so none is given up.
-* A candidate pair must pass the bound of sizes and of parity bitmaps (both exact) and share
-  so many tokens that a pair at the threshold fails with a probability of ``MISS``. What is
-  left is confirmed on the full sets, counted exactly.
-
-At the first level each pair has 10 to 20 tokens to meet by, of which it shares 8 of 10 at
-similarity 0.8: if its nodes are small it is missed once in 10^7. For pairs below a large
-node each tree keeps it with a probability of about one half, ten trees with 0.999. Links
+* A candidate pair must pass the bounds of sizes and of parity bitmaps (both exact; the short
+  bitmap is the wide one folded) and share so many tokens, seen by 8 bits each, that a pair at
+  the threshold fails with a probability of ``MISS``. What is left is confirmed on the full
+  sets, counted exactly.
+
+At the first level a pair has 8 to 16 tokens to meet by, of which it shares 8 of 10 at
+similarity 0.8: if its nodes are small it is missed three times in 10^6. Below a large node a
+tree keeps it with a probability of about one half, all trees with more than 0.99. Links
 that are reported are always true. A component also needs only some of its links.
 
 Every row keeps its row. Null or empty texts, and texts without words, have empty sets and
@@ -31,6 +32,7 @@ Extra columns are ignored, an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -40,14 +42,14 @@ from pyspark.sql import functions as F
 
 from colprov.llm.common import U, bitmap, components, drop, in_bitmap, let_go, mix, prepare, slices, stored, text_bytes
 from colprov.llm.jaccard_join import shingle_sets, signature, sketch
-from colprov.session import cut
 
-TREES, OWN = 10, 4
-SMALL = 16
-LONGS = 16
+TREES, OWN = 8, 5
+SMALL, HUBS = 256, 3
+LONGS, SHORT = 32, 8
 MISS = 1e-6
 PARTNERS = 256
 TOKENS = TREES * OWN
+SEEN, WIDE = [f"t{i}" for i in range(TOKENS // 8)], [f"k{i}" for i in range(LONGS)]
 A = mix(np.arange(1, TOKENS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 B = mix(np.arange(1, TOKENS + 1, dtype=U) * U(0xD1B54A32D192ED03))
 
@@ -65,7 +67,8 @@ def minwise(value: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, n: int) -> DataFrame:
-    """Per row: doc_id, s (the set's name, null if empty), its size, tokens m and parity bitmap k0 ..."""
+    """Per row: doc_id, s (the set's name, null if empty), its size, tokens m, 8 bits of each in t0 ...,
+    and the parity bitmap k0 ..."""
 
     def work(batches):
         let_go()
@@ -77,10 +80,12 @@ def described(docs: DataFrame, n: int) -> DataFrame:
                 tokens = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * TOKENS), pa.array(m.reshape(-1)))
                 bits = sketch(value, begin, LONGS)
                 columns = [part.column("doc_id"), pa.array(signature(value, begin).view(np.int64), mask=size == 0), pa.array(size), tokens]
+                low = m.astype(np.uint8).view("<i8")
+                columns += [pa.array(np.ascontiguousarray(low[:, i])) for i in range(len(SEEN))]
                 columns += [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(LONGS)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "s", "n_shingles", "m", *[f"k{i}" for i in range(LONGS)]])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "s", "n_shingles", "m", *SEEN, *WIDE])
 
-    bits = ", ".join(f"k{i} long" for i in range(LONGS))
+    bits = ", ".join(f"{k} long" for k in SEEN + WIDE)
     return prepare(docs).mapInArrow(work, f"doc_id long, s long, n_shingles long, m array<int>, {bits}")
 
 
@@ -94,13 +99,28 @@ def fewest_shared(num: int, den: int) -> int:
     return TOKENS
 
 
-def may_link(num: int, den: int) -> Column:
-    """Bounds on a pair (x, y) by sizes, bitmaps and tokens."""
+def short(classes: DataFrame) -> DataFrame:
+    """What the first bounds need: s, size, the tokens' 8 bits and the bitmap folded to ``SHORT`` longs."""
+    fold = lambda i: reduce(lambda p, q: p.bitwiseXOR(q), [F.col(k) for k in WIDE[i::SHORT]])
+    return classes.select("s", "size", *SEEN, *[fold(i).alias(f"k{i}") for i in range(SHORT)])
+
+
+def near(bitmap_longs: int, num: int, den: int) -> Column:
+    """Bounds on a pair (x, y) by sizes and bitmaps."""
     na, nb = F.col("x.size"), F.col("y.size")
-    differ = sum((F.bit_count(F.col(f"x.k{i}").bitwiseXOR(F.col(f"y.k{i}"))) for i in range(LONGS)), F.lit(0))
-    shared = F.size(F.filter(F.zip_with("x.m", "y.m", lambda p, q: p == q), lambda same: same))
-    sizes = (na * den >= nb * num) & (nb * den >= na * num)
-    return sizes & (differ * (num + den) <= (na + nb) * (den - num)) & (shared >= fewest_shared(num, den))
+    differ = sum((F.bit_count(F.col(f"x.k{i}").bitwiseXOR(F.col(f"y.k{i}"))) for i in range(bitmap_longs)), F.lit(0))
+    return (na * den >= nb * num) & (nb * den >= na * num) & (differ * (num + den) <= (na + nb) * (den - num))
+
+
+def may_link(num: int, den: int) -> Column:
+    """Bounds on a pair (x, y) by sizes, the short bitmaps and tokens."""
+    unlike = F.lit(0)
+    for t in SEEN:
+        v = F.col(f"x.{t}").bitwiseXOR(F.col(f"y.{t}"))
+        for k in (4, 2, 1):
+            v = v.bitwiseOR(F.shiftrightunsigned(v, k))
+        unlike = unlike + F.bit_count(v.bitwiseAND(F.lit(0x0101010101010101)))
+    return near(SHORT, num, den) & (F.lit(TOKENS) - unlike >= fewest_shared(num, den))
 
 
 def children(node: Column, tree: Column, level: int, m: Column) -> Column:
@@ -117,7 +137,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, num
     ``PARTNERS`` of its pairs, so a hub's pairs are dealt over many tasks.
     """
     roles = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
-    wanted = cut(classes.join(roles, "s").select("s", "doc_id"))
+    wanted = stored(classes.join(roles, "s").select("s", "doc_id"))
     names = docs.sparkSession.sparkContext.broadcast((bitmap(wanted, "s"), bitmap(wanted.where("doc_id is not null"), "doc_id")))
 
     def work(batches):
@@ -150,14 +170,10 @@ def confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, num
 def groups(docs: DataFrame, n: int = 4, num: int = 80, den: int = 100) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one per row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = cut(described(docs, n))
-    bits = [f"k{i}" for i in range(LONGS)]
-    classes = cut(
-        rows.where("s is not null")
-        .groupBy("s")
-        .agg(F.min("n_shingles").alias("size"), F.first("m").alias("m"), *[F.min(k).alias(k) for k in bits], F.min("doc_id").alias("doc_id"))
-    )
-    facts = classes.drop("doc_id")
+    rows = stored(described(docs, n))
+    one_each = [F.min("n_shingles").alias("size"), F.first("m").alias("m"), *[F.min(k).alias(k) for k in SEEN + WIDE], F.min("doc_id").alias("doc_id")]
+    classes = stored(rows.where("s is not null").groupBy("s").agg(*one_each))
+    facts, wide = short(classes), classes.select("s", "size", *WIDE)
     label: DataFrame | None = None
 
     def labelled(df: DataFrame) -> DataFrame:
@@ -168,7 +184,8 @@ def groups(docs: DataFrame, n: int = 4, num: int = 80, den: int = 100) -> DataFr
     def link(pairs: DataFrame) -> None:
         """Confirm the pairs and join the components of those that link."""
         nonlocal label
-        pairs = stored(pairs)
+        x = pairs.join(wide.withColumnRenamed("s", "a"), "a").alias("x")
+        pairs = stored(x.join(wide.alias("y"), F.col("x.b") == F.col("y.s")).where(near(LONGS, num, den)).select("x.a", "x.b"))
         if pairs.isEmpty():
             return
         found = stored(confirmed(docs, pairs, classes, n, num, den))
@@ -188,27 +205,30 @@ def groups(docs: DataFrame, n: int = 4, num: int = 80, den: int = 100) -> DataFr
 
     def state(members: DataFrame) -> DataFrame:
         """Per open node: its main component and the number of members outside it."""
-        parts = labelled(members).groupBy("node", "component").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("s").alias("by"), "s")).alias("hub"))
+        hub = lambda i: F.min(F.struct(F.xxhash64("s", F.lit(i)).alias("by"), "s")).alias(f"hub{i}")
+        parts = labelled(members).groupBy("node", "component").agg(F.count("*").alias("n"), *[hub(i) for i in range(HUBS)])
         whole = parts.groupBy("node").agg(
             F.max_by("component", F.struct("n", "component")).alias("main"),
             (F.sum("n") - F.max("n")).alias("outside"),
-            F.min(F.struct("hub.by", "hub.s", "component")).alias("hub"),
+            F.array(*[F.min(F.struct(f"hub{i}.by", f"hub{i}.s", "component")) for i in range(HUBS)]).alias("hubs"),
         )
         return whole.where("outside > 0")
 
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     members = classes.select("s", "m", trees).select("s", "tree", F.explode(children(F.xxhash64("tree"), F.col("tree"), 0, F.col("m"))).alias("node"))
+    shared = members.groupBy("node").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low <> high")
+    members = stored(members.join(shared, "node", "left_semi"))
     level, rest = 1, None
     while True:
-        open_nodes = state(members)
-        before, members = members, stored(members.join(open_nodes.select("node", "outside", "hub"), "node"))
+        before, members = members, stored(members.join(state(members).select("node", "outside", "hubs"), "node"))
         drop(before)
         large = members.where(F.col("outside") > SMALL)
         small = members.where(F.col("outside") <= SMALL).select("node", "s")
         rest = small if rest is None else rest.unionByName(small)
         if large.isEmpty():
             break
-        meets = labelled(large).where("component <> hub.component").select(F.col("s").alias("a"), F.col("hub.s").alias("b")).distinct()
+        meets = labelled(large).select("s", "component", F.explode("hubs").alias("hub")).where("component <> hub.component")
+        meets = meets.select(F.col("s").alias("a"), F.col("hub.s").alias("b")).distinct()
         x = meets.join(facts.withColumnRenamed("s", "a"), "a").alias("x")
         met = x.join(facts.alias("y"), F.col("x.b") == F.col("y.s")).where(may_link(num, den)).select("x.a", "x.b")
         link(met)
@@ -219,21 +239,21 @@ def groups(docs: DataFrame, n: int = 4, num: int = 80, den: int = 100) -> DataFr
             rest = rest.unionByName(large.select("node", "s"))
             break
         rest = rest.unionByName(small)
-        down = large.where(F.col("outside") > SMALL).join(facts.select("s", "m"), "s")
+        down = large.where(F.col("outside") > SMALL).join(classes.select("s", "m"), "s")
         down = down.select("s", "m", "tree", F.explode(children(F.col("node"), F.col("tree"), level, F.col("m"))).alias("node"))
         members = stored(down.select("s", "tree", F.explode(children(F.col("node"), F.col("tree"), level + 1, F.col("m"))).alias("node")))
         level += 2
 
     rest = stored(labelled(rest))
     known = state(rest.select("node", "s")).select("node", "main")
-    full = rest.join(known, "node").join(facts, "s")
+    full = stored(rest.join(known, "node")).join(facts, "s")
     x, y = full.where("component <> main").alias("x"), full.alias("y")
     once = (F.col("y.component") == F.col("y.main")) | (F.col("x.s") < F.col("y.s"))
     apart = F.col("x.component") != F.col("y.component")
     pairs = x.join(y, (F.col("x.node") == F.col("y.node")) & apart & once & may_link(num, den))
     link(pairs.select(F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b")).distinct())
 
-    node = cut(labelled(classes.select("s", F.col("doc_id").alias("low"))))
+    node = stored(labelled(classes.select("s", F.col("doc_id").alias("low"))))
     lowest = node.groupBy("component").agg(F.min("low").alias("component_id"))
     named = node.join(lowest, "component").select("s", "component_id")
     out = rows.select("doc_id", "s", "n_shingles").join(named, "s", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))

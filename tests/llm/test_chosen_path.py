@@ -86,8 +86,9 @@ def test_documents_and_planted_near_copies(spark):
 
 
 @pytest.mark.parametrize("k", [2, 5])
-def test_large_groups_branch_and_are_met_by_hubs(spark, k):
+def test_large_groups_branch_and_are_met_by_hubs(spark, k, monkeypatch):
     """300 near copies of one text, 300 documents with one passage, all more than a small node holds."""
+    monkeypatch.setattr(cp, "SMALL", 16)
     rng = np.random.default_rng(k)
     words, passage = [f"a{i}" for i in range(120)], [f"p{i}" for i in range(60)]
     rows = [(i, changed(rng, words, k)) for i in range(300)]
