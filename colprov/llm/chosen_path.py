@@ -44,7 +44,7 @@ from colprov.llm.common import U, bitmap, components, drop, in_bitmap, let_go, m
 from colprov.llm.jaccard_join import shingle_sets, signature, sketch
 
 TREES, OWN = 8, 5
-SMALL, HUBS = 256, 3
+SMALL, HUBS = 256, 8
 LONGS, SHORT = 32, 8
 MISS = 1e-6
 PARTNERS = 256
@@ -205,30 +205,29 @@ def groups(docs: DataFrame, n: int = 4, num: int = 80, den: int = 100) -> DataFr
 
     def state(members: DataFrame) -> DataFrame:
         """Per open node: its main component and the number of members outside it."""
-        hub = lambda i: F.min(F.struct(F.xxhash64("s", F.lit(i)).alias("by"), "s")).alias(f"hub{i}")
-        parts = labelled(members).groupBy("node", "component").agg(F.count("*").alias("n"), *[hub(i) for i in range(HUBS)])
-        whole = parts.groupBy("node").agg(
-            F.max_by("component", F.struct("n", "component")).alias("main"),
-            (F.sum("n") - F.max("n")).alias("outside"),
-            F.array(*[F.min(F.struct(f"hub{i}.by", f"hub{i}.s", "component")) for i in range(HUBS)]).alias("hubs"),
-        )
+        parts = labelled(members).groupBy("node", "component").agg(F.count("*").alias("n"))
+        whole = parts.groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"))
         return whole.where("outside > 0")
 
+    def hubs(members: DataFrame) -> DataFrame:
+        """The hubs of each node, one by each of some hash orders, with their components."""
+        hub = lambda i: F.min(F.struct(F.xxhash64("s", F.lit(i)).alias("by"), "s", "component"))
+        return labelled(members).groupBy("node").agg(F.array(*[hub(i) for i in range(HUBS)]).alias("hubs")).select("node", F.explode("hubs").alias("hub"))
+
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     members = classes.select("s", "m", trees).select("s", "tree", F.explode(children(F.xxhash64("tree"), F.col("tree"), 0, F.col("m"))).alias("node"))
     shared = members.groupBy("node").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low <> high")
     members = stored(members.join(shared, "node", "left_semi"))
     level, rest = 1, None
     while True:
-        before, members = members, stored(members.join(state(members).select("node", "outside", "hubs"), "node"))
+        before, members = members, stored(members.join(state(members).select("node", "outside"), "node"))
         drop(before)
         large = members.where(F.col("outside") > SMALL)
         small = members.where(F.col("outside") <= SMALL).select("node", "s")
         rest = small if rest is None else rest.unionByName(small)
         if large.isEmpty():
             break
-        meets = labelled(large).select("s", "component", F.explode("hubs").alias("hub")).where("component <> hub.component")
-        meets = meets.select(F.col("s").alias("a"), F.col("hub.s").alias("b")).distinct()
+        meets = labelled(large).join(hubs(large), "node").where("component <> hub.component").select(F.col("s").alias("a"), F.col("hub.s").alias("b")).distinct()
         x = meets.join(facts.withColumnRenamed("s", "a"), "a").alias("x")
         met = x.join(facts.alias("y"), F.col("x.b") == F.col("y.s")).where(may_link(num, den)).select("x.a", "x.b")
         link(met)
