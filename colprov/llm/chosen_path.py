@@ -227,9 +227,11 @@ def groups(docs: DataFrame, n: int = 4, num: int = 80, den: int = 100) -> DataFr
         rest = small if rest is None else rest.unionByName(small)
         if large.isEmpty():
             break
-        meets = labelled(large).join(hubs(large), "node").where("component <> hub.component").select(F.col("s").alias("a"), F.col("hub.s").alias("b")).distinct()
-        x = meets.join(facts.withColumnRenamed("s", "a"), "a").alias("x")
-        met = x.join(facts.alias("y"), F.col("x.b") == F.col("y.s")).where(may_link(num, den)).select("x.a", "x.b")
+        x = labelled(large).select("node", "s", "component").join(facts, "s").alias("x")
+        y = hubs(large).select("node", F.col("hub.s").alias("s"), F.col("hub.component").alias("component")).join(facts, "s").alias("y")
+        apart = F.col("x.component") != F.col("y.component")
+        met = x.join(y, (F.col("x.node") == F.col("y.node")) & apart & may_link(num, den))
+        met = met.select(F.col("x.s").alias("a"), F.col("y.s").alias("b")).distinct()
         link(met)
         left = state(large.select("node", "s")).select("node", "outside")
         large = stored(large.select("node", "tree", "s").join(left, "node"))
