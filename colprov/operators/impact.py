@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from colprov.functions.joins import join_dim
 from colprov.functions.ranks import dense_codes, exact_quantiles
 from colprov.functions.special import ratio
+from colprov.operators.fits import Fit, Fits
 from colprov.operators.score import count_if, with_prf
 from colprov.operators.screens import class_auc, grid_threshold
-from colprov.session import cut
 
 # --------------------------------------------------------------------- folds
 
@@ -36,13 +36,33 @@ def stratified_folds(df: DataFrame, row_id: str, y: str, k: int, seed: int = 0,
     return df.join(place, row_id)
 
 
-def assign_folds(df: DataFrame, row_id: str, y: str, k: int = 5, group: str | None = None, seed: int = 0) -> DataFrame:
-    """Grouped when the key repeats and has at least k groups, else stratified."""
+def grouped_stratified_folds(df: DataFrame, group: str, y: str, k: int, seed: int = 0, hashed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """All rows of a group in one fold, and every fold with about the same classes.
+
+    Groups are ordered by size, then by their histogram of classes, then by hash, and dealt
+    round the folds in that order. So of the groups with one histogram each fold gets the
+    same number but for one, and two folds differ in their count of a class by at most the
+    sum of that class over the distinct histograms. Groups are ranked in ranges, never in
+    one task; a row moves only to meet its group's fold.
+    """
+    h = hashed(F.col(group)) if hashed else F.xxhash64(F.col(group), F.lit(seed))
+    n = df.groupBy(group, F.col(y).cast("string").alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
+    kinds = n.groupBy(group).agg(
+        (-F.sum("_n")).alias("_size"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.coalesce("_y", F.lit("")).alias("y"), "_n"))), lambda e: F.concat(e["y"], F.lit(":"), e["_n"].cast("string"))), ",").alias("_kind"),
+    )
+    keyed = kinds.select(group, "_size", "_kind", h.alias("_h"), F.lit(0).alias("_one"))
+    dealt = dense_codes(keyed, ["_one"], ["_size", "_kind", "_h", group], "_place").select(group, (F.col("_place") % k).cast("int").alias("fold"))
+    return join_dim(df, dealt, [group])
+
+
+def assign_folds(df: DataFrame, row_id: str, y: str, k: int = 5, group: str | None = None, seed: int = 0, hashed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Grouped and stratified when the key repeats and has at least k groups, else stratified."""
     if group:
         g = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(group).alias("g")).first()
         if k <= g["g"] < g["n"]:
-            return grouped_folds(df, group, k, seed)
-    return stratified_folds(df, row_id, y, k, seed)
+            return grouped_stratified_folds(df, group, y, k, seed, hashed)
+    return stratified_folds(df, row_id, y, k, seed, hashed)
 
 
 def external_folds(df: DataFrame, folds: DataFrame, key: str) -> DataFrame:
@@ -80,91 +100,59 @@ def fits_saved(sets: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------- fits
 
 
-def balanced(df: DataFrame, y: str, weight: str = "_w") -> DataFrame:
-    """Add weights that give every class the same total."""
-    n = df.groupBy(y).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(F.lit(0))
-    weights = n.select(y, (F.sum("_n").over(w) / (F.count(F.lit(1)).over(w) * F.col("_n"))).alias(weight))
-    return join_dim(df, weights, [y])
-
-
-def learner(kind: str, trees: int = 400, depth: int = 10, seed: int = 0):
-    """Random forest (leaf 2, sqrt features) or boosted trees with early stopping."""
-    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-
-    common = dict(featuresCol="_x", labelCol="_label", weightCol="_w", seed=seed)
-    if kind == "rf":
-        return RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, featureSubsetStrategy="sqrt", **common)
-    return GBTClassifier(maxIter=trees, maxDepth=min(depth, 5), stepSize=0.06, validationIndicatorCol="_val", **common)
-
-
-def assemble(df: DataFrame, features: list[str], y: str, keep: list[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-
-    v = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
-    return v.transform(df.select(*keep, F.col(y).cast("double").alias("_label"), *features)).select(*keep, "_label", "_x")
-
-
-def fit_predict(train: DataFrame, test: DataFrame, kind: str, **opts) -> DataFrame:
-    """Predictions of one class-balanced fit: the kept columns, _label, score, pred."""
-    from pyspark.ml.functions import vector_to_array
-
-    t = balanced(train, "_label")
-    if kind != "rf":
-        t = t.withColumn("_val", F.pmod(F.xxhash64("_x", F.lit(1)), F.lit(100)) < 15)
-    model = learner(kind, **opts).fit(t)
-    out = model.transform(test)
-    keep = [c for c in test.columns if c != "_x"]
-    return out.select(*keep, vector_to_array("probability")[1].alias("score"), F.col("prediction").alias("pred"))
-
-
-def out_of_fold(rows: DataFrame, k: int, kind: str, fold: str = "fold", **opts) -> DataFrame:
-    """Every row predicted by the fit that did not see its fold."""
-    parts = [fit_predict(rows.where(F.col(fold) != i), rows.where(F.col(fold) == i), kind, **opts) for i in range(k)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def nested_threshold(rows: DataFrame, k: int, inner: int, kind: str, unit: str, **opts) -> DataFrame:
-    """Predictions per outer fold with a threshold chosen on the training part only,
-    from out-of-fold scores of ``inner`` inner folds. ``unit`` is the row id or group
-    whose rows stay together in an inner fold."""
-    out = None
-    grid = [i / 100 for i in range(1, 100)]
-    for i in range(k):
-        train = rows.where(F.col("fold") != i).withColumn("_inner", F.pmod(F.xxhash64(unit, F.lit("inner"), F.lit(i)), F.lit(inner)).cast("int"))
-        oof = cut(out_of_fold(train, inner, kind, "_inner", **opts).select("score", (F.col("_label") == 1).alias("y")))
-        best = grid_threshold(oof, "score", "y", exact_quantiles(oof, [], "score", grid)).first()
-        test = fit_predict(train.drop("_inner"), rows.where(F.col("fold") == i), kind, **opts)
-        part = test.withColumn("threshold", F.lit(best["threshold"] if best else 0.5))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def run_arms(
-    df: DataFrame, features: list[str], y: str, arms: dict[str, list[str]], k: int, kind: str = "rf", inner: int = 0, unit: str | None = None, keep: list[str] | None = None, **opts
+    df: DataFrame,
+    features: list[str],
+    y: str,
+    arms: dict[str, list[str]],
+    k: int = 5,
+    kind: str = "rf",
+    inner: int = 0,
+    unit: str | None = None,
+    keep: list[str] | None = None,
+    fold: str | dict[str, str] = "fold",
+    folder: str | None = None,
+    **opts,
 ) -> DataFrame:
-    """Predictions of every arm, each distinct column set fitted once. ``df`` has
-    ``fold``; columns (arm, fold, _label, score, pred[, threshold]). ``inner`` folds
-    for the threshold need the ``unit`` they are dealt by."""
+    """Every row predicted by the fits that did not see its fold, for every arm.
+
+    ``fold`` is an SQL expression over kept columns, or one per partition of the rows (a
+    dictionary), which adds the column ``part``. Arms that keep the same columns share their
+    fits, and all fits run side by side (``fits.Fits``). Columns (arm, [part,] fold, the kept
+    ones, _label, scores, score, pred[, threshold]); ``_label`` and the places of ``scores``
+    are the sorted classes of ``y``. With ``inner`` folds a threshold is chosen on the
+    training part only, from out-of-fold scores; rows of one ``unit`` stay together in an
+    inner fold.
+    """
     if inner and not unit:
         raise ValueError("inner folds need the unit they are dealt by")
-    keep = ["fold", *(keep or []), *([unit] if inner else [])]
-    by_set: dict[tuple, list[str]] = {}
+    parts = fold if isinstance(fold, dict) else {"": fold}
+    held = [*(["fold"] if "fold" in df.columns else []), *(keep or []), *([unit] if unit else [])]
+    fits = Fits(df, features, y, held, folder)
+    options = tuple(sorted(opts.items()))
+    outer: dict[Fit, list[dict]] = {}
+    inside: dict[Fit, list[dict]] = {}
     for arm, dropped in arms.items():
-        by_set.setdefault(tuple(c for c in features if c not in dropped), []).append(arm)
-    out = None
-    for cols, names in by_set.items():
+        cols = tuple(c for c in features if c not in dropped)
         if not cols:
             continue
-        rows = cut(assemble(df, list(cols), y, keep))
-        pred = nested_threshold(rows, k, inner, kind, unit, **opts) if inner else out_of_fold(rows, k, kind, **opts)
-        # written once, so an action on the result never fits again
-        pred = cut(pred).withColumn("arm", F.explode(F.array(*[F.lit(n) for n in names])))
-        out = pred if out is None else out.unionByName(pred)
-    return out
+        for part, by in parts.items():
+            for i in range(k):
+                tag = {"arm": arm, "part": part, "fold": i}
+                outer.setdefault(Fit(cols, f"({by}) <> {i}", f"({by}) = {i}", kind, options), []).append(tag)
+                for j in range(inner):
+                    own = f"pmod(xxhash64({unit}, 'inner', {i}), {inner})"
+                    seen, left = f"({by}) <> {i} AND {own} <> {j}", f"({by}) <> {i} AND {own} = {j}"
+                    inside.setdefault(Fit(cols, seen, left, kind, options), []).append(tag)
+    names = fits.run([*outer, *inside])
+    tagged = lambda which: [(names[f], t) for f, tags in which.items() for t in tags]
+    keys = ["arm", "part", "fold"]
+    out = fits.read(tagged(outer)) if "fold" not in held else fits.read([(n, {**t, "_i": t["fold"]}) for n, t in tagged(outer)]).drop("fold").withColumnRenamed("_i", "fold")
+    if inner:
+        oof = fits.read([(n, {**t, "_i": t["fold"]}) for n, t in tagged(inside)]).select("arm", "part", F.col("_i").alias("fold"), "score", (F.col("_label") == len(fits.classes) - 1).alias("y"))
+        best = grid_threshold(oof, "score", "y", exact_quantiles(oof, keys, "score", [q / 100 for q in range(1, 100)]), keys)
+        out = join_dim(out, best.select(*keys, "threshold"), keys, "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.5)))
+    return out if isinstance(fold, dict) else out.drop("part")
 
 
 # ------------------------------------------------------------------- results

@@ -6,6 +6,7 @@ dataset, a relabelling one row per flipped label and model, never the verdicts.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 from math import comb
 
@@ -447,11 +448,12 @@ def subset_at(columns: list[str], k: int, rank: int) -> list[str]:
 
 
 def reference_subsets(columns: list[str], k: int, most: int, seed: int = 0) -> list[list[str]]:
-    """At most ``most`` different k-subsets: evenly strided numbers of the lexicographic order,
-    shifted by ``seed``; all of them where there are no more."""
+    """All k-subsets where there are at most ``most``, else that many different ones at random."""
     total = comb(len(columns), k)
-    wanted = min(total, most)
-    return [subset_at(columns, k, (i * total // wanted + seed) % total) for i in range(wanted)]
+    draw, places = random.Random(seed), set(range(total) if total <= most else ())
+    while len(places) < min(total, most):
+        places.add(draw.randrange(total))
+    return [subset_at(columns, k, i) for i in sorted(places)]
 
 
 def subset_z(f1s: DataFrame, floor: float = 0.01) -> DataFrame:

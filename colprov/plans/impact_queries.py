@@ -31,6 +31,34 @@ def j1c(t: Tables):
     return J.external_folds(t.lineitem, folds, "l_orderkey").groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Orders as groups of lines, by size and histogram of the classes, dealt round.
+DEALT_SQL = """n AS (SELECT l_orderkey, l_returnflag AS y, count(*) AS n FROM lineitem GROUP BY ALL),
+ g AS (SELECT l_orderkey, -sum(n) AS size, string_agg(y || ':' || n, ',' ORDER BY y) AS kind FROM n GROUP BY l_orderkey),
+ f AS (SELECT l_orderkey, ((row_number() OVER (ORDER BY size, kind, l_orderkey * 7919 % 100003, l_orderkey) - 1) % 5)::INT AS fold FROM g)"""
+
+
+def dealt(t: Tables):
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag").withColumn("row", F.struct("l_orderkey", "l_linenumber"))
+    return J.assign_folds(rows, "row", "l_returnflag", 5, group="l_orderkey", hashed=HASH)
+
+
+@query("j1_assigned_folds", f"WITH {DEALT_SQL} SELECT l_orderkey, l_linenumber, fold FROM lineitem JOIN f USING (l_orderkey)")
+def j1d(t: Tables):
+    """Lines of one order in one fold, folds alike in size and classes."""
+    return dealt(t).select("l_orderkey", "l_linenumber", "fold")
+
+
+@query(
+    "j1_fold_balance",
+    f"""WITH {DEALT_SQL}, c AS (SELECT fold, l_returnflag AS class, count(*) AS n, count(DISTINCT l_orderkey) AS n_groups FROM lineitem JOIN f USING (l_orderkey) GROUP BY ALL)
+   SELECT class, max(n) - min(n) AS spread, sum(n)::BIGINT AS n, sum(n_groups)::BIGINT AS n_groups, count(*) AS n_folds FROM c GROUP BY class""",
+)
+def j1e(t: Tables):
+    """How far apart the folds are in each class."""
+    c = dealt(t).groupBy("fold", F.col("l_returnflag").alias("class")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey").alias("n_groups"))
+    return c.groupBy("class").agg((F.max("n") - F.min("n")).alias("spread"), F.sum("n").alias("n"), F.sum("n_groups").alias("n_groups"), F.count(F.lit(1)).alias("n_folds"))
+
+
 ARMS_SQL = """f AS (SELECT p_brand AS ds, 'c' || p_partkey AS col, p_size, p_type FROM part), a AS (SELECT * FROM (SELECT DISTINCT ds FROM f), (VALUES ('ALL'), ('GT'), ('B3'), ('m1')) v(arm)),
  d AS (SELECT ds, 'GT' AS arm, col FROM f WHERE p_size <= 10 UNION ALL SELECT ds, 'B3', col FROM f WHERE p_size <= CASE WHEN ds < 'Brand#2' THEN 10 ELSE 12 END UNION ALL SELECT ds, 'm1', col FROM f WHERE p_type = 'NONE'),
  k AS (SELECT a.ds, a.arm, f.col FROM a JOIN f USING (ds) ANTI JOIN d ON d.ds = a.ds AND d.arm = a.arm AND d.col = f.col),
@@ -59,37 +87,57 @@ def j3(t: Tables):
 
 
 ML_FEATURES = ["l_quantity", "l_discount", "l_tax", "p_size", "reason_flag", "refund_amt"]
+CLEAN = ["l_quantity", "l_discount", "l_tax", "p_size"]
+#: Rows and positives that every arm must have predicted.
+ML_SQL = "n AS (SELECT count(*) AS n_rows, count(*) FILTER (WHERE l_returnflag = 'R') AS n_positive FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"
 
 
-def ml_frame(t: Tables, k: int = 2, salt: int = 0):
+def ml_frame(t: Tables, k: int = 5):
     a = fr.audit(t).withColumn("target", (F.col("y") == "R").cast("int"))
     a = a.fillna(-999.0, ["refund_amt"])
-    return J.grouped_folds(a, "l_orderkey", k, seed=salt)
+    return J.grouped_folds(a, "l_orderkey", k)
 
 
 def by_arm(pred):
-    return J.fold_scores(pred, "score", F.col("_label") == 1, F.col("score") >= F.coalesce(F.col("threshold"), F.lit(0.5)), ["arm"])
+    flagged = F.col("score") >= (F.col("threshold") if "threshold" in pred.columns else F.lit(0.5))
+    return J.fold_scores(pred, "score", F.col("_label") == 1, flagged, ["arm"])
+
+
+def arm_facts(pred, ceiling: str = "GT"):
+    """Per arm what was predicted, and how it stands to the arm without the leaks."""
+    scores, honest = by_arm(pred), F.col("arm") == ceiling
+    n = pred.groupBy("arm").agg(F.count(F.lit(1)).alias("n_rows"), F.sum((F.col("_label") == 1).cast("long")).alias("n_positive"))
+    gt = scores.where(honest).select(F.col("auc").alias("gt_auc"), F.col("f1").alias("gt_f1"))
+    return n.join(scores, "arm").join(F.broadcast(gt), how="inner").select(
+        "arm", "n_folds", "n_rows", "n_positive", (F.col("auc") > F.col("gt_auc") + 0.1).alias("auc_over_gt"), (F.col("f1") > F.col("gt_f1") + 0.1).alias("f1_over_gt"),
+        (F.abs(F.col("auc") - 0.5) < 0.05).alias("chance"),
+    )
 
 
-@query("j4_balanced_fits_by_arm")
+def facts_sql(*arms: str) -> str:
+    """What ``arm_facts`` must say: only arms with a leak are over the ceiling, only the ceiling is at chance."""
+    rows = ", ".join(f"('{a}', {a != 'GT'})" for a in arms)
+    return f"WITH {ML_SQL} SELECT arm, 5::BIGINT AS n_folds, n_rows, n_positive, leaky AS auc_over_gt, leaky AS f1_over_gt, NOT leaky AS chance FROM n, (VALUES {rows}) v(arm, leaky)"
+
+
+@query("j4_balanced_fits_by_arm", facts_sql("ALL", "GT", "leak_alone"))
 def j4(t: Tables):
-    """Keep all, drop the documented, leak alone; forests, every row predicted out of fold."""
-    clean = ["l_quantity", "l_discount", "l_tax", "p_size"]
-    arms = J.arms_from(ML_FEATURES, fr.LEAKS, leak_alone=clean)
-    pred = J.run_arms(ml_frame(t), ML_FEATURES, "target", arms, 2, "rf", trees=5, depth=4)
-    return rounded(by_arm(pred.withColumn("threshold", F.lit(None).cast("double"))), "auc", "f1", "p", "r")
+    """Keep all, drop the documented, leak alone; forests of 400 trees, every row predicted out of fold."""
+    return arm_facts(J.run_arms(ml_frame(t), ML_FEATURES, "target", J.arms_from(ML_FEATURES, fr.LEAKS, leak_alone=CLEAN)))
 
 
-@query("j4_boosted_fits_by_arm")
+@query("j4_boosted_fits_by_arm", facts_sql("ALL", "GT", "leak_alone"))
 def j4b(t: Tables):
-    pred = J.run_arms(ml_frame(t), ML_FEATURES, "target", {"GT": fr.LEAKS}, 2, "gb", trees=3, depth=3)
-    return rounded(by_arm(pred.withColumn("threshold", F.lit(None).cast("double"))), "auc", "f1", "p", "r")
+    """The same arms with up to 400 boosted trees, stopped early."""
+    return arm_facts(J.run_arms(ml_frame(t), ML_FEATURES, "target", J.arms_from(ML_FEATURES, fr.LEAKS, leak_alone=CLEAN), kind="gb"))
 
 
-@query("j5_nested_threshold")
+@query("j5_nested_threshold", f"SELECT *, 5::BIGINT AS n_thresholds FROM ({facts_sql('ALL', 'GT')})")
 def j5(t: Tables):
-    pred = J.run_arms(ml_frame(t), ML_FEATURES, "target", {"ALL": [], "GT": fr.LEAKS}, 2, "rf", inner=2, unit="l_orderkey", trees=3, depth=3)
-    return rounded(by_arm(pred), "auc", "f1", "p", "r")
+    """Thresholds from three inner folds of each training part."""
+    pred = J.run_arms(ml_frame(t), ML_FEATURES, "target", {"ALL": [], "GT": fr.LEAKS}, inner=3, unit="l_orderkey")
+    n = pred.where("threshold > 0 AND threshold < 1").groupBy("arm").agg(F.count_distinct("fold").alias("n_thresholds"))
+    return arm_facts(pred).join(n, "arm")
 
 
 SCORES_SQL = """pr AS (SELECT o_orderpriority AS arm, l_linenumber AS fold, ((l_quantity + 50 * (l_returnflag = 'R')::INT * (l_tax > 0.03)::INT) / 100) AS score, l_returnflag = 'R' AS y
@@ -184,27 +232,56 @@ def j10(t: Tables):
     return rounded(J.class_report(predictions(t), "y", "clean"), "precision", "recall", "f1")
 
 
-@query("j11_clean_against_leak")
+@query(
+    "j10_three_class_report",
+    """WITH r AS (SELECT l_returnflag AS class FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey), c AS (SELECT class, count(*) AS support FROM r GROUP BY class)
+   SELECT arm, class, support, known @> [class] AS perfect, arm <> 'clean' AS over_clean FROM c, (VALUES ('clean', []), ('flag', ['R']), ('flag + code', ['A', 'N', 'R'])) v(arm, known)""",
+)
+def j10b(t: Tables):
+    """Three classes over folds that come with the orders: flags alone against flags and a code, and neither."""
+    a = fr.audit(t).drop("fold")
+    folds = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 5).alias("fold"))
+    features = [*CLEAN, "reason_flag", "late_code"]
+    arms = {"clean": ["reason_flag", "late_code"], "flag": [*CLEAN, "late_code"], "flag + code": CLEAN}
+    pred = J.run_arms(J.external_folds(a, folds, "l_orderkey"), features, "y", arms, keep=["y"])
+    said = F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (F.col("pred") + 1).cast("int"))
+    rep = J.class_report(pred.withColumn("p", said), "y", "p", ["arm"])
+    acc = rep.where("class = 'accuracy'").select("arm", F.col("f1").alias("accuracy"))
+    clean = acc.where("arm = 'clean'").select(F.col("accuracy").alias("clean"))
+    rows = rep.where("class IN ('A', 'N', 'R')").join(acc, "arm").join(F.broadcast(clean), how="inner")
+    return rows.select("arm", "class", "support", (F.col("f1") == 1).alias("perfect"), (F.col("accuracy") > F.col("clean") + 0.05).alias("over_clean"))
+
+
+@query(
+    "j11_clean_against_leak",
+    "SELECT y, arm, 10::BIGINT AS n_partitions, TRUE AS leak_over_clean, TRUE AS steady FROM (VALUES ('0'), ('1'), ('ACCURACY'), ('MACRO')) a(y), (VALUES ('clean'), ('+leak')) b(arm)",
+)
 def j11(t: Tables):
-    """Two partitions of the rows, clean arm against +leak, per-class F1 and its spread."""
-    out = None
-    for seed in (0, 1):
-        pred = J.run_arms(ml_frame(t, 2, seed), ML_FEATURES, "target", {"clean": fr.LEAKS, "+leak": []}, 2, "rf", trees=3, depth=3)
-        p = pred.select(F.lit(seed).alias("part"), "arm", F.col("_label").cast("int").cast("string").alias("y"), F.col("pred").cast("int").cast("string").alias("p"))
-        out = p if out is None else out.unionByName(p)
-    return rounded(H.partition_summary(out, "part", "y", "p", ["arm"]), "mean", "sd")
+    """Ten partitions of the rows into five folds, clean arm against +leak, per-class F1 and its spread."""
+    folds = {str(i): f"pmod(xxhash64(l_orderkey, 'partition', {i}), 5)" for i in range(10)}
+    pred = J.run_arms(ml_frame(t), ML_FEATURES, "target", {"clean": fr.LEAKS, "+leak": []}, fold=folds, keep=["l_orderkey"])
+    p = pred.select("part", "arm", F.col("_label").cast("int").cast("string").alias("y"), F.col("pred").cast("int").cast("string").alias("p"))
+    s = H.partition_summary(p, "part", "y", "p", ["arm"])
+    means = s.groupBy("y").agg(F.max(F.when(F.col("arm") == "clean", F.col("mean"))).alias("clean"), F.max(F.when(F.col("arm") == "+leak", F.col("mean"))).alias("leak"))
+    return s.join(means, "y").select("y", "arm", "n_partitions", (F.col("leak") > F.col("clean") + 0.1).alias("leak_over_clean"), (F.col("sd") < 0.05).alias("steady"))
+
+
+#: What each judge flags most, as one of the features.
+FLAGGED_SQL = f"""{fr.VERDICTS_SQL}, share AS (SELECT model, ['{"', '".join(ML_FEATURES)}'][1 + ascii(right(col, 1)) % {len(ML_FEATURES)}] AS f, avg((verdict = 'UNAVAILABLE')::INT::DOUBLE) AS s FROM verdicts GROUP BY ALL),
+ top AS (SELECT model, arg_max(f, (s, f)) AS f FROM share GROUP BY model)"""
 
 
-@query("j12_per_model_arms")
+@query("j12_per_model_arms", f"WITH {FLAGGED_SQL}, {ML_SQL} SELECT model AS arm, f AS dropped, n_rows, n_positive, TRUE AS auc_over_gt FROM top, n")
 def j12(t: Tables):
     """Arms that drop what each judge's majority flags; columns mapped onto the features."""
-    v = fr.verdicts(t).withColumn("col", F.element_at(F.array(*[F.lit(c) for c in ML_FEATURES]), (F.crc32("col") % len(ML_FEATURES) + 1).cast("int")))
-    share = v.groupBy("model", "col").agg(F.avg((F.col("verdict") == "UNAVAILABLE").cast("double")).alias("s"))
-    top = share.groupBy("model").agg(F.max_by("col", F.struct("s", "col")).alias("col"))
-    flagged = {r["model"]: [r["col"]] for r in top.collect()}
-    pred = J.run_arms(ml_frame(t), ML_FEATURES, "target", J.arms_from(ML_FEATURES, fr.LEAKS, **flagged), 2, "rf", trees=3, depth=3)
-    s = by_arm(pred.withColumn("threshold", F.lit(None).cast("double"))).withColumn("dataset", F.lit("AUDIT"))
-    return rounded(J.drop_arm_report(s, list(flagged)), "mean_delta", "oracle_delta", "share_positive")
+    names = F.array(*[F.lit(c) for c in ML_FEATURES])
+    v = fr.verdicts(t).withColumn("f", F.element_at(names, (F.ascii(F.right("col", F.lit(1))) % len(ML_FEATURES) + 1).cast("int")))
+    share = v.groupBy("model", "f").agg(F.avg((F.col("verdict") == "UNAVAILABLE").cast("double")).alias("s"))
+    top = share.groupBy("model").agg(F.max_by("f", F.struct("s", "f")).alias("f"))
+    flagged = {r["model"]: [r["f"]] for r in top.collect()}  # one row per judge
+    pred = J.run_arms(ml_frame(t), ML_FEATURES, "target", {"ALL": [], "GT": fr.LEAKS, **flagged})
+    dropped = t.spark.createDataFrame([(m, c[0]) for m, c in flagged.items()], "arm string, dropped string")
+    return arm_facts(pred).join(F.broadcast(dropped), "arm").select("arm", "dropped", "n_rows", "n_positive", "auc_over_gt")
 
 
 @query("j12_oracle_delta_of_arms", f"""WITH {RES_SQL}, a AS (SELECT dataset, learner, f1 AS fa FROM res WHERE arm = 'ALL'), g AS (SELECT dataset, learner, f1 AS fg FROM res WHERE arm = 'GT')
@@ -228,16 +305,12 @@ def j13b(t: Tables):
     return rounded(out.groupBy("learner", "arm").agg(F.count(F.lit(1)).alias("n"), F.avg("f1").alias("f1")), "f1")
 
 
-@query("h13_null_subset_scan")
+@query("h13_null_subset_scan", "SELECT y, 6::BIGINT AS n_null, TRUE AS detected, TRUE AS far FROM (VALUES ('0'), ('1')) v(y)")
 def h13(t: Tables):
-    """The two leaky columns against every pair of clean ones, per-class z."""
-    clean = ["l_quantity", "l_discount", "l_tax"]
-    subsets = H.reference_subsets(clean, 2, 120)
-    every = [("leak", True, ["reason_flag", "refund_amt"])] + [(f"null{i}", False, s) for i, s in enumerate(subsets)]
-    df, f1s = ml_frame(t), None
-    for name, leak, cols in every:
-        pred = J.run_arms(df, cols, "target", {name: []}, 2, "rf", trees=2, depth=3)
-        rep = J.class_report(pred.select(F.col("_label").cast("int").cast("string").alias("y"), F.col("pred").cast("int").cast("string").alias("p")), "y", "p")
-        part = rep.where("class IN ('0', '1')").select(F.lit(name).alias("subset"), F.lit(leak).alias("is_leak"), F.col("class").alias("y"), "f1")
-        f1s = part if f1s is None else f1s.unionByName(part)
-    return rounded(H.subset_z(f1s), "leak_f1", "null_mean", "null_sd", "null_max", "z")
+    """The two leaky features against every pair of the clean ones, per-class z."""
+    leaks, subsets, features = [c for c in ML_FEATURES if c in fr.LEAKS], H.reference_subsets(CLEAN, 2, 120), ML_FEATURES
+    kept = {"leak": leaks} | {f"null{i}": cols for i, cols in enumerate(subsets)}
+    pred = J.run_arms(ml_frame(t), features, "target", {name: [c for c in features if c not in cols] for name, cols in kept.items()})
+    rep = J.class_report(pred.select("arm", F.col("_label").cast("int").cast("string").alias("y"), F.col("pred").cast("int").cast("string").alias("p")), "y", "p", ["arm"])
+    f1s = rep.where("class IN ('0', '1')").select(F.col("arm").alias("subset"), (F.col("arm") == "leak").alias("is_leak"), F.col("class").alias("y"), "f1")
+    return H.subset_z(f1s).select("y", "n_null", "detected", (F.col("z") > 5).alias("far"))
