@@ -8,9 +8,11 @@ the smallest rank in each word until no pair of any word is in the table. In wor
 more than ``SHORT`` bytes a round contracts all separate occurrences of that pair, leftmost
 first: a pair that a contraction makes has a larger rank, so they would follow one another
 anyway. A word that is a token is that token. Decoding joins ids with the vocabulary and
-aggregates the bytes of each word in order of position. A worker remembers words it has
-met, in two generations of about ``REMEMBERED`` each; texts are taken ``AT_ONCE`` words at a
-time, so memory does not follow the length of a text.
+aggregates the bytes of each word in order of position; a word whose ids decode to itself
+stands for its bytes from then on, any other keeps them beside it. A worker remembers words
+it has met, in two generations of at most ``REMEMBERED`` bytes each; words are learnt
+``LEARNT`` and texts taken ``AT_ONCE`` words at a time, so memory does not follow the length
+of a text.
 
 A null text is empty: no tokens. Bytes that are not UTF-8 become the replacement
 character first. Rows come back one for one, repeated rows too; extra columns are ignored.
@@ -30,7 +32,10 @@ from pyspark.sql import functions as F
 
 from colprov.llm.common import kept, prepare, slices
 
-REMEMBERED = 150_000
+REMEMBERED = 36 << 20
+#: Bytes that a remembered word takes beside its letters and ids.
+ENTRY = 180
+LEARNT = 20_000
 AT_ONCE = 50_000
 ROWS_HELD = 1_000_000
 
@@ -116,8 +121,10 @@ class Codec:
         import duckdb
 
         self.ranks = ranks
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+        self.odd: dict[str, bytes] = {}
         self.con = duckdb.connect()
         for setting in ("threads=1", "memory_limit='300MB'", "temp_directory=''", "preserve_insertion_order=false"):
             self.con.execute(f"SET {setting}")
@@ -190,12 +197,16 @@ class Codec:
         at = (np.searchsorted(w, np.arange(len(words) + 1)) * 4).tolist()
         flat = ids.astype("<u4").tobytes()
         for i, x in enumerate(words):
-            self.known[x] = (flat[at[i] : at[i + 1]], back[i])
+            self.known[x] = flat[at[i] : at[i + 1]]
+            if back[i] != raw[i]:
+                self.odd[x] = back[i]
+        self.held += ENTRY * len(words) + len(flat) + sum(map(len, raw))
 
     def ready(self, words: set[str]) -> None:
         """Make all ``words`` known; of others only those met lately stay known."""
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
+        if self.held > REMEMBERED:
+            self.odd = {x: b for x, b in self.odd.items() if x in self.known}
+            self.known, self.older, self.held = {}, self.known, 0
         new = []
         for x in words - self.known.keys():
             old = self.older.get(x)
@@ -203,16 +214,21 @@ class Codec:
                 new.append(x)
             else:
                 self.known[x] = old
+                self.held += ENTRY + len(x) + len(old)
         new.sort()
-        for i in range(0, len(new), AT_ONCE):
-            self.learn(new[i : i + AT_ONCE])
+        for i in range(0, len(new), LEARNT):
+            self.learn(new[i : i + LEARNT])
 
     def encode(self, words: list[str]) -> tuple[bytes, bytes]:
         """Ids of consecutive words as little-endian 32-bit integers, and what they decode to."""
-        if not all(map(self.known.__contains__, words)):
+        try:
+            ids = b"".join(map(self.known.__getitem__, words))
+        except KeyError:
             self.ready(set(words))
-        got = list(map(self.known.__getitem__, words))
-        return b"".join([x[0] for x in got]), b"".join([x[1] for x in got])
+            ids = b"".join(map(self.known.__getitem__, words))
+        if self.odd:
+            return ids, b"".join([self.odd[x] if x in self.odd else x.encode() for x in words])
+        return ids, "".join(words).encode()
 
 
 def codec_of(content: bytes) -> Codec:
@@ -233,7 +249,7 @@ def encoded(docs: DataFrame, content: bytes, pattern: str, digest_only: bool) ->
 
         split, codec = regex.compile(pattern), codec_of(shared.value)
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text"):
                 texts = list(texts_of(part))
                 # the new words of many texts go through one recursive query
                 new = set()
@@ -260,6 +276,7 @@ def encoded(docs: DataFrame, content: bytes, pattern: str, digest_only: bool) ->
                 columns += [pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())] if digest_only else [pa.array(ids_out, pa.binary())]
                 names = ["doc_id", "n_tokens"] + (["ids_sha256", "decoded_sha256"] if digest_only else ["ids"])
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        pa.default_memory_pool().release_unused()
 
     rows = prepare(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     return rows.mapInArrow(work, "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest_only else "ids binary"))
