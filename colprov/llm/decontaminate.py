@@ -175,7 +175,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, num: int
                         q = words.values.to_numpy().view(U)
                         lo, hi = max(0, -shift), min(len(q), len(own) - shift)
                         matched, length = best_run(own[lo + shift : hi + shift] == q[lo:hi], num, den)
-                        if matched >= min(len(q), least):
+                        if matched >= min(-(-len(q) * num // den), least):
                             out.append((row, item, matched, length))
                 row, item, matched, length = (np.array(x, np.int64) for x in (zip(*out) if out else ([], [], [], [])))
                 yield pa.RecordBatch.from_arrays(
@@ -189,7 +189,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, num: int
 
 
 def verdicts(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` with contaminated, n_items, item_id (longest overlap, then smallest id) and matched."""
+    """``docs`` with contaminated, n_items, item_id (longest overlap, then smallest id) and matched,
+    which take the place of columns that are called so."""
+    docs = docs.drop("contaminated", "n_items", "item_id", "matched")
     best = (
         overlaps(docs, benchmark, **options)
         .groupBy("doc_id", "tid")
