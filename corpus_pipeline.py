@@ -21,14 +21,21 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by a similarity of 0.8 of their five-word shingles one stays.
 
-    It is the one with the smallest id; of rows repeated under that id one stays. Documents
-    without words, or with a null id, link with nothing that could name them, and stay.
+    It is the one with the smallest id (null ids last), of texts under one id the one with the
+    smallest hash; texts are told apart, not ids. Of rows that repeat id and text the one with
+    the smallest hash of all its columns stays. Texts without words link with nothing and stay.
     """
-    linked = jaccard_join.join(docs, 5, 80, 100)
-    gone = linked.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
-    named = left.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(left.where("doc_id is null"))
+    key = F.xxhash64("doc_id", "text").alias("key")
+    linked = jaccard_join.join(docs.select(key.alias("doc_id"), "text"), 5, 80, 100).select(F.col("doc_id").alias("key"), "component_id")
+    rows = docs.select("doc_id", key, F.xxhash64(*docs.columns).alias("whole"))
+    ranked = linked.distinct().join(rows.select("doc_id", "key").distinct(), "key")
+    first = ranked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first"))
+    gone = ranked.join(first, "component_id").where(F.col("key") != F.col("first.key")).select(F.col("key").alias("__key"))
+    left = docs.withColumn("__key", key).join(gone, "__key", "left_anti")
+    again = rows.groupBy(F.col("key").alias("__key")).agg(F.count("*").alias("n"), F.min("whole").alias("__whole")).where("n > 1").drop("n")
+    single = left.join(again, "__key", "left_anti").select(*docs.columns)
+    repeated = left.withColumn("__whole", F.xxhash64(*docs.columns)).join(again, ["__key", "__whole"], "left_semi").dropDuplicates(["__key"])
+    return single.unionByName(repeated.select(*docs.columns))
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
