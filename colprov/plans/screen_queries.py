@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from colprov.functions.ranks import exact_quantiles
 from colprov.operators import screens as S
+from colprov.operators import typed
 from colprov.plans import frames as fr
 from colprov.plans.registry import Tables, query
 
@@ -66,7 +67,7 @@ def rounded(df, *cols):
 
 
 def features(t: Tables):
-    f = S.column_features(*AUDIT(t), truth=fr.truth(t))
+    f = typed.column_features(*AUDIT(t), truth=fr.truth(t))
     return rounded(f, "auc", "cor", "miss")
 
 
@@ -76,6 +77,53 @@ def c1(t: Tables):
     return features(t)
 
 
+MIXED = ["o_totalprice", "c_name", "c_mktsegment", "tax_rate", "size_code", "is_large", "balance", "recorded_after_closing"]
+
+#: Orders with columns of every kind: text, text that is a number, numbers with NaN, booleans.
+MIXED_SQL = """src AS (SELECT o_orderpriority AS ds, o_orderstatus AS y, o_orderkey, o_totalprice, c_name, c_mktsegment,
+    CASE WHEN o_custkey % 9 > 0 THEN (o_custkey % 30) || '%' END AS tax_rate, CASE WHEN o_custkey % 2 = 0 THEN 'S' || o_custkey % 7 WHEN o_custkey % 5 > 0 THEN '12' END AS size_code,
+    o_totalprice > 100000 AS is_large, CASE WHEN o_custkey % 7 = 0 OR o_orderstatus = 'P' THEN NULL ELSE c_acctbal END AS balance, CASE WHEN o_orderstatus = 'F' THEN 'yes' END AS recorded_after_closing
+    FROM orders JOIN customer ON o_custkey = c_custkey),
+ cell AS (SELECT ds, y, 'o_totalprice' AS col, o_totalprice AS num, NULL AS txt, FALSE AS written FROM src UNION ALL SELECT ds, y, 'is_large', is_large::INT, NULL, FALSE FROM src
+   UNION ALL SELECT ds, y, 'balance', balance, NULL, FALSE FROM src UNION ALL SELECT ds, y, 'c_name', NULL, c_name, TRUE FROM src UNION ALL SELECT ds, y, 'c_mktsegment', NULL, c_mktsegment, TRUE FROM src
+   UNION ALL SELECT ds, y, 'tax_rate', TRY_CAST(replace(tax_rate, '%', '') AS DOUBLE), tax_rate, TRUE FROM src UNION ALL SELECT ds, y, 'size_code', TRY_CAST(size_code AS DOUBLE), size_code, TRUE FROM src
+   UNION ALL SELECT ds, y, 'recorded_after_closing', NULL, recorded_after_closing, TRUE FROM src),
+ kind AS (SELECT ds, col, bool_or(written) AND avg((num IS NOT NULL)::INT) <= .8 AS coded FROM cell GROUP BY ALL),
+ code AS (SELECT ds, col, txt, row_number() OVER (PARTITION BY ds, col ORDER BY txt) - 1 AS c FROM (SELECT DISTINCT ds, col, txt FROM cell JOIN kind USING (ds, col) WHERE coded AND txt IS NOT NULL)),
+ long AS (SELECT ds, col, y, CASE WHEN coded THEN coalesce(c, -1) ELSE num END::DOUBLE AS v, CASE WHEN written THEN txt IS NULL ELSE num IS NULL END AS gone
+   FROM cell JOIN kind USING (ds, col) LEFT JOIN code USING (ds, col, txt))"""
+
+MIXED_MISS_SQL = """mrate AS (SELECT ds, col, y, avg(gone::INT) AS r, count(*) FILTER (WHERE NOT gone) AS nv, count(*) AS n FROM long GROUP BY ds, col, y),
+miss AS (SELECT ds, col, CASE WHEN sum(nv) > 0 AND sum(nv) < sum(n) THEN max(r) - min(r) ELSE 0 END AS miss FROM mrate GROUP BY ds, col)"""
+
+
+def mixed(t: Tables):
+    k = F.col("o_custkey")
+    j = t.orders.join(t.customer, k == F.col("c_custkey"))
+    balance = F.when((k % 7 == 0) | (F.col("o_orderstatus") == "P"), F.lit(float("nan"))).otherwise(F.col("c_acctbal"))
+    size = F.when(k % 2 == 0, F.concat(F.lit("S"), (k % 7).cast("string"))).when(k % 5 > 0, F.lit("12"))
+    return j.select(
+        F.col("o_orderpriority").alias("ds"), F.col("o_orderstatus").alias("y"), "o_totalprice", "c_name", "c_mktsegment",
+        F.when(k % 9 > 0, F.concat((k % 30).cast("string"), F.lit("%"))).alias("tax_rate"), size.alias("size_code"),
+        (F.col("o_totalprice") > 100000).alias("is_large"), balance.alias("balance"), F.when(F.col("o_orderstatus") == "F", "yes").alias("recorded_after_closing"),
+    )
+
+
+@query(
+    "c1_features_of_any_type",
+    f"""WITH {MIXED_SQL},
+{MEDIAN_SQL},
+{AUC_SQL},
+{COR_SQL},
+{MIXED_MISS_SQL}
+  SELECT ds, col, round(auc, 6) AS auc, round(cor, 6) AS cor, round(miss, 6) AS miss, regexp_matches(replace(col, '_', ' '), '{MARKER_RE}') AS regex
+  FROM auc JOIN cor USING (ds, col) JOIN miss USING (ds, col)""",
+)
+def c1b(t: Tables):
+    """Every screen over text, numbers written as text, booleans and numbers with NaN."""
+    return rounded(typed.column_features(mixed(t), MIXED, "y", ["ds"], share=0.8), "auc", "cor", "miss")
+
+
 @query(
     "c2_one_vs_rest_auc",
     f"WITH {fr.LONG_SQL},\n{MEDIAN_SQL},\n{AUC_SQL} SELECT ds, col, round(auc, 6) AS auc FROM auc",
