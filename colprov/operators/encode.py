@@ -208,9 +208,9 @@ def exclude(df: DataFrame, identifiers: list[str], free_text: list[str], target:
     return df.drop(*identifiers, *free_text, target)
 
 
-def fixed_sample(df: DataFrame, ids: list[str], n: int, seed: int = 0) -> DataFrame:
+def fixed_sample(df: DataFrame, ids: list[str], n: int, seed: int = 0, hashed: Column | None = None) -> DataFrame:
     """Exactly n rows, the same on every run: those with the smallest seeded hash."""
-    return df.withColumn("_h", F.xxhash64(*ids, F.lit(seed))).orderBy("_h", *ids).limit(n).drop("_h")
+    return df.withColumn("_h", F.xxhash64(*ids, F.lit(seed)) if hashed is None else hashed).orderBy("_h", *ids).limit(n).drop("_h")
 
 
 def rename_by_alias(rows: DataFrame, aliases: DataFrame, keys: list[str], name: str = "col") -> DataFrame:
@@ -227,9 +227,10 @@ def require_mapped(renamed: DataFrame) -> DataFrame:
     return renamed.drop("unmapped")
 
 
-def shuffled_order(columns: DataFrame, by: list[str], name: str = "col", seed: int = 0) -> DataFrame:
+def shuffled_order(columns: DataFrame, by: list[str], name: str = "col", seed: int = 0, hashed: Column | None = None) -> DataFrame:
     """The columns of each dataset in a seeded order, as one array."""
-    keyed = F.struct(F.xxhash64(F.col(name), F.lit(seed)).alias("h"), F.col(name).alias("c"))
+    h = F.xxhash64(F.col(name), F.lit(seed)) if hashed is None else hashed
+    keyed = F.struct(h.alias("h"), F.col(name).alias("c"))
     return columns.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(keyed)), lambda x: x["c"]).alias("order"))
 
 

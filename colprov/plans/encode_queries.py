@@ -186,10 +186,10 @@ def b15(t: Tables):
     return E.exclude(t.customer, ["c_custkey"], ["c_name"], "c_mktsegment")
 
 
-@query("b16_fixed_sample")
+@query("b16_fixed_sample", "SELECT event_id, user_id, value FROM events ORDER BY event_id * 7919 % 100003, event_id LIMIT 500")
 def b16(t: Tables):
     """Exactly 500 events, the same on every run."""
-    return E.fixed_sample(t.events, ["event_id"], 500, seed=7).select("event_id", "user_id", "value")
+    return E.fixed_sample(t.events, ["event_id"], 500, hashed=F.col("event_id") * 7919 % 100003).select("event_id", "user_id", "value")
 
 
 @query(
@@ -207,9 +207,12 @@ def b17(t: Tables):
     return E.rename_by_alias(truth, aliases, ["ds"])
 
 
-@query("b18_shuffled_column_order")
+@query(
+    "b18_shuffled_column_order",
+    "SELECT p_brand AS ds, count(*)::INT AS n, string_agg('c' || p_partkey, ',' ORDER BY md5('3|c' || p_partkey)) AS columns FROM part GROUP BY p_brand",
+)
 def b18(t: Tables):
-    o = E.shuffled_order(fr.cell_truth(t).select("ds", "col"), ["ds"], seed=3)
+    o = E.shuffled_order(fr.cell_truth(t).select("ds", "col"), ["ds"], hashed=F.md5(F.concat(F.lit("3|"), "col")))
     return o.select("ds", F.size("order").alias("n"), F.array_join("order", ",").alias("columns"))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from colprov.operators import evidence as I
 from colprov.plans import frames as fr
 from colprov.plans.registry import Tables, query
+from colprov.session import scratch
 
 PROBLEM_SQL = f"""WITH {fr.EVIDENCE_SQL}, e AS (SELECT *, CASE WHEN trim(quote) = '' THEN 0 ELSE len(string_split(trim(quote), ' ')) END AS words FROM evidence),
  p AS (SELECT doc_id AS "index", 'missing required field ''quote''' AS problem FROM e WHERE quote = ''
@@ -222,18 +225,20 @@ def i11(t: Tables):
     return I.coder_sheet(cols, order).withColumn("item", F.col("item").cast("long"))
 
 
-@query("i12_freshness")
+@query("i12_freshness", "SELECT * FROM (VALUES ('before its input', TRUE), ('after its input', FALSE)) v(\"table\", stale)")
 def i12(t: Tables):
-    """Are any of the landed tables older than orders? File times are no SQL matter."""
-    def times(*names):
-        out = None
-        for n in names:
-            f = t.spark.read.parquet(f"{t.folder}/{n}.parquet").select(F.lit(n).alias("table"), F.col("_metadata.file_modification_time").alias("mtime")).distinct()
-            out = f if out is None else out.unionByName(f)
-        return out
-
-    inputs = times("orders").select(F.explode(F.array(F.lit("lineitem"), F.lit("labels"))).alias("table"), "mtime")
-    return I.stale(times("lineitem", "labels"), inputs).select("table", "stale")
+    """A table derived before its input was landed anew, and one derived after."""
+    def landed(name, df):
+        path = scratch(t.spark, name)
+        df.write.parquet(path)
+        time.sleep(0.05)  # file times count milliseconds
+        return t.spark.read.parquet(path).select(F.lit(name).alias("table"), F.col("_metadata.file_modification_time").alias("mtime")).distinct()
+
+    per_order = t.lineitem.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("quantity"))
+    before = landed("before its input", per_order)
+    inputs = landed("input", t.orders.select("o_orderkey", "o_totalprice")).select(F.explode(F.array(F.lit("before its input"), F.lit("after its input"))).alias("table"), "mtime")
+    after = landed("after its input", per_order)
+    return I.stale(before.unionByName(after), inputs).select("table", "stale")
 
 
 @query(

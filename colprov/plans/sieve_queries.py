@@ -103,17 +103,39 @@ def e3(t: Tables):
 VERB = r"(and|of|le|der)\s+[a-z]+"
 
 
-@query("e4_define_by_target_name")
+def after_name_sql(names: str, need: str, width: int) -> str:
+    """Windows after each place where a target of the dataset stands as a whole word; positions instead of look-around."""
+    return f"""{SENTS_SQL}, {WORDS_SQL}, named AS ({names}),
+ targets AS (SELECT DISTINCT ds, target FROM (SELECT ds, col AS target FROM named UNION ALL SELECT ds, regexp_replace(col, '[_-]+', ' ', 'g') FROM named) WHERE length(target) >= 3),
+ near AS (SELECT doc_id, pos, sentence, target FROM sents JOIN targets USING (ds) WHERE regexp_matches(sentence, '(?i){need}') AND contains(lower(sentence), lower(target))),
+ place AS (SELECT *, unnest(range(1, length(sentence) - length(target) + 2)) AS p FROM near),
+ windows AS (SELECT doc_id, pos, target, p, regexp_extract(substr(sentence, p + length(target)), '^.{{0,{width}}}', 0) AS w FROM place WHERE lower(substr(sentence, p, length(target))) = lower(target)
+   AND (p = 1 OR NOT regexp_matches(substr(sentence, p - 1, 1), '[A-Za-z0-9_]')) AND NOT regexp_matches(substr(sentence, p + length(target), 1), '[A-Za-z0-9_]'))"""
+
+
+PLAIN_NAME = "regexp_matches(col, '^[A-Za-z0-9_]+$')"
+
+
+@query(
+    "e4_define_by_target_name",
+    f"""WITH {after_name_sql(f"SELECT ds, min(col) AS col FROM cols WHERE {PLAIN_NAME} GROUP BY ds", VERB, 90)},
+ best AS (SELECT doc_id, pos, target, arg_min(w, p) AS w FROM windows WHERE regexp_matches(w, '(?i){VERB}') GROUP BY ALL)
+ SELECT doc_id, pos, target, target || regexp_extract(w, '(?is)^.*?(?:{VERB})', 0) AS trigger FROM best""",
+)
 def e4(t: Tables):
-    """Rows only: the windows need look-around."""
+    """A dataset's own target, and how it is said to be made."""
     roles = columns(t).where(F.col("col").rlike("^[A-Za-z0-9_]+$")).groupBy("ds").agg(F.min("col").alias("col")).withColumn("role", F.lit("Target"))
     targets = E.target_names(roles, roles.select("ds", F.lit(None).cast("string").alias("target")))
     return E.define_by_target(sents(t), targets, VERB).select("doc_id", F.col("pos").cast("long").alias("pos"), "target", "trigger")
 
 
-@query("e5_condset_by_target_name")
+@query(
+    "e5_condset_by_target_name",
+    f"""WITH {after_name_sql(f"SELECT ds, col FROM cols WHERE {PLAIN_NAME}", "(that|der|les|los)", 60)}
+ SELECT DISTINCT doc_id, pos, target, 'CONDSET_NAMED' AS family FROM windows WHERE regexp_matches(w, '(?i)^\\s+(of|and|le|la|die)')""",
+)
 def e5(t: Tables):
-    """Rows only: the windows need look-around."""
+    """A condition, and the target directly followed by an assignment."""
     roles = columns(t).where(F.col("col").rlike("^[A-Za-z0-9_]+$")).withColumn("role", F.lit("Target"))
     targets = E.target_names(roles, roles.select("ds", F.lit(None).cast("string").alias("target")))
     h = E.condset_by_target(sents(t), targets, r"(that|der|les|los)", r"\s+(of|and|le|la|die)")
@@ -155,12 +177,16 @@ def e7(t: Tables):
 HEAD = r"(?i)(the|und|les|los)"
 
 
+#: Lines with their block: headings found by structure, a block up to any next heading.
+LINES_SQL = r"""l AS (SELECT doc_id, source AS ds, unnest(generate_series(0, len(p) - 1)) AS i, unnest(p) AS line FROM (SELECT doc_id, source, string_split_regex(text, '\r?\n') AS p FROM documents)),
+   h AS (SELECT *, trim(line) <> '' AND length(trim(line)) <= 130 AND NOT regexp_matches(trim(line), '^\s*(\d{1,3})[.)]\s+(.*)$') AND NOT regexp_matches(trim(line), '(?i)^\s*(cases|missing|\d|[-+]?\d*\.?\d+%?)\b')
+      AND NOT contains(line, chr(9)) AND regexp_matches(trim(line), '[A-Za-z]{4}') AS hd FROM l),
+   b AS (SELECT *, sum(hd::INT) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS block FROM h)"""
+
+
 @query(
     "e8_heading_blocks",
-    rf"""WITH l AS (SELECT doc_id, unnest(generate_series(0, len(p) - 1)) AS i, unnest(p) AS line FROM (SELECT doc_id, string_split_regex(text, '\r?\n') AS p FROM documents)),
-   h AS (SELECT *, trim(line) <> '' AND length(trim(line)) <= 130 AND NOT regexp_matches(trim(line), '^\s*(\d{{1,3}})[.)]\s+(.*)$') AND NOT regexp_matches(trim(line), '(?i)^\s*(cases|missing|\d|[-+]?\d*\.?\d+%?)\b')
-      AND NOT contains(line, chr(9)) AND regexp_matches(trim(line), '[A-Za-z]{{4}}') AS hd FROM l),
-   b AS (SELECT *, sum(hd::INT) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS block FROM h)
+    f"""WITH {LINES_SQL}
    SELECT doc_id, block::BIGINT AS block, max(CASE WHEN hd THEN trim(line) END) AS heading, count(*) - 1 AS n_lines FROM b WHERE block >= 0 GROUP BY doc_id, block HAVING regexp_matches(max(CASE WHEN hd THEN trim(line) END), '{HEAD}')""",
 )
 def e8(t: Tables):
@@ -168,9 +194,15 @@ def e8(t: Tables):
     return b.select("doc_id", F.col("block").cast("long").alias("block"), "heading", F.col("n_lines").cast("long").alias("n_lines"))
 
 
-@query("e8_block_columns")
+@query(
+    "e8_block_columns",
+    f"""WITH {LINES_SQL}, {WORDS_SQL},
+   body AS (SELECT doc_id, ds, block, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT hd) AS body FROM b WHERE block >= 0 GROUP BY doc_id, ds, block HAVING regexp_matches(max(CASE WHEN hd THEN trim(line) END), '{HEAD}')),
+   a AS (SELECT doc_id, block, col FROM body JOIN cols USING (ds) WHERE regexp_matches(body, '(^|[^A-Za-z0-9_])' || col || '([^A-Za-z0-9_]|$)'))
+   SELECT doc_id, block::BIGINT AS block, array_to_string(list_transform(list_sort(list(DISTINCT struct_pack(l := -length(col), c := col))), lambda x: x.c), '|') AS columns FROM a GROUP BY doc_id, block""",
+)
 def e8b(t: Tables):
-    """Columns named inside outcome blocks. Rows only; the parts have their twins."""
+    """Columns named inside outcome blocks."""
     b = E.heading_blocks(cards(t), HEAD)
     a = E.anchor(b, columns(t), ["doc_id", "block"], 2, text="body")
     return a.where(F.size("columns") > 0).select("doc_id", F.col("block").cast("long").alias("block"), F.array_join("columns", "|").alias("columns"))
