@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colprov.llm.common import U, mix, prepare, sliding_min, slices, text_bytes
+from colprov.llm.common import U, bitmap, in_bitmap, mix, prepare, sliding_min, slices, text_bytes
 from colprov.session import cut
 
 RUN = "doc_id long, tid long, h long, c long, start int, at short, n short"
@@ -95,8 +95,17 @@ def shared_runs(docs: DataFrame, units: Callable, length: int, gram: int) -> Dat
 def pieces(docs: DataFrame, wanted: DataFrame, extract: Callable, schema: str) -> DataFrame:
     """Rows (h, c, count, low, at, n, piece) for ``wanted`` runs, cut out of the texts.
 
-    ``wanted`` has one run of each content; a text gets the list of its own runs only.
+    ``wanted`` has one run of each content; a text gets the list of its own runs only, and
+    texts that a bitmap of fixed size tells to have none are not shuffled.
     """
+    wanted = cut(wanted)
+    named = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select("tid").distinct(), "tid"))
+
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.take(pa.array(np.flatnonzero(in_bitmap(named.value, batch.column("tid").to_numpy().view(U)))))
+
+    docs = prepare(docs.select("doc_id", "tid", "text")).mapInArrow(only, "doc_id long, tid long, text string")
     lists = wanted.groupBy("doc_id", "tid").agg(
         F.collect_list(F.struct("start", "h", "c", "count", "low", "at", "n")).alias("runs")
     )
