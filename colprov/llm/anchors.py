@@ -17,11 +17,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colprov.llm.common import U, bitmap, in_bitmap, mix, prepare, sliding_min, slices, text_bytes
-from colprov.session import cut
+from colprov.llm.common import U, bitmap, in_bitmap, mix, prepare, sliding_min, slices, stored, text_bytes
 
 RUN = "doc_id long, tid long, h long, c long, start int, at short, n short"
 
@@ -61,14 +61,18 @@ def find_runs(g: np.ndarray, first: np.ndarray, stop: np.ndarray, length: int, g
     return row, begin, g[place[begin]], at, n, c
 
 
-def runs(docs: DataFrame, units: Callable, length: int, gram: int) -> DataFrame:
-    """Every run of every row of ``docs`` (doc_id, tid, text)."""
+def runs(docs: DataFrame, units: Callable, length: int, gram: int, named: Broadcast | None = None) -> DataFrame:
+    """Every run of every row of ``docs`` (doc_id, tid, text), but for those whose anchor a bitmap does not name."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 g, first, stop = units(*text_bytes(part.column("text")), gram)
-                row, begin, h, at, n, c = find_runs(g, first, stop, length, gram)
+                found = find_runs(g, first, stop, length, gram)
+                if named is not None:
+                    keep = in_bitmap(named.value, found[2])
+                    found = tuple(x[keep] for x in found)
+                row, begin, h, at, n, c = found
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").take(pa.array(row)),
@@ -87,9 +91,9 @@ def runs(docs: DataFrame, units: Callable, length: int, gram: int) -> DataFrame:
 
 def shared_runs(docs: DataFrame, units: Callable, length: int, gram: int) -> DataFrame:
     """The runs whose anchor occurs at least twice, cut."""
-    every = runs(docs, units, length, gram)
-    often = cut(every.groupBy("h").count().where("count > 1").select("h"))  # a plain table, so that the join can split
-    return cut(every.join(often, "h"))
+    often = stored(runs(docs, units, length, gram).groupBy("h").count().where("count > 1").select("h"))  # a plain table, so that the join can split
+    named = docs.sparkSession.sparkContext.broadcast(bitmap(often, "h"))  # of fixed size
+    return stored(runs(docs, units, length, gram, named).join(often, "h"))
 
 
 def pieces(docs: DataFrame, wanted: DataFrame, extract: Callable, schema: str) -> DataFrame:
@@ -98,7 +102,7 @@ def pieces(docs: DataFrame, wanted: DataFrame, extract: Callable, schema: str) -
     ``wanted`` has one run of each content; a text gets the list of its own runs only, and
     texts that a bitmap of fixed size tells to have none are not shuffled.
     """
-    wanted = cut(wanted)
+    wanted = stored(wanted)
     named = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select("tid").distinct(), "tid"))
 
     def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
