@@ -6,8 +6,12 @@ expressions; each check folds the table in one pass.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
+import numpy as np
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -15,6 +19,8 @@ from pyspark.sql.types import NumericType
 from colprov.operators.score import count_if
 
 TOL = 1e-9
+#: Eigenvalues of a correlation matrix below this belong to its null space.
+NULL_EIGENVALUE = 1e-10
 
 
 def holds(rule: Column) -> Column:
@@ -117,13 +123,14 @@ def rate_contrast(df: DataFrame, inside: Column, y: Column, by: list[str] | None
     )
 
 
-def mine_rules(df: DataFrame, cols: list[str], target: str, flags: list[str] | None = None) -> DataFrame:
+def mine_rules(df: DataFrame, cols: list[str], target: str, flags: list[str] | None = None, sums: bool = True) -> DataFrame:
     """Every rule of the known shapes that ties ``cols`` to ``target`` on all rows.
 
     identity x = y, missing x filled <=> y = 1, threshold y = (x >= k), sum
     a + b = y over the column pairs, OR of the flags that imply y, relabel x <-> y.
     All but the last come from a single fold of the table: the number of
     expressions grows with the schema, the data is read once. ``target`` is 0/1.
+    ``sums`` counts every column pair; ``additive_identities`` finds sums without.
     """
     y = F.col(target)
     one, zero = y == 1, y == 0
@@ -138,7 +145,7 @@ def mine_rules(df: DataFrame, cols: list[str], target: str, flags: list[str] | N
             F.min(F.when(one, x.cast("double"))).alias(f"lo{i}"),
             F.max(F.when(zero, x.cast("double"))).alias(f"hi{i}"),
         ]
-    pairs = list(combinations(range(len(cols)), 2))
+    pairs = list(combinations(range(len(cols)), 2)) if sums else []
     for i, j in pairs:
         s = F.abs(F.col(cols[i]).cast("double") + F.col(cols[j]).cast("double") - y) < TOL
         aggs.append(F.sum(holds(s)).cast("long").alias(f"s{i}_{j}"))
@@ -196,11 +203,109 @@ def functional_maps(df: DataFrame, cols: list[str], targets: list[str], unique:
     return maps.where("single AND levels_y > 1").select(rule.alias("rule"), "columns", "target", "n", "levels")
 
 
+def additive_identities(df: DataFrame, cols: list[str], targets: list[str] | None = None, tol: float = TOL) -> DataFrame:
+    """(rule, columns, target, weights, shift, n): target = sum of weight * column + shift on every row.
+
+    ``sum`` where two or more columns enter as they are and nothing is added, ``identity``
+    for one such column, ``linear`` otherwise. One pass over the table gives the correlations
+    of the numeric columns; their null vectors, as many numbers as the schema has pairs, propose
+    the identities, of any length, and a second pass over all rows admits them: the difference
+    of both sides may not vary by more than ``tol`` of the largest terms. For each target there is
+    the identity over the columns named first, and for each column in it one that does
+    without, if there is one; all others follow from these. Columns that hold a null or a
+    value that is not finite, and constant ones, enter none. A term whose spread is below
+    1e-5 of its target's is too small for double precision to see in a product.
+    """
+    cols = list(dict.fromkeys([*cols, *(targets or [])]))
+    targets = targets or cols
+    x = {c: F.col(c).cast("double") for c in cols}
+    fine = [F.struct(F.count(F.when(F.abs(v) < float("inf"), v)).alias("n"), F.stddev_pop(v).alias("sd"), F.min(v).alias("lo"), F.max(v).alias("hi")) for v in x.values()]
+    seen = df.agg(F.count(F.lit(1)).alias("n"), *[f.alias(f"s{i}") for i, f in enumerate(fine)]).first()
+    use = [c for i, c in enumerate(cols) if 0 < seen["n"] == seen[f"s{i}"]["n"] and seen[f"s{i}"]["lo"] < seen[f"s{i}"]["hi"]]
+    sd = {c: seen[f"s{cols.index(c)}"]["sd"] for c in use}
+    found = _proposed(df.select(*[x[c].alias(f"x{i}") for i, c in enumerate(use)]), use, sd, targets) if len(use) > 1 else []
+    shape = "rule string, columns string, target string, weights array<double>, shift double, n long"
+    if not found:
+        return df.sparkSession.createDataFrame([], shape)
+    aggs = []
+    for i, (t, parts) in enumerate(found):
+        terms = [F.lit(w) * x[c] for c, w in parts]
+        rest = reduce(lambda a, b: a - b, terms, x[t])
+        size = reduce(lambda a, b: a + F.abs(b), terms, F.abs(x[t]))
+        aggs += [F.min(rest).alias(f"lo{i}"), F.max(rest).alias(f"hi{i}"), F.max(size).alias(f"size{i}")]
+    each = []
+    for i, (t, parts) in enumerate(found):
+        lo, hi, size = F.col(f"lo{i}"), F.col(f"hi{i}"), F.col(f"size{i}")
+        middle = (lo + hi) / 2
+        names, weights = F.lit("+".join(c for c, _ in parts)), F.array(*[F.lit(w) for _, w in parts])
+        shift = F.when(F.abs(middle) <= tol * size, 0.0).otherwise(middle)
+        plain = F.lit("identity" if len(parts) == 1 else "sum")
+        rule = F.when((shift == 0) & F.lit(all(w == 1 for _, w in parts)), plain).otherwise("linear")
+        each.append(F.struct(rule.alias("rule"), names.alias("columns"), F.lit(t).alias("target"), weights.alias("weights"), shift.alias("shift"), (hi - lo <= tol * size).alias("held")))
+    row = df.agg(F.count(F.lit(1)).alias("n"), *aggs).select("n", F.explode(F.array(*each)).alias("e"))
+    return row.where("e.held").select("e.rule", "e.columns", "e.target", "e.weights", "e.shift", "n")
+
+
+def _proposed(df: DataFrame, use: list[str], sd: dict[str, float], targets: list[str]) -> list[tuple[str, list[tuple[str, float]]]]:
+    """(target, [(column, weight)]) of the null vectors of the correlation matrix."""
+    vectors = VectorAssembler(inputCols=df.columns, outputCol="v").transform(df).select("v")
+    values, space = np.linalg.eigh(Correlation.corr(vectors, "v").first()[0].toArray())
+    space = space[:, values < NULL_EIGENVALUE].T
+    found: dict[tuple, tuple] = {}
+    for t in [t for t in targets if t in use]:
+        k = use.index(t)
+        first = _eliminate(space, [k])
+        if first is None:
+            continue
+        for v in [first, *[_eliminate(space, [k, p]) for p in np.flatnonzero(first) if p != k]]:
+            if v is not None:
+                parts = [(use[i], _near_whole(-v[i] * sd[t] / sd[use[i]])) for i in np.flatnonzero(v) if i != k]
+                found.setdefault((t, tuple(c for c, _ in parts)), (t, parts))
+    return list(found.values())
+
+
+def _eliminate(space: np.ndarray, first: list[int]) -> np.ndarray | None:
+    """The null vector with 1 at ``first[0]`` and 0 at the other pivots: the rest of ``first``, then
+    columns from the last to the first. None where there is no such vector."""
+    rows, target = space.copy(), first[0]
+    order = first + [i for i in range(space.shape[1] - 1, -1, -1) if i not in first]
+    for r, p in zip(range(len(rows)), _pivots(rows, order)):
+        rows[r] /= rows[r, p]
+        for other in range(len(rows)):
+            if other != r:
+                rows[other] -= rows[other, p] * rows[r]
+        if r == 0 and p != target:
+            return None
+    if not len(rows):
+        return None
+    v = np.where(np.abs(rows[0]) < 1e-5, 0.0, rows[0])
+    return None if np.any(v[first[1:]] != 0) or not np.any(np.delete(v, target)) else v
+
+
+def _pivots(rows: np.ndarray, order: list[int]):
+    """Next pivot column in ``order`` that a row not yet used can serve; that row is swapped up."""
+    done = 0
+    for p in order:
+        if done == len(rows):
+            return
+        best = done + int(np.argmax(np.abs(rows[done:, p])))
+        if abs(rows[best, p]) > 1e-5:
+            rows[[done, best]] = rows[[best, done]]
+            yield p
+            done += 1
+
+
+def _near_whole(w: float) -> float:
+    whole = float(round(w))
+    return whole if whole and abs(w - whole) < 1e-5 * max(1.0, abs(w)) else float(f"{w:.9g}")
+
+
 def sweep_rules(df: DataFrame, cols: list[str], targets: list[str], flags: list[str] | None = None) -> DataFrame:
     """(rule, columns, target, k) of every known shape over all (column, target) pairs.
 
-    Maps and relabels are looked for under every target; the shapes of ``mine_rules`` and
-    the negated OR (no flag is set exactly where y = 1) need a 0/1 target and numeric columns.
+    Maps and relabels are looked for under every target, sums of any length under every numeric
+    one; the other shapes of ``mine_rules`` and the negated OR (no flag is set exactly where
+    y = 1) need a 0/1 target and numeric columns.
     """
     binary = df.agg(*[F.min(F.col(t).isNull() | F.coalesce(F.col(t).try_cast("double").isin(0.0, 1.0), F.lit(False))).alias(t) for t in targets]).first()
     binary = [t for t in targets if binary[t] and dict(df.dtypes)[t] not in ("string", "boolean")]
@@ -208,9 +313,12 @@ def sweep_rules(df: DataFrame, cols: list[str], targets: list[str], flags: list[
     numeric = [c for c in cols if isinstance(kinds[c], NumericType)]
     k = F.lit(None).cast("double").alias("k")
     out = functional_maps(df, cols, targets).select("rule", "columns", "target", k)
+    ends = [t for t in targets if isinstance(kinds[t], NumericType)]
+    if numeric and ends:
+        out = out.unionByName(additive_identities(df, numeric, ends).where("rule = 'sum'").select("rule", "columns", "target", k))
     for t in binary:
         use, on = [c for c in numeric if c != t], [f for f in flags or [] if f != t]
-        out = out.unionByName(mine_rules(df, use, t, on).where("rule <> 'relabel'"))
+        out = out.unionByName(mine_rules(df, use, t, on, sums=False).where("rule <> 'relabel'"))
         if on:
             out = out.unionByName(mine_or(df, on, t, True))
     return out.where("columns <> ''")

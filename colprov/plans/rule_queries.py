@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from colprov.operators import rules as R
@@ -172,6 +174,24 @@ def d9c(t: Tables):
     return R.functional_maps(flagged(t), MINE_COLS, ["kept", "y"])
 
 
+SUM_COLS = ["l_quantity", "l_linenumber", "p_size", "l_suppkey", "a_flag", "n_flag", "kept", "pieces", "parcel"]
+SUM_SHAPES = [(c, p) for c in SUM_COLS for k in (2, 3, 4) for p in combinations([x for x in SUM_COLS if x != c], k)]
+
+
+@query(
+    "d9_additive_identities",
+    f"""WITH {FLAGS_SQL}, w AS (SELECT *, l_quantity + l_linenumber AS pieces, l_quantity + l_linenumber + p_size + l_suppkey AS parcel FROM fl),
+  s AS (SELECT count(*) AS n, [{", ".join(f"bool_and(abs({'+'.join(p)} - {c}) < 1e-6)" for c, p in SUM_SHAPES)}] AS held FROM w),
+  names AS (SELECT [{", ".join(f"'{'+'.join(p)}'" for _, p in SUM_SHAPES)}] AS columns, [{", ".join(f"'{c}'" for c, _ in SUM_SHAPES)}] AS targets)
+  SELECT columns, target, n FROM (SELECT unnest(columns) AS columns, unnest(targets) AS target, unnest(held) AS held, n FROM s, names) WHERE held""",
+)
+def d9d(t: Tables):
+    """Sums of any length under every column as the target; the SQL counts each sum of up to four."""
+    pieces = F.col("l_quantity") + F.col("l_linenumber")
+    df = flagged(t).withColumns({"pieces": pieces, "parcel": pieces + F.col("p_size") + F.col("l_suppkey")})
+    return R.additive_identities(df, SUM_COLS).where("rule = 'sum'").select("columns", "target", "n")
+
+
 @query(
     "d9_length_rule_of_documents",
     "SELECT 'identity' AS rule, count(*) AS n, count(*) FILTER (WHERE n_chars = length(text)) AS n_held, "
