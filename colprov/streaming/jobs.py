@@ -54,33 +54,108 @@ def interim_yield(spark: SparkSession, folder: str, schema: str, sink: str, inde
 # --------------------------------------------------------- newest verdicts
 
 KEY = ["model", "ds", "cond", "seed", "col"]
-
-
-def verdict_batch_writer(sink: str, order: list[str]):
-    """Each batch writes the newest verdict per key of its own rows under its batch
-    number; a replayed batch overwrites itself. The cost follows the batch, not the table."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        C.newest(batch, KEY, order).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-
-    return write
+BUCKETS = 64
+DELTAS = 4
+KEEP_VERSIONS = 10
+
+
+def _folder(spark: SparkSession, path: str):
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    fs, root = _folder(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()] if fs.exists(root) else []
+
+
+def versions(spark: SparkSession, sink: str) -> list[int]:
+    """The published versions, oldest first. One is published by the marker that ends its write."""
+    out = []
+    for name in _children(spark, f"{sink}/versions"):
+        fs, marker = _folder(spark, f"{sink}/versions/{name}/_SUCCESS")
+        if fs.exists(marker):
+            out.append(int(name.partition("=")[2]))
+    return sorted(out)
+
+
+def _files(spark: SparkSession, sink: str, version: int) -> dict[int, list[str]]:
+    """Bucket -> its folders in that version, at most ``deltas`` + 1 each."""
+    rows = spark.read.parquet(f"{sink}/versions/version={version}").collect()
+    return {r["bucket"]: list(r["parts"]) for r in rows}
+
+
+def _write_buckets(rows: DataFrame, path: str) -> list[int]:
+    # after ``newest`` a key is one row, so buckets of a key hash are even
+    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    return [int(n.partition("=")[2]) for n in _children(rows.sparkSession, path)]
+
+
+def upsert_verdicts(batch: DataFrame, batch_id: int, sink: str, order: list[str], buckets: int = BUCKETS, deltas: int = DELTAS, keep: int = KEEP_VERSIONS) -> None:
+    """Fold one batch into the keyed snapshot under ``sink`` and publish it as version ``batch_id``.
+
+    The newest row per key of the batch is laid beside the buckets that its keys fall in; a
+    bucket with more than ``deltas`` such parts is folded into one, other buckets are neither
+    read nor written. What a version reads is listed in its own small table, whose end
+    marker publishes it, so readers see the old version or the new one. A batch that broke off
+    starts again from the version before it and replaces its own files, a published one is
+    left as it is: one sink belongs to one stream and its checkpoint. Order decides, so late rows
+    lose to newer ones. Versions beyond the last ``keep`` go with the files only they list.
+    """
+    spark = batch.sparkSession
+    known = versions(spark, sink)
+    before = [v for v in known if v < batch_id]
+    if known and known[-1] >= batch_id:
+        return  # published before
+    parts = _files(spark, sink, before[-1]) if before else {}
+    bucket = F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int")
+    touched = _write_buckets(C.newest(batch, KEY, order).withColumn("bucket", bucket), f"{sink}/data/delta={batch_id}")
+    for b in touched:
+        parts[b] = [*parts.get(b, []), f"delta={batch_id}/bucket={b}"]
+    full = [b for b in touched if len(parts[b]) > deltas]
+    if full:
+        rows = C.newest(_rows(spark, sink, batch.schema, [p for b in full for p in parts[b]]), KEY, order)
+        for b in _write_buckets(rows.withColumn("bucket", bucket), f"{sink}/data/whole={batch_id}"):
+            parts[b] = [f"whole={batch_id}/bucket={b}"]
+    shape = "bucket int, parts array<string>"
+    spark.createDataFrame(sorted(parts.items()), shape).coalesce(1).write.mode("overwrite").parquet(f"{sink}/versions/version={batch_id}")
+    _drop_old(spark, sink, [*before, batch_id], keep)
+
+
+def _rows(spark: SparkSession, sink: str, schema, parts: list[str]) -> DataFrame:
+    return spark.read.schema(schema).parquet(*[f"{sink}/data/{p}" for p in parts])
+
+
+def _drop_old(spark: SparkSession, sink: str, known: list[int], keep: int) -> None:
+    """A part that a later version no longer lists never comes back."""
+    for old, later in list(zip(known, known[1:]))[: max(0, len(known) - keep)]:
+        listed = {p for parts in _files(spark, sink, later).values() for p in parts}
+        gone = [f"data/{p}" for parts in _files(spark, sink, old).values() for p in parts if p not in listed]
+        for path in [*gone, f"versions/version={old}"]:
+            fs, root = _folder(spark, f"{sink}/{path}")
+            fs.delete(root, True)
 
 
 def run_verdicts(
-    spark: SparkSession, folder: str, schema: str, sink: str, checkpoint: str, order: list[str], available_now: bool = True, files_per_batch: int = 1000
+    spark: SparkSession, folder: str, schema: str, sink: str, checkpoint: str, order: list[str], available_now: bool = True, files_per_batch: int = 1000,
+    buckets: int = BUCKETS, deltas: int = DELTAS,
 ) -> StreamingQuery:
     """Keep the newest verdict per key as cells land; empty and failed answers are
     never stored. Rows: model, ds, cond, seed, col, verdict, status, and ``order``."""
     rows = landed(spark, folder, schema, files_per_batch=files_per_batch)
     ok = C.usable(rows, raw="verdict", status="status")
-    return start(ok.writeStream.foreachBatch(verdict_batch_writer(sink, order)).option("checkpointLocation", checkpoint), available_now)
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        upsert_verdicts(batch, batch_id, sink, order, buckets, deltas)
 
-def current_verdicts(spark: SparkSession, sink: str, order: list[str]) -> DataFrame:
-    """The newest verdict per key over all batches."""
-    return C.newest(spark.read.parquet(sink).drop("batch"), KEY, order)
+    return start(ok.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), available_now)
 
 
-def compact_verdicts(spark: SparkSession, sink: str, target: str, order: list[str]) -> None:
-    """All batches folded into one, written elsewhere; readers move over when it is done."""
-    current_verdicts(spark, sink, order).write.mode("errorifexists").parquet(f"{target}/batch=0")
+def current_verdicts(spark: SparkSession, sink: str, schema: str, order: list[str], version: int | None = None) -> DataFrame:
+    """The newest verdict per key in the last version, or in an earlier one that is kept.
+    Reads a key at most ``deltas`` + 1 times, however many batches there were."""
+    known = versions(spark, sink)
+    parts = [p for ps in _files(spark, sink, known[-1] if version is None else version).values() for p in ps] if known else []
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return C.newest(_rows(spark, sink, schema, parts), KEY, order)
