@@ -144,17 +144,73 @@ def still_to_do(index: DataFrame, cached: DataFrame, dead: DataFrame, key: str)
 # ------------------------------------------------------------------ headers
 
 
+#: Schemes whose files tasks open by themselves; others go through Spark's text reader.
+DIRECT_SCHEMES = ("", "file", "hdfs", "viewfs", "s3", "gs", "gcs")
+FILES_PER_TASK = 200
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, bytes, mtime) of every file with content under a path or pattern; nothing is read but the listing."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime"))
+
+
+def first_lines(spark: SparkSession, path: str, per_task: int = FILES_PER_TASK) -> DataFrame:
+    """(file, line, problem): the first line that is not blank of every file, one row per file.
+
+    Tasks take up to ``per_task`` names and open each file for its first bytes, so what is
+    read does not grow with the length of the files. A file without such a line gives
+    null, one that cannot be opened null and the problem. Where the scheme is one that only
+    Spark can open, its text reader goes over the files instead.
+    """
+    scheme = path.partition(":")[0].lower() if ":/" in path else ""
+    if scheme not in DIRECT_SCHEMES:
+        lines = spark.read.text(path).where(F.trim("value") != "").select(
+            F.col(PATH).alias("file"), "value", F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("at")
+        )
+        return lines.groupBy("file").agg(F.min_by("value", "at").alias("line")).withColumn("problem", F.lit(None).cast("string"))
+    names = files(spark, path).select("file")
+    tasks = max(1, -(-names.count() // per_task))
+    return names.repartition(tasks, "file").mapInArrow(_first_lines, "file string, line string, problem string")
+
+
+def _first_lines(batches):
+    import re
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    def first(file):
+        place = re.sub(r"^file:/+", "/", file)
+        system, inner = (fs.LocalFileSystem(), place) if place.startswith("/") else fs.FileSystem.from_uri(file)
+        with system.open_input_stream(inner, compression="detect", buffer_size=1 << 16) as f:
+            held = b""
+            while block := f.read(1 << 16):
+                held = held + block if held else block.lstrip()
+                if b"\n" in held:
+                    held = held[: held.index(b"\n")]
+                    break
+        return held.rstrip(b"\r\n").decode("utf-8", "replace") or None
+
+    for batch in batches:
+        out = []
+        for file in batch.column(0).to_pylist():
+            try:
+                out.append((file, first(file), None))
+            except (OSError, pa.ArrowInvalid) as e:
+                out.append((file, None, type(e).__name__))
+        yield pa.RecordBatch.from_pylist([dict(zip(("file", "line", "problem"), r)) for r in out], schema=pa.schema([(n, pa.string()) for n in ("file", "line", "problem")]))
+
+
 def read_headers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(file, col) from the first non-empty line of each CSV or TSV file, and the
     files that gave none, with a reason."""
-    lines = spark.read.text(path).select(F.col(PATH).alias("file"), "value", F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
-    first = lines.groupBy("file").agg(F.min_by("value", F.struct("_b", "_i")).alias("line"))
+    first = first_lines(spark, path)
     sep = F.when(F.lower("file").endswith(".tsv"), "\t").otherwise(",")
     cols = F.filter(
-        F.transform(F.split(F.regexp_replace("line", "﻿", ""), sep), lambda c: F.regexp_replace(F.trim(c), r'^"|"$', "")), lambda c: F.trim(c) != ""
+        F.transform(F.split(F.regexp_replace(F.coalesce("line", F.lit("")), "﻿", ""), sep), lambda c: F.regexp_replace(F.trim(c), r'^"|"$', "")), lambda c: F.trim(c) != ""
     )
     out = first.withColumn("cols", cols)
-    bad = F.when(F.size("cols") == 0, "empty header").when(F.size("cols") == 1, "no delimiter in the first line")
+    bad = F.when(F.col("problem").isNotNull(), F.concat(F.lit("unreadable: "), "problem")).when(F.size("cols") == 0, "empty header").when(F.size("cols") == 1, "no delimiter in the first line")
     out = out.withColumn("reason", bad)
     return (
         out.where("reason IS NULL").select("file", F.posexplode("cols").alias("pos", "col")),
