@@ -8,14 +8,13 @@ failures, never passes.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from colprov.functions import vocab as V
 from colprov.functions.joins import join_dim
 from colprov.functions.text import squeeze
+from colprov.session import cut
 
 
 def lines(reports: DataFrame, text: str = "text") -> DataFrame:
@@ -60,47 +59,45 @@ DECIMAL = r"(?<![\w.])(\d+\.\d{2,3})(?![\w])"
 DERIVED_TOLERANCE = 0.0015
 
 
-def is_difference(claims: Column, sources: Column, tolerance: float = DERIVED_TOLERANCE) -> Column:
-    """For each claimed value: is it a difference of two of the sources?
+#: Parts of a report's sources; claims of a report meet each part in a task of its own.
+PARTS = 64
 
-    The sorted sources are searched for every shift, so no pair is ever written
-    out. The function is defined here so that it travels to the workers by value.
-    """
 
-    def search(claims: pd.Series, sources: pd.Series) -> pd.Series:
-        import numpy as np
-        import pandas as pd
+def derived_claims(claims: DataFrame, sources: DataFrame, tolerance: float = DERIVED_TOLERANCE, parts: int = PARTS) -> DataFrame:
+    """The claims (report_id, x) that are a difference of two different sources (report_id, s).
+
+    Every claim is added to every source of its report, and the sums meet the sources in
+    buckets of the width of the tolerance and their two neighbours, so the numbers of a
+    report are rows, never one list. A claim needs a single pair: one part of the
+    sources goes first, and only claims without a pair there meet the others.
+    """
+    report, bucket = "report_id", lambda v: F.floor(v / tolerance)
+    have = sources.select(report, "s").distinct().withColumn("part", F.pmod(F.xxhash64("s"), F.lit(parts)).cast("int"))
+    near = have.select(report, F.col("s").alias("partner"), F.explode(F.array(*[bucket(F.col("s")) + d for d in (-1, 0, 1)])).alias("b"))
 
-        out = []
-        for c, s in zip(claims, sources):
-            v = np.unique(np.asarray([] if s is None else s, dtype=float))
-            found = []
-            for x in [] if c is None else c:
-                at = np.searchsorted(v, v + x - tolerance, side="right")
-                # two different sources: the partner must lie beyond the value itself
-                at = np.maximum(at, np.arange(len(v)) + 1)
-                ok = at < len(v)
-                found.append(bool(np.any(np.abs(v[at[ok]] - v[ok] - x) < tolerance)))
-            out.append(found)
-        return pd.Series(out)
+    def found(left: DataFrame, some: list[int]) -> DataFrame:
+        each = left.withColumn("part", F.explode(F.array(*[F.lit(k) for k in some])))
+        shifts = each.join(have, [report, "part"]).withColumn("b", bucket(F.col("s") + F.col("x")))
+        fits = (F.col("partner") > F.col("s")) & (F.abs(F.col("partner") - F.col("s") - F.col("x")) < tolerance)
+        return shifts.join(near, [report, "b"]).where(fits).select(report, "x").distinct()
 
-    return F.pandas_udf(search, T.ArrayType(T.BooleanType()))(claims, sources)
+    claims = claims.select(report, "x").distinct()
+    first = cut(found(claims, [0]))
+    rest = claims.join(first, [report, "x"], "left_anti")
+    return first.unionByName(found(rest, list(range(1, parts))))
 
 
 def number_provenance(sents: DataFrame, sources: DataFrame) -> DataFrame:
     """(report_id, value, status): each decimal DIRECT (as written in the sources),
     DERIVED (a difference of two sources within .0015) or UNSOURCED.
-    ``sources``: (report_id, value as text)."""
+    ``sources``: (report_id, value as text); texts that are no number only count as written."""
     said = sents.select("report_id", F.explode(F.regexp_extract_all("sentence", F.lit(DECIMAL), F.lit(1))).alias("value")).distinct()
-    known = sources.select("report_id", "value").distinct()
-    direct = said.join(known, ["report_id", "value"], "left_semi").withColumn("status", F.lit("DIRECT"))
-    rest = said.join(known, ["report_id", "value"], "left_anti").groupBy("report_id").agg(F.array_sort(F.collect_list("value")).alias("values"))
-    have = known.groupBy("report_id").agg(F.collect_list(F.col("value").cast("double")).alias("have"))
-    j = rest.join(have, "report_id", "left").withColumn("hit", is_difference(F.transform("values", lambda v: v.cast("double")), F.col("have")))
-    other = j.select("report_id", F.explode(F.arrays_zip("values", "hit")).alias("z")).select(
-        "report_id", F.col("z.values").alias("value"), F.when(F.col("z.hit"), "DERIVED").otherwise("UNSOURCED").alias("status")
-    )
-    return direct.unionByName(other)
+    known = cut(sources.select("report_id", "value").distinct())
+    told = cut(said.join(known.withColumn("direct", F.lit(True)), ["report_id", "value"], "left").withColumn("x", F.col("value").cast("double")))
+    have = known.select("report_id", F.col("value").try_cast("double").alias("s")).where("s IS NOT NULL")
+    derived = derived_claims(told.where("direct IS NULL"), have).withColumn("derived", F.lit(True))
+    status = F.when(F.col("direct"), "DIRECT").when(F.col("derived"), "DERIVED").otherwise("UNSOURCED")
+    return told.join(derived, ["report_id", "x"], "left").select("report_id", "value", status.alias("status"))
 
 
 # ------------------------------------------------------------- arithmetic
