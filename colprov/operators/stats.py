@@ -13,7 +13,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colprov.functions.joins import join_dim
+from colprov.functions.joins import SALTS, join_dim
 from colprov.functions.ranks import dense_codes
 from colprov.functions.special import binomial_two_sided, ratio, t_two_sided
 from colprov.operators.score import count_if
@@ -260,37 +260,51 @@ def disputes(answers: DataFrame, reference: DataFrame, item: list[str], category
     )
 
 
-def source_agreement(records: DataFrame) -> DataFrame:
+def source_agreement(records: DataFrame, salts: int = SALTS) -> DataFrame:
     """Do independent sources name the same columns: kappa, Jaccard, only-A, only-B
     per pair of sources of a dataset. Pairs of different scope are skipped with the
     reason: their silence does not answer the same question.
 
-    The columns of a dataset meet in one set per source; sources per dataset are few.
+    Counts come from sources that meet on a (dataset, column) they both name, lists from the
+    pairs' own columns; a dataset or a column with very many sources is dealt over ``salts`` tasks.
     """
     universe = records.groupBy("dataset_id").agg(F.count_distinct("column").alias("universe"))
     scopes = records.groupBy("dataset_id", "source_citation").agg(F.max("scope").alias("scope"))
-    named = records.where("label = 'LABEL_DERIVED'").groupBy("dataset_id", "source_citation").agg(F.array_sort(F.collect_set("column")).alias("cols"))
-    per = named.join(scopes, ["dataset_id", "source_citation"]).groupBy("dataset_id").agg(
-        F.array_sort(F.collect_list(F.struct("source_citation", "scope", "cols"))).alias("s")
-    )
-    pairs = per.select(
-        "dataset_id",
-        F.explode(F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: F.struct(x.alias("x"), y.alias("y")))))).alias("p"),
-    ).join(universe, "dataset_id")
-    A, B = F.col("p.x.cols"), F.col("p.y.cols")
+    named = records.where("label = 'LABEL_DERIVED'").select("dataset_id", F.col("source_citation").alias("src"), F.col("column").alias("col")).distinct()
+    named = cut(named)
+    size = named.groupBy("dataset_id", "src").agg(F.count("col").alias("n")).join(scopes.withColumnRenamed("source_citation", "src"), ["dataset_id", "src"])
+
+    def meet(df: DataFrame, on: list[str]) -> DataFrame:
+        """Rows a < b that agree on ``on``, each unordered pair once."""
+        rest = [c for c in df.columns if c not in on]
+        left = df.select(*on, *[F.col(c).alias(f"{c}_a") for c in rest], F.pmod(F.xxhash64("src"), F.lit(salts)).cast("int").alias("_salt"))
+        right = df.select(*on, *[F.col(c).alias(f"{c}_b") for c in rest], F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+        return left.join(right, [*on, "_salt"]).where("src_a < src_b").drop("_salt")
+
+    pair = ["dataset_id", "src_a", "src_b"]
+    pairs = cut(meet(size, ["dataset_id"]))
+    both = meet(named, ["dataset_id", "col"]).groupBy(*pair).agg(F.count(F.lit(1)).alias("both"))
+
+    def only(own: str, other: str, name: str) -> DataFrame:
+        own_cols = pairs.where("scope_a = scope_b").select(*pair).join(named.withColumnRenamed("src", own), ["dataset_id", own])
+        alone = own_cols.join(named.withColumnRenamed("src", other), ["dataset_id", other, "col"], "left_anti")
+        return alone.groupBy(*pair).agg(F.array_join(F.array_sort(F.collect_list("col")), ",").alias(name))
+
+    j = pairs.join(both, pair, "left").join(universe, "dataset_id")
+    for own, other, name in (("src_a", "src_b", "only_a"), ("src_b", "src_a", "only_b")):
+        j = j.join(only(own, other, name), pair, "left")
     n = F.col("universe").cast("double")
-    inter, na, nb = F.size(F.array_intersect(A, B)), F.size(A), F.size(B)
+    inter, na, nb = F.coalesce("both", F.lit(0)), F.col("n_a"), F.col("n_b")
     po = (inter + (n - (na + nb - inter))) / n
     pe = (na / n) * (nb / n) + ((n - na) / n) * ((n - nb) / n)
-    same = F.col("p.x.scope") == F.col("p.y.scope")
-    return pairs.select(
+    same = F.col("scope_a") == F.col("scope_b")
+    return j.select(
         "dataset_id",
-        F.col("p.x.source_citation").alias("a"),
-        F.col("p.y.source_citation").alias("b"),
+        F.col("src_a").alias("a"),
+        F.col("src_b").alias("b"),
         F.when(same, F.when(pe >= 1, 1.0).otherwise(F.try_divide(po - pe, 1 - pe))).alias("kappa"),
         F.when(same, ratio(inter, na + nb - inter)).alias("jaccard"),
-        F.when(same, F.array_join(F.array_sort(F.array_except(A, B)), ",")).alias("only_a"),
-        F.when(same, F.array_join(F.array_sort(F.array_except(B, A)), ",")).alias("only_b"),
+        *[F.when(same, F.coalesce(c, F.lit(""))).alias(c) for c in ("only_a", "only_b")],
         F.when(~same, "scope mismatch -- silence is not comparable").alias("skipped"),
     )
 
