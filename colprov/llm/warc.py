@@ -153,11 +153,13 @@ class Inflated:
         self.stream, self.member, self.held, self.rest = stream, zlib.decompressobj(31), b"", b""
 
     def more(self) -> bool:
-        data = self.rest or self.stream.read(CHUNK)
+        """Holds at most ``CHUNK`` more bytes, however well the archive is packed."""
+        data = self.member.unconsumed_tail or self.rest or self.stream.read(CHUNK)
         self.rest = b""
-        if not data:
+        out = self.member.decompress(data, CHUNK)
+        if not data and not out:
             return False
-        self.held += self.member.decompress(data)
+        self.held += out
         if self.member.eof:
             self.rest, self.member = self.member.unused_data, zlib.decompressobj(31)
         return True
