@@ -81,3 +81,12 @@ def test_partitioning_does_not_matter(frame):
     a = class_auc(counts.repartition(1), ["k"]).toPandas().sort_values(["k", "y"]).reset_index(drop=True)
     b = class_auc(counts.repartition(13), ["k"]).toPandas().sort_values(["k", "y"]).reset_index(drop=True)
     pd.testing.assert_frame_equal(a, b)
+
+
+def test_a_salted_join_broadcasts_nothing(spark):
+    """A dimension too large to broadcast is not broadcast in its salted copies either."""
+    df = spark.range(100).selectExpr("id % 7 AS k", "id AS v")
+    dim = spark.range(5).selectExpr("id AS k", "id * 10 AS w")
+    joined = join_dim(df, dim, ["k"], max_rows=0)
+    assert "BroadcastExchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == df.where("k < 5").count()
