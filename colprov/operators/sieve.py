@@ -350,11 +350,11 @@ def dictionary_rows(pages: DataFrame, row: str = V.DICTIONARY_ROW, marker: str =
     """(ds, source, col, description, marker, is_target_row): name/description rows
     found in page text whose description carries a marker, one per (ds, source, col)."""
     t = F.regexp_replace(F.regexp_replace("text", "-\n", ""), r"\s+", " ")
-    each = pages.withColumn("_t", t).select(
-        "ds", "source", "page",
-        F.explode(F.arrays_zip(F.regexp_extract_all("_t", F.lit(row), F.lit(1)).alias("n"), F.regexp_extract_all("_t", F.lit(row), F.lit(2)).alias("d"))).alias("r"),
-    )
-    r = each.select("ds", "source", "page", F.col("r.n").alias("col"), F.trim("r.d").alias("description"))
+    # the pattern is slow, so it is run once: a row becomes a line of name, tab and description (the
+    # squeezed text has neither), and the outer explode lets Spark infer no filter that would run it again
+    rows = F.filter(F.split(F.regexp_replace(t, row, "\n$1\t$2\n"), "\n"), lambda x: F.contains(x, F.lit("\t")))
+    each = pages.select("ds", "source", "page", F.explode_outer(rows).alias("r")).where("r IS NOT NULL")
+    r = each.select("ds", "source", "page", F.split("r", "\t")[0].alias("col"), F.trim(F.split("r", "\t")[1]).alias("description"))
     r = r.where((F.length("col") >= 2) & ~F.lower("col").isin(V.ROW_STOP_NAMES))
     r = r.withColumn("marker", F.lower(F.coalesce(first_match(F.col("description"), marker), first_match(F.col("description"), extra)))).where("marker IS NOT NULL")
     r = r.withColumn("is_target_row", F.col("description").rlike(V.FLAGS + V.ROW_TARGET))

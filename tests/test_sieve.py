@@ -204,3 +204,11 @@ def test_vocabularies_compile(spark):
     one = spark.createDataFrame([("x",)], "t string")
     for p in (V.WARN, V.DEFINE, V.DICTIONARY_WARN, V.CLOSED_POST, V.CLOSED_DERIVED):
         one.where(F.col("t").rlike(V.alternation(p))).count()
+
+
+def test_the_row_pattern_is_run_once(spark):
+    text = "tenure_months Number of months the customer has stayed until the event follow_up Days until death or censoring. last_call Duration of the call"
+    d = E.dictionary_rows(spark.createDataFrame([("d", "s", 1, text), ("d", "s", 2, None), ("d", "t", 3, "none here")], "ds string, source string, page long, text string"))
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("{12,150}") == 1
+    got = {r["col"]: r["description"] for r in d.collect()}
+    assert got["follow_up"].startswith("Days until death")
