@@ -59,8 +59,10 @@ DECIMAL = r"(?<![\w.])(\d+\.\d{2,3})(?![\w])"
 DERIVED_TOLERANCE = 0.0015
 
 
-#: Parts of a report's sources; claims of a report meet each part in a task of its own.
+#: Parts of a report's sources at most; claims of a report meet each part in a task of its own.
 PARTS = 64
+#: Sources up to which a report has one part.
+PART_ROWS = 64
 
 
 def derived_claims(claims: DataFrame, sources: DataFrame, tolerance: float = DERIVED_TOLERANCE, parts: int = PARTS) -> DataFrame:
@@ -69,22 +71,24 @@ def derived_claims(claims: DataFrame, sources: DataFrame, tolerance: float = DER
     Every claim is added to every source of its report, and the sums meet the sources in
     buckets of the width of the tolerance and their two neighbours, so the numbers of a
     report are rows, never one list. A claim needs a single pair: one part of the
-    sources goes first, and only claims without a pair there meet the others.
+    sources goes first, and only claims without a pair there meet the others. A report with
+    few sources has one part, so its claims are not multiplied.
     """
     report, bucket = "report_id", lambda v: F.floor(v / tolerance)
-    have = sources.select(report, "s").distinct().withColumn("part", F.pmod(F.xxhash64("s"), F.lit(parts)).cast("int"))
+    have = sources.select(report, "s").distinct()
+    parted = have.groupBy(report).agg(F.least(F.lit(parts), F.ceil(F.count(F.lit(1)) / PART_ROWS)).cast("int").alias("k"))
     near = have.select(report, F.col("s").alias("partner"), F.explode(F.array(*[bucket(F.col("s")) + d for d in (-1, 0, 1)])).alias("b"))
+    have = have.join(parted, report).select(report, "s", F.pmod(F.xxhash64("s"), F.col("k")).cast("int").alias("part"))
 
-    def found(left: DataFrame, some: list[int]) -> DataFrame:
-        each = left.withColumn("part", F.explode(F.array(*[F.lit(k) for k in some])))
-        shifts = each.join(have, [report, "part"]).withColumn("b", bucket(F.col("s") + F.col("x")))
+    def found(left: DataFrame) -> DataFrame:
+        shifts = left.join(have, [report, "part"]).withColumn("b", bucket(F.col("s") + F.col("x")))
         fits = (F.col("partner") > F.col("s")) & (F.abs(F.col("partner") - F.col("s") - F.col("x")) < tolerance)
         return shifts.join(near, [report, "b"]).where(fits).select(report, "x").distinct()
 
     claims = claims.select(report, "x").distinct()
-    first = cut(found(claims, [0]))
-    rest = claims.join(first, [report, "x"], "left_anti")
-    return first.unionByName(found(rest, list(range(1, parts))))
+    first = cut(found(claims.withColumn("part", F.lit(0))))
+    rest = claims.join(first, [report, "x"], "left_anti").join(parted.where("k > 1"), report)
+    return first.unionByName(found(rest.withColumn("part", F.explode(F.sequence(F.lit(1), F.col("k") - 1)))))
 
 
 def number_provenance(sents: DataFrame, sources: DataFrame) -> DataFrame:

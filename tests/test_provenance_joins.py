@@ -76,3 +76,15 @@ def test_source_agreement_against_loops(spark):
             assert r["kappa"] is None and r["skipped"].startswith("scope")
         else:
             assert abs(r["kappa"] - kappa) < 1e-9 and abs(r["jaccard"] - jaccard) < 1e-9 and (r["only_a"], r["only_b"]) == (a, b)
+
+
+def test_claims_of_a_small_report_are_not_multiplied(spark):
+    """Reports of 20, 64 and 200 sources against all pairs; parts follow the number of sources."""
+    rng = random.Random(5)
+    sources = [(k, round(rng.random() * 50, 2)) for k, n in ((1, 20), (2, 64), (3, 200)) for _ in range(n)]
+    claims = [(k, round(rng.random() * 20, 2)) for k in (1, 2, 3, 4) for _ in range(60)]
+    d = P.derived_claims(spark.createDataFrame(claims, "report_id long, x double"), spark.createDataFrame(sources, "report_id long, s double"))
+    assert "[1,2,3,4,5,6" not in d._jdf.queryExecution().optimizedPlan().toString()
+    held = {k: {s for r, s in sources if r == k} for k in (1, 2, 3, 4)}
+    want = {(k, x) for k, x in claims if any(b > a and abs(b - a - x) < P.DERIVED_TOLERANCE for a in held[k] for b in held[k])}
+    assert {(r["report_id"], r["x"]) for r in d.collect()} == want
