@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colprov.functions.joins import join_dim
 from colprov.functions.ranks import dense_codes, exact_median, exact_quantiles, running_before, with_range
+from colprov.operators import screens as S
 from colprov.operators.screens import class_auc
 
 
@@ -90,3 +91,15 @@ def test_a_salted_join_broadcasts_nothing(spark):
     joined = join_dim(df, dim, ["k"], max_rows=0)
     assert "BroadcastExchange" not in joined._jdf.queryExecution().executedPlan().toString()
     assert joined.count() == df.where("k < 5").count()
+
+
+def test_screens_on_counts_kept_once(spark):
+    """The AUC and the number of values, read from the same kept counts, are those of the table."""
+    rows = [("d" if i % 3 else "e", "ab"[i % 2], float(i * 37 % 11), None if i % 5 == 0 else float(i * 13 % 7)) for i in range(200)]
+    args = spark.createDataFrame(rows, "ds string, y string, u double, v double"), ["u", "v"], "y", ["ds"]
+    moments = S.column_moments(*args)
+    counts = S.filled_counts(*args, moments).localCheckpoint()
+    got, want = S.column_features(*args, moments=moments, counts=counts), S.column_features(*args, moments=moments)
+    key = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    assert key(got) == key(want) and got.count() == 4
+    assert key(S.n_values(*args, moments, counts)) == key(S.n_values(*args, moments))
