@@ -37,6 +37,7 @@ SKETCH = 32  # longs in the short bitmap
 WIDE = 2500  # members from which a set has wide bitmaps too
 LOCAL, OFTEN = 4, 48
 STARS = 2
+PARTNERS = 256  # pairs of one hub that meet in one task
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +229,10 @@ def wide_pairs(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> Data
 
 
 def overlaps(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, fragments: int) -> DataFrame:
-    """Common members of each pair (a, b): counted in every fragment of the order, summed per pair."""
+    """Common members of each pair (a, b): counted in every fragment of the order, summed per pair.
+
+    A pair gets its sets once, cut into fragments; the pairs of a hub are dealt over many tasks.
+    """
     nodes = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
     wanted = cut(classes.join(nodes, "s").select("s", F.coalesce("doc_id", F.lit(0)).alias("doc_id")))
     sc = docs.sparkSession.sparkContext
@@ -249,28 +253,20 @@ def overlaps(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, frag
             owner = np.repeat(np.arange(len(rows)), size)
             piece = owner * fragments + (value // U(step)).astype(np.int64)
             bounds = np.searchsorted(piece, np.arange(len(rows) * fragments + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(s[rows].view(np.int64), fragments)),
-                    pa.array(np.tile(np.arange(fragments, dtype=np.int32), len(rows))),
-                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(value.view(np.int64))),
-                ],
-                names=["s", "fragment", "members"],
-            )
-
-    sets = prepare(docs).mapInArrow(work, "s long, fragment int, members array<long>")
-    # each set goes once to the pairs that it is part of: to every b that it meets, or to itself
-    roles = pairs.select(F.col("a").alias("s"), "b").unionByName(pairs.select(F.col("b").alias("s"), "b").distinct())
-    sent = sets.join(roles, "s")
-    left = sent.where("s <> b").select(F.col("s").alias("a"), "b", "fragment", F.col("members").alias("x"))
-    right = sent.where("s = b").select("b", "fragment", F.col("members").alias("y"))
-    return (
-        left.join(right, ["b", "fragment"])
-        .groupBy("a", "b", "fragment")
-        .agg(F.max(F.size(F.array_intersect("x", "y"))).alias("common"))  # a set may have come twice
-        .groupBy("a", "b")
-        .agg(F.sum("common").alias("common"))
-    )
+            cuts = pa.ListArray.from_arrays(pa.array(bounds), pa.array(value.view(np.int64)))
+            whole = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * fragments), cuts)
+            yield pa.RecordBatch.from_arrays([pa.array(s[rows].view(np.int64)), whole], names=["s", "members"])
+
+    sets = prepare(docs).mapInArrow(work, "s long, members array<array<long>>")
+    # a set goes once to each pair that it is the a of; a b goes once to every ``PARTNERS`` of its pairs
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
+    copies = parts.select(F.col("b").alias("s"), F.col("b").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    sent = sets.join(dealt.select(F.col("a").alias("s"), "a", "b", "part").unionByName(copies), "s")
+    left = sent.where("a <> b").select("a", "b", "part", F.col("members").alias("x"))
+    right = sent.where("a = b").select("b", "part", F.col("members").alias("y"))
+    common = sum((F.size(F.array_intersect(F.col("x")[i], F.col("y")[i])).cast("long") for i in range(fragments)), F.lit(0).cast("long"))
+    return left.join(right, ["b", "part"]).groupBy("a", "b").agg(F.max(common).alias("common"))  # a set may have come twice
 
 
 def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, fragments: int = FRAGMENTS) -> DataFrame:
