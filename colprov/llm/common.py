@@ -230,16 +230,55 @@ def drop(df: DataFrame | None) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Edges that one task joins by itself.
+EDGES = 1 << 17
+
+
+def joined_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of one task as stars: every node with the smallest node it reaches there."""
+    let_go()
+    held = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
+    if not held:
+        return
+    node, ends = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+    a, b = ends.reshape(2, -1)
+    low = np.arange(len(node))
+    while (low[a] != low[b]).any():
+        least = np.minimum(low[a], low[b])
+        np.minimum.at(low, low[a], least)
+        np.minimum.at(low, low[b], least)
+        while (low != low[low]).any():
+            low = low[low]
+    moved = np.flatnonzero(low != np.arange(len(node)))
+    yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[low[moved]])], names=["u", "v"])
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (node, component), the smallest node.
 
-    Large-star and small-star rounds; each node's smallest neighbour is a partial
+    Tasks of at most about ``EDGES`` edges first reduce theirs to stars, as long as that
+    halves them; what fits one such task is settled by it. For the others there are
+    large-star and small-star rounds; each node's smallest neighbour is a partial
     aggregate, and a hub's edges are split by the join, so no task holds a
     component. Each round is stored, and ends when the edges no longer change.
     """
-    edges = stored(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
+    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    n, settled = edges.count(), False
+    while n and not settled:
+        parts = -(-n // EDGES)
+        before, edges = edges, stored(prepare(edges).repartition(parts).mapInArrow(joined_edges, "u long, v long"))
+        drop(before)
+        was, n, settled = n, edges.count(), parts == 1
+        if 2 * n > was:
+            break
+    if n and not settled:
+        edges = star_rounds(edges, max_rounds)
+    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def star_rounds(edges: DataFrame, max_rounds: int) -> DataFrame:
+    """The edges (u, v) as one star around the smallest node of each component."""
     seen = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -257,9 +296,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         drop(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
-            break
+            return edges
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
-    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    raise RuntimeError("components did not settle")
