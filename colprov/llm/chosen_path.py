@@ -181,43 +181,47 @@ def groups(docs: DataFrame, n: int = 4, num: int = 80, den: int = 100) -> DataFr
             return df.withColumn("component", F.col("s"))
         return df.join(label, "s", "left").withColumn("component", F.coalesce("component", "s"))
 
-    def link(pairs: DataFrame) -> None:
-        """Confirm the pairs and join the components of those that link."""
+    def link(pairs: DataFrame) -> DataFrame | None:
+        """Confirm the pairs and join the components of those that link: rows (component, to), None where no pair does."""
         nonlocal label
         x = pairs.join(wide.withColumnRenamed("s", "a"), "a").alias("x")
         pairs = stored(x.join(wide.alias("y"), F.col("x.b") == F.col("y.s")).where(near(LONGS, num, den)).select("x.a", "x.b"))
         if pairs.isEmpty():
-            return
+            return None
         found = stored(confirmed(docs, pairs, classes, n, num, den))
         drop(pairs)
+        if found.isEmpty():
+            return None
         old = label
         if old is None:
             label = stored(components(found).toDF("s", "component"))
+            moved = label.toDF("component", "to")
         else:
             ends = found.join(old.toDF("a", "ca"), "a", "left").join(old.toDF("b", "cb"), "b", "left")
             moved = stored(components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))).toDF("component", "to"))
             new = moved.join(old.select("s").union(old.select("component")).distinct().toDF("component"), "component", "left_anti")
             kept = old.join(moved, "component", "left").select("s", F.coalesce("to", "component").alias("component"))
             label = stored(kept.unionByName(new.select(F.col("component").alias("s"), F.col("to").alias("component"))))
-            drop(moved)
         drop(found)
         drop(old)
+        return moved
 
     def state(members: DataFrame) -> DataFrame:
         """Per open node: its main component and the number of members outside it."""
-        parts = labelled(members).groupBy("node", "component").agg(F.count("*").alias("n"))
+        parts = members.groupBy("node", "component").agg(F.count("*").alias("n"))
         whole = parts.groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"))
         return whole.where("outside > 0")
 
     def hubs(members: DataFrame) -> DataFrame:
         """The hubs of each node, one by each of some hash orders, with their components."""
         hub = lambda i: F.min(F.struct(F.xxhash64("s", F.lit(i)).alias("by"), "s", "component"))
-        return labelled(members).groupBy("node").agg(F.array(*[hub(i) for i in range(HUBS)]).alias("hubs")).select("node", F.explode("hubs").alias("hub"))
+        return members.groupBy("node").agg(F.array(*[hub(i) for i in range(HUBS)]).alias("hubs")).select("node", F.explode("hubs").alias("hub"))
 
+    # a member carries its component, which changes only where a round has joined components
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     members = classes.select("s", "m", trees).select("s", "tree", F.explode(children(F.xxhash64("tree"), F.col("tree"), 0, F.col("m"))).alias("node"))
     shared = members.groupBy("node").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low <> high")
-    members = stored(members.join(shared, "node", "left_semi"))
+    members = stored(members.join(shared, "node", "left_semi").withColumn("component", F.col("s")))
     level, rest = 1, None
     while True:
         before, members = members, stored(members.join(state(members).select("node", "outside"), "node"))
@@ -227,26 +231,26 @@ def groups(docs: DataFrame, n: int = 4, num: int = 80, den: int = 100) -> DataFr
         rest = small if rest is None else rest.unionByName(small)
         if large.isEmpty():
             break
-        x = labelled(large).select("node", "s", "component").join(facts, "s").alias("x")
+        x = large.select("node", "s", "component").join(facts, "s").alias("x")
         y = hubs(large).select("node", F.col("hub.s").alias("s"), F.col("hub.component").alias("component")).join(facts, "s").alias("y")
         apart = F.col("x.component") != F.col("y.component")
         met = x.join(y, (F.col("x.node") == F.col("y.node")) & apart & may_link(num, den))
-        met = met.select(F.col("x.s").alias("a"), F.col("y.s").alias("b")).distinct()
-        link(met)
-        left = state(large.select("node", "s")).select("node", "outside")
-        large = stored(large.select("node", "tree", "s").join(left, "node"))
-        small = large.where(F.col("outside") <= SMALL).select("node", "s")
+        moved = link(met.select(F.col("x.s").alias("a"), F.col("y.s").alias("b")).distinct())
+        if moved is not None:
+            now = large.join(moved, "component", "left").select("s", "tree", "node", F.coalesce("to", "component").alias("component"))
+            large = stored(now.join(state(now).select("node", "outside"), "node"))
+            rest = rest.unionByName(large.where(F.col("outside") <= SMALL).select("node", "s"))
+            large = large.where(F.col("outside") > SMALL)
         if 2 * level >= TOKENS:
             rest = rest.unionByName(large.select("node", "s"))
             break
-        rest = rest.unionByName(small)
-        down = large.where(F.col("outside") > SMALL).join(classes.select("s", "m"), "s")
-        down = down.select("s", "m", "tree", F.explode(children(F.col("node"), F.col("tree"), level, F.col("m"))).alias("node"))
-        members = stored(down.select("s", "tree", F.explode(children(F.col("node"), F.col("tree"), level + 1, F.col("m"))).alias("node")))
+        down = large.join(classes.select("s", "m"), "s")
+        down = down.select("s", "m", "tree", "component", F.explode(children(F.col("node"), F.col("tree"), level, F.col("m"))).alias("node"))
+        members = stored(down.select("s", "tree", F.explode(children(F.col("node"), F.col("tree"), level + 1, F.col("m"))).alias("node"), "component"))
         level += 2
 
     rest = stored(labelled(rest))
-    known = state(rest.select("node", "s")).select("node", "main")
+    known = state(rest).select("node", "main")
     full = stored(rest.join(known, "node")).join(facts, "s")
     x, y = full.where("component <> main").alias("x"), full.alias("y")
     once = (F.col("y.component") == F.col("y.main")) | (F.col("x.s") < F.col("y.s"))
