@@ -38,6 +38,16 @@ ENTRY = 180
 LEARNT = 20_000
 AT_ONCE = 50_000
 ROWS_HELD = 1_000_000
+#: DuckDB and Arrow give what a query no longer needs back at once: workers outlive a task, and
+#: freed memory that an allocator keeps counts as the executor's.
+SETTINGS = [
+    "threads=1",
+    "memory_limit='300MB'",
+    "temp_directory=''",
+    "preserve_insertion_order=false",
+    "allocator_flush_threshold='1MB'",
+    "allocator_bulk_deallocation_flush_threshold='1MB'",
+]
 
 SHORT = 63  # bytes; a longer word may need many rounds
 
@@ -126,7 +136,7 @@ class Codec:
         self.held = 0
         self.odd: dict[str, bytes] = {}
         self.con = duckdb.connect()
-        for setting in ("threads=1", "memory_limit='300MB'", "temp_directory=''", "preserve_insertion_order=false"):
+        for setting in SETTINGS:
             self.con.execute(f"SET {setting}")
         splits = [
             (ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks
@@ -276,7 +286,7 @@ def encoded(docs: DataFrame, content: bytes, pattern: str, digest_only: bool) ->
                 columns += [pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())] if digest_only else [pa.array(ids_out, pa.binary())]
                 names = ["doc_id", "n_tokens"] + (["ids_sha256", "decoded_sha256"] if digest_only else ["ids"])
                 yield pa.RecordBatch.from_arrays(columns, names=names)
-        pa.default_memory_pool().release_unused()
+                pa.default_memory_pool().release_unused()
 
     rows = prepare(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     return rows.mapInArrow(work, "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest_only else "ids binary"))
