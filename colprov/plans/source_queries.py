@@ -309,7 +309,7 @@ def a19(t: Tables):
    SELECT ds, cond, model, '{{' || string_agg('"' || col || '":{{"f":' || (verdict = 'UNAVAILABLE')::INT || ',"r":"q' || confidence::INT || '"}}', ',' ORDER BY col) || '}}' AS columns, count(*) AS n_columns FROM n GROUP BY ALL""",
 )
 def a20(t: Tables):
-    v = fr.verdicts(t)
+    v = fr.verdicts(t, "confidence")
     rest = ["verdict", "confidence"]
     one = v.groupBy("model", "ds", "cond", "col").agg(F.min_by(F.struct(*rest), "seed").alias("t")).select("model", "ds", "cond", "col", "t.*")
     return L.nested_export(one.withColumn("reason", F.concat(F.lit("q"), F.col("confidence").cast("int").cast("string"))))
